@@ -31,7 +31,7 @@ def _dup_lines(text: bytes) -> int:
 
 
 def rule_counts(col: pa.Array | pa.ChunkedArray, window: int = 5) -> dict[str, np.ndarray]:
-    """The counts of COUNTS, and n_digits, n_upper and n_chars, of each text of a string column; a null text has none.
+    """The counts of COUNTS of each text of a string column; a null text has none.
 
     Words are runs outside ASCII white space. n_repeat_words counts words in windows of ``window`` words that the text
     has twice or more, the first included; n_dup_lines lines with a word that equal an earlier line of the text.
@@ -58,9 +58,6 @@ def rule_counts(col: pa.Array | pa.ChunkedArray, window: int = 5) -> dict[str, n
         "n_symbols": tokens.per_text(SYMBOLS[whole], offsets),
         "n_dup_lines": np.array([_dup_lines(whole[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.int64),
         "n_repeat_words": tokens.per_text(repeated, word_offsets),
-        "n_digits": tokens.per_text((whole >= 0x30) & (whole <= 0x39), offsets),
-        "n_upper": tokens.per_text((whole >= 0x41) & (whole <= 0x5A), offsets),
-        "n_chars": tokens.per_text(lead, offsets),
     }
 
 
@@ -69,9 +66,9 @@ def base_failed(c: dict[str, np.ndarray], min_words: int = 10, max_repeat_percen
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
-    """Statistics of the rules as shares, one row a text; independent of a text's length where it is long enough."""
-    words, chars = np.maximum(c["n_words"], 1), np.maximum(c["n_chars"], 1)
-    return np.column_stack([c["word_chars"] / words, c["n_symbols"] / words, c["n_digits"] / chars, c["n_upper"] / words, c["n_dup_lines"] / words, c["n_repeat_words"] / words])
+    """Statistics of the rules, one row a text: shares of symbols, repeated lines and repeated words among the words, as roots so that small shares differ, and the mean word length in tens."""
+    words = np.maximum(c["n_words"], 1)
+    return np.column_stack([np.sqrt(c["n_symbols"] / words), c["word_chars"] / words / 10, np.sqrt(c["n_dup_lines"] / words), np.sqrt(c["n_repeat_words"] / words)])
 
 
 def _mean_path(n: np.ndarray | int) -> np.ndarray:
@@ -103,26 +100,31 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(float(_mean_path(self.sample)), 1.0))
 
 
-def fit_forest(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 3) -> Forest:
-    """Isolation trees, each over ``sample`` rows drawn without repeats; splits are uniform over a feature's range."""
+def fit_forest(x: np.ndarray, trees: int = 100, sample: int = 256, margin: float = 0.3, seed: int = 3) -> Forest:
+    """Isolation trees, each over ``sample`` rows drawn without repeats.
+
+    A split is uniform over a feature's range in the node, which the root widens by ``margin`` on both sides: so values
+    that no fitted row comes near fall into empty leaves soon, in features too in which the fitted rows are all alike.
+    """
     rng = np.random.default_rng(seed)
     sample = min(sample, len(x))
     depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
     nodes = 2 ** (depth + 1) - 1
     feature, cut, path = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
     for t in range(trees):
-        todo = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
+        drawn = x[rng.choice(len(x), sample, replace=False)]
+        todo = [(0, 0, drawn, drawn.min(0) - margin, drawn.max(0) + margin)]
         while todo:
-            node, level, rows = todo.pop()
-            spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) else []
-            if level == depth or len(rows) < 2 or not len(spread):
+            node, level, rows, least, most = todo.pop()
+            if level == depth or len(rows) < 2:
                 path[t, node] = level + float(_mean_path(len(rows)))
                 continue
-            f = rng.choice(spread)
-            at = rng.uniform(rows[:, f].min(), rows[:, f].max())
+            f = rng.integers(x.shape[1])
+            at = rng.uniform(least[f], most[f])
             feature[t, node], cut[t, node] = f, at
-            low = rows[:, f] < at
-            todo += [(2 * node + 1, level + 1, rows[low]), (2 * node + 2, level + 1, rows[~low])]
+            low, below, above = rows[:, f] < at, most.copy(), least.copy()
+            below[f] = above[f] = at
+            todo += [(2 * node + 1, level + 1, rows[low], least, below), (2 * node + 2, level + 1, rows[~low], above, most)]
     return Forest(feature, cut, path, sample)
 
 
@@ -142,15 +144,16 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_good_loss: float) -> flo
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(rule_counts(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["good", "x"])
+        c = rule_counts(batch.column("text"))
+        yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(base_failed(c)), pa.array(features(c).tolist(), pa.list_(pa.float64()))], names=["good", "failed", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4096, max_good_loss: float = 0.005) -> Forest | None:
     """Fit and calibrate on at most ``most`` labelled documents (labels: doc_id, quality 1 or 0), chosen by hash.
 
     Half of them, at most, are of either quality. Rows of labels without a doc_id or a quality, and those without a
-    document, are passed over; a document with differing labels counts as bad. None if no labelled document is found.
+    document, are passed over; a document with differing labels counts as bad, and what fails the fixed limits is left
+    out. None if no labelled document is left.
     """
     one = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.min("quality") > 0).alias("good"))
     chosen = [r for side in (True, False) for r in one.where(F.col("good") == side).orderBy(F.xxhash64("label_id"), "label_id").limit(most // 2).collect()]
@@ -158,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 4096, max_good_loss: flo
         return None
     picked = docs.sparkSession.createDataFrame(chosen, "label_id long, good boolean")
     rows = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(picked), "label_id").groupBy("label_id", "good").agg(F.min("text").alias("text"))
-    found = rows.select("good", "text").mapInArrow(_count_batches, "good boolean, x array<double>").toPandas()
+    found = rows.select("good", "text").mapInArrow(_count_batches, "good boolean, failed boolean, x array<double>").where("not failed").toPandas()
     if not len(found):
         return None
     found["key"] = [tuple(v) for v in found["x"]]
