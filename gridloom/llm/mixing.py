@@ -37,14 +37,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     row = F.monotonically_increasing_id()
     found = stage(found.repartitionByRange(sort_key).sortWithinPartitions(sort_key).select("*", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at")), "sources")
     # one row for each partition of the sorted sources: how many sources stand before it
-    parts = found.groupBy("part").agg(F.count("*").alias("rows")).orderBy("part").collect()
-    before, total = [], 0
-    for p in parts:
-        before.append((p.part, total))
-        total += p.rows
-    starts = spark.createDataFrame(before, "part long, before long")
+    parts = found.groupBy("part").agg(F.count("*").alias("rows"))
+    starts = parts.select("part", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("at") + F.col("before"), F.lit(len(weights))) + 1).cast("int")).cast("long")
-    found = stage(found.join(F.broadcast(starts), "part").select("source", "source_size", "n", weight.alias("weight")), "weights")
+    found = stage(found.join(starts, "part").select("source", "source_size", "n", weight.alias("weight")), "weights")
     words = found.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     level, capped = 0.0, -1
     while True:
