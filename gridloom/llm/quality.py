@@ -143,7 +143,7 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_good_loss: float) -> flo
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in tokens.slices(whole)):
         c = rule_counts(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(base_failed(c)), pa.array(features(c).tolist(), pa.list_(pa.float64()))], names=["good", "failed", "x"])
 
@@ -187,7 +187,7 @@ def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in tokens.slices(whole)):
             c = rule_counts(batch.column("text"))
             failed, score, kept = verdicts(c, forest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c[k], pa.int64()) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in tokens.slices(whole)):
             yield batch.filter(pa.array(verdicts(rule_counts(batch.column("text")), forest)[2]))
 
     return docs.mapInArrow(run, docs.schema)

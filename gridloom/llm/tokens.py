@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -132,3 +133,15 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     at = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=at[1:])
     return at[offsets[1:]] - at[offsets[:-1]]
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> list[pa.RecordBatch]:
+    """A batch cut between rows so that each piece has ``most`` bytes of text or one row; an empty batch stays one piece."""
+    lengths = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + most, "right"))
+        upto = max(upto, at + 1)
+        out.append(batch.slice(at, upto - at))
+        at = upto
+    return out or [batch]
