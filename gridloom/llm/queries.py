@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import licenses, mixing, quality
+from gridloom.llm import sharding
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.substrings import remove_repeats
 
@@ -28,6 +29,19 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return sharding.shard_documents(_read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(_read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +56,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_licenses": op6_licenses,
+    "op7_sharding": op7_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
 }
