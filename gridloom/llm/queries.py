@@ -9,12 +9,17 @@ from gridloom.llm import licenses, mixing, quality
 from gridloom.llm import sharding
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.substrings import remove_repeats
+from gridloom.llm.topk import top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     forest = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -53,6 +58,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_licenses": op6_licenses,
