@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import licenses, mixing, quality
+from gridloom.llm import chat, licenses, mixing, quality
 from gridloom.llm import sharding
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.substrings import remove_repeats
@@ -20,6 +20,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(turns.unionByName(chat.probe_conversation(spark))))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     forest = quality.fit(docs, _read(spark, sf_dir, "labels"))
@@ -59,6 +64,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_chat": op2_chat,
     "op3_quality": op3_quality,
     "op5_mixing": op5_mixing,
     "op6_licenses": op6_licenses,
