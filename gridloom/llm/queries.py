@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import chat, licenses, mixing, quality
 from gridloom.llm import sharding
+from gridloom.llm.lines import dedup_lines
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.substrings import remove_repeats
 from gridloom.llm.topk import top_k
@@ -62,6 +63,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(_read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_chat": op2_chat,
@@ -71,6 +77,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
