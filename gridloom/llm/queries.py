@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import chat, licenses, mixing, quality
 from gridloom.llm import sharding
 from gridloom.llm.lines import dedup_lines
+from gridloom.llm.sentencepieces import encode_documents
 from gridloom.llm.simhash import near_duplicates
 from gridloom.llm.substrings import remove_repeats
 from gridloom.llm.topk import top_k
@@ -32,6 +33,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest)
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_mixing": op5_mixing,
     "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
