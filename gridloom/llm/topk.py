@@ -29,18 +29,23 @@ def quantized(vector: Column, scale: int) -> Column:
     return F.when(~F.exists(wide, bad), F.transform(wide, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows; beyond what a long holds they stop at its ends."""
-    bound = int(np.abs(a.astype(object)).max(initial=0)) * int(np.abs(b.astype(object)).max(initial=0)) * max(1, a.shape[1])
-    if bound < 1 << 53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound < 1 << 63:
-        return a @ b.T
-    return np.clip(a.astype(object) @ b.astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+class Vectors:
+    """Rows of integers with their ids, sorted by length; kept as doubles too for fast products."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.v, self.f = ids, v, v.astype(np.float64)
+        self.lengths = np.sqrt((self.f**2).sum(1))
+        self.most = int(np.abs(self.f).max(initial=0.0))
 
 
-def _lengths(v: np.ndarray) -> np.ndarray:
-    return np.sqrt((v.astype(np.float64) ** 2).sum(1))
+def products(a: Vectors, rows: np.ndarray | slice, b: Vectors, columns: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Exact inner products of rows; beyond what a long holds they stop at its ends."""
+    bound = a.most * b.most * max(1, a.v.shape[1])
+    if bound < 1 << 53:
+        return (a.f[rows] @ b.f[columns].T).astype(np.int64)
+    if bound < 1 << 62:
+        return a.v[rows] @ b.v[columns].T
+    return np.clip(a.v[rows].astype(object) @ b.v[columns].astype(object).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
 class Best:
@@ -51,10 +56,9 @@ class Best:
         self.score: list[np.ndarray] = [np.zeros(0, np.int64)] * n
         self.ids: list[np.ndarray] = [np.zeros(0, np.int64)] * n
 
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        if len(self.ids[q]) >= self.k:
-            near = score >= self.floor[q]
-            score, ids = score[near], ids[near]
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray, own: int) -> None:
+        near = (score >= self.floor[q]) & (ids != own)
+        score, ids = score[near], ids[near]
         if not len(ids):
             return
         score, ids = np.concatenate([self.score[q], score]), np.concatenate([self.ids[q], ids])
@@ -66,45 +70,42 @@ class Best:
             self.floor[q] = self.score[q][-1]
 
 
-def search_bucket(best: Best, query_ids: np.ndarray, queries: np.ndarray, query_lengths: np.ndarray, ids: np.ndarray, vectors: np.ndarray, lengths: np.ndarray) -> int:
-    """Offer a bucket's vectors (sorted by length, longest first) to all queries; returns how many products were verified."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = best.floor / (query_lengths * lengths[0])
-    cosine[~np.isfinite(cosine)] = -1.0
-    verified = 0
+def search_bucket(best: Best, queries: Vectors, bucket: Vectors) -> int:
+    """Offer a bucket's vectors to all queries; returns how many products were verified."""
     slack = 1e-9
-    todo = np.flatnonzero((cosine <= 1 + slack) | (query_lengths == 0) | (lengths[0] == 0))
-    whole = todo[cosine[todo] <= 0]
-    if len(whole):  # no threshold yet: every product
-        score = products(queries[whole], vectors)
-        verified += score.size
-        for row, q in zip(score, whole, strict=True):
-            other = ids != query_ids[q]
-            best.add(q, row[other], ids[other])
-    for q in todo[cosine[todo] > 0]:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = best.floor / (queries.lengths * bucket.lengths[0])
+    cosine[~np.isfinite(cosine)] = -1.0  # no k scores yet, or a length of zero
+    dense, verified = [], 0
+    for q in np.flatnonzero(cosine <= 1 + slack):
+        left = None  # the places that may reach the query's threshold; None: all
         if cosine[q] >= COORDINATE_FROM:
-            # v = length * (t * along + rest): on coordinate f, |v_f / length - c * q_f| <= sqrt(1 - c * c) * sqrt(1 - q_f ** 2) for cosines c from the threshold to 1
-            f = int(np.argmax(np.abs(queries[q])))
-            unit = queries[q][f] / query_lengths[q]
-            c = min(1.0, cosine[q])
-            reach = np.sqrt(max(0.0, 1 - c * c)) * np.sqrt(max(0.0, 1 - unit * unit))
-            turn = abs(unit)
-            high = 1.0 if c <= turn else c * turn + reach
-            low = c * turn - reach
-            on = vectors[:, f] * np.sign(unit) / np.maximum(lengths, 1e-300)
-            left = np.flatnonzero((on >= low - slack) & (on <= high + slack))
-        else:
-            left = np.arange(np.searchsorted(-lengths, -best.floor[q] / query_lengths[q] * (1 - slack), "right"))
-        left = left[ids[left] != query_ids[q]]
-        if len(left):
+            # a vector whose cosine with the query is c or more has on coordinate f, over its length, a value between
+            # the cosines of the angles arccos(c) on either side of the query's own
+            f = int(np.argmax(np.abs(queries.f[q])))
+            unit = queries.f[q, f] / queries.lengths[q]
+            c, turn = min(1.0, cosine[q]), abs(unit)
+            reach = np.sqrt(max(0.0, 1 - c * c)) * np.sqrt(max(0.0, 1 - turn * turn))
+            on = bucket.f[:, f] * np.sign(unit) / np.maximum(bucket.lengths, 1e-300)
+            left = np.flatnonzero((on >= c * turn - reach - slack) & (on <= (1.0 if c <= turn else c * turn + reach) + slack))
+        elif cosine[q] > 0:
+            left = np.arange(np.searchsorted(-bucket.lengths, -best.floor[q] / queries.lengths[q] * (1 - slack), "right"))
+        if left is None or len(left) > len(bucket.ids) // 4:
+            dense.append(q)
+        elif len(left):
             verified += len(left)
-            best.add(q, products(queries[q : q + 1], vectors[left])[0], ids[left])
+            best.add(q, products(queries, slice(q, q + 1), bucket, left)[0], bucket.ids[left], queries.ids[q])
+    if dense:  # hardly pruned: their products at once
+        score = products(queries, np.array(dense), bucket)
+        verified += score.size
+        reach = (score >= best.floor[dense][:, None]) & (bucket.ids[None, :] != queries.ids[dense][:, None])
+        for k in np.flatnonzero(reach.any(1)):
+            best.add(dense[k], score[k, reach[k]], bucket.ids[reach[k]], queries.ids[dense[k]])
     return verified
 
 
-def _unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = np.frombuffer(vectors, np.int64).reshape(-1, dim)
-    return np.frombuffer(ids, np.int64), v, _lengths(v)
+def _unpack(ids: bytes, vectors: bytes, dim: int) -> Vectors:
+    return Vectors(np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.int64).reshape(-1, dim))
 
 
 def _packer(most: int):
@@ -116,7 +117,7 @@ def _packer(most: int):
         def packed(dim: int) -> pa.RecordBatch:
             ids, v = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             held.clear()
-            lengths = _lengths(v)
+            lengths = Vectors(ids, v).lengths
             order = np.lexsort((ids, -lengths))
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([float(lengths.max())]), pa.array([len(ids)], pa.int64()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], names=["dim", "longest", "n", "ids", "vectors"])
 
@@ -157,9 +158,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, buc
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     found = stage(found.withColumn("squares", squares), "vectors")
     seed = found.orderBy(F.col("squares").desc(), "vec_id").limit(seed_vectors).select("vec_id", "v").collect()  # bounded by seed_vectors
-    seed_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for dim in {len(r.v) for r in seed}:
-        seed_of[dim] = (np.array([r.vec_id for r in seed if len(r.v) == dim], np.int64), np.array([r.v for r in seed if len(r.v) == dim], np.int64))
+    seed_of = {dim: Vectors(np.array([r.vec_id for r in seed if len(r.v) == dim], np.int64), np.array([r.v for r in seed if len(r.v) == dim], np.int64)) for dim in {len(r.v) for r in seed}}
     order = [F.size("v"), F.col("squares").desc(), F.xxhash64("vec_id")]
     packed = "dim int, longest double, n long, ids binary, vectors binary"
 
@@ -175,11 +174,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, buc
     pairs = asked.join(grouped, "group").where("dim = query_dim").sortWithinPartitions("group", "block", F.col("longest").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best = None, None
+        now, best, queries = None, None, None
 
         def done() -> pa.RecordBatch:
             sizes = [len(x) for x in best.ids]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, sizes), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()), pa.array(np.concatenate(best.score), pa.int64())], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries.ids, sizes), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()), pa.array(np.concatenate(best.score), pa.int64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -189,12 +188,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, buc
                     if now is not None:
                         yield done()
                     now = key
-                    query_ids, queries, query_lengths = _unpack(batch.column("query_ids")[row].as_py(), batch.column("queries")[row].as_py(), dim)
-                    best = Best(len(query_ids), k)
+                    queries = _unpack(batch.column("query_ids")[row].as_py(), batch.column("queries")[row].as_py(), dim)
+                    best = Best(len(queries.ids), k)
                     if dim in seed_of:
-                        ids, v = seed_of[dim]
-                        search_bucket(best, query_ids, queries, query_lengths, ids, v, _lengths(v))
-                search_bucket(best, query_ids, queries, query_lengths, *_unpack(batch.column("ids")[row].as_py(), batch.column("vectors")[row].as_py(), dim))
+                        search_bucket(best, queries, seed_of[dim])
+                search_bucket(best, queries, _unpack(batch.column("ids")[row].as_py(), batch.column("vectors")[row].as_py(), dim))
         if now is not None:
             yield done()
 
