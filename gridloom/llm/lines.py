@@ -143,36 +143,69 @@ class PartLines:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _near_lines(grams: list[np.ndarray], refs: np.ndarray, index: np.ndarray, blocks: np.ndarray, limit: int) -> np.ndarray:
-    """Of the lines under one key, in order, those with an earlier line within the limit that they meet there.
-
-    Lines meet if one of them stands in the index; with blocks (0 and 1) given, only lines of different blocks do.
-    """
-    n = len(grams)
-    counts = np.array([np.bincount(g & 31, minlength=32) for g in grams], np.int32)
-    settled = np.zeros(n, bool)
-    step = max(1, (1 << 19) // n)
-    for at in range(1, n, step):
-        rows = np.arange(at, min(n, at + step))
-        meet = np.arange(n)[None, :] < rows[:, None]
-        meet &= index[None, :] | index[rows, None]
-        meet &= refs[None, :] != refs[rows, None]
-        if blocks.any():
-            meet &= blocks[None, :] != blocks[rows, None]
-        i, j = np.nonzero(meet)
-        keep = np.empty(len(i), bool)
-        for k in range(0, len(i), 1 << 16):  # an edit changes at most two of the counts of characters
-            keep[k : k + (1 << 16)] = np.abs(counts[rows[i[k : k + (1 << 16)]]] - counts[j[k : k + (1 << 16)]]).sum(1) <= 2 * limit
-        i, j = rows[i[keep]], j[keep]
-        while len(i):  # each line tries its next candidate, until one is near
-            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-            first = first[:4096]
-            d = banded_distance([grams[a] for a in i[first]], [grams[b] for b in j[first]], limit)
-            settled[i[first[d <= limit]]] = True
-            left = ~settled[i]
-            left[first] = False
-            i, j = i[left], j[left]
-    return settled
+def _first_hits(later: np.ndarray, earlier: np.ndarray, grams: list[np.ndarray], counts: np.ndarray, limit: int) -> np.ndarray:
+    """Of pairs of lines, the later ones that are within the limit of an earlier one. Each later line tries its candidates in order and stops at the first that is near; all lines try at once."""
+    keep = np.empty(len(later), bool)
+    for k in range(0, len(later), 1 << 16):  # an edit changes at most two of the counts of characters
+        part = slice(k, k + (1 << 16))
+        keep[part] = np.abs(counts[later[part]] - counts[earlier[part]]).sum(1) <= 2 * limit
+    pairs = np.unique((later[keep].astype(np.int64) << 32) | earlier[keep])
+    i, j = pairs >> 32, pairs & 0xFFFFFFFF
+    settled = np.zeros(len(grams), bool)
+    while len(i):
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))[:4096]
+        near = banded_distance([grams[a] for a in i[first]], [grams[b] for b in j[first]], limit) <= limit
+        settled[i[first[near]]] = True
+        left = ~settled[i]
+        left[first] = False
+        i, j = i[left], j[left]
+    return np.flatnonzero(settled)
+
+
+def _meetings(at: int, n: int, refs: np.ndarray, index: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (later, earlier) of the lines under one key of which the later is number ``at`` or one of those after, up to ``n``: one of the two stands in the index, and of two sides they stand on different ones."""
+    rows = np.arange(at, n)
+    meet = (np.arange(n)[None, :] < rows[:, None]) & (refs[None, :n] != refs[at:n, None])
+    meet &= index[None, :n] | index[at:n, None]
+    if side.any():
+        meet &= side[None, :n] != side[at:n, None]
+    i, j = np.nonzero(meet)
+    return rows[i], j
+
+
+def near_earlier(keys: np.ndarray, refs: np.ndarray, texts: list[bytes], index: np.ndarray, side: np.ndarray, limit: int) -> np.ndarray:
+    """The lines (refs) that are within the limit of an earlier line under one of the keys; rows are sorted by key and line."""
+    lines, line = np.unique(refs, return_index=True)
+    grams = [np.frombuffer(texts[k].decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) for k in line]
+    counts = np.array([np.bincount(g & 31, minlength=32) for g in grams], np.int32).reshape(-1, 32)
+    number = np.searchsorted(lines, refs)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    ends = np.append(starts[1:], len(keys))
+    later, earlier, hits = [], [], []
+    two = (ends - starts == 2) & (refs[starts] != refs[np.minimum(starts + 1, len(refs) - 1)])
+    two &= index[starts] | index[np.minimum(starts + 1, len(refs) - 1)]
+    two &= ~side[starts].astype(bool) & ~side[np.minimum(starts + 1, len(refs) - 1)].astype(bool)
+    later.append(number[starts[two] + 1])
+    earlier.append(number[starts[two]])
+    for a, e in zip(starts[ends - starts != 2], ends[ends - starts != 2], strict=True):
+        own, step = slice(a, e), max(1, (1 << 19) // (e - a))
+        order = np.argsort(refs[own], kind="stable")
+        r, x, s, names = refs[own][order], index[own][order], side[own][order], number[own][order]
+        for at in range(0, e - a, step):
+            i, j = _meetings(at, min(e - a, at + step), r, x, s)
+            if e - a > 256:
+                hits.append(_first_hits(names[i], names[j], grams, counts, limit))
+            else:
+                later.append(names[i])
+                earlier.append(names[j])
+    for a in np.flatnonzero((ends - starts == 2) & ~two):
+        k = slice(starts[a], ends[a])
+        if side[k].any() and side[k][0] != side[k][1] and index[k].any() and refs[k][0] != refs[k][1]:
+            both = np.sort(number[k])
+            later.append(both[1:])
+            earlier.append(both[:1])
+    hits.append(_first_hits(np.concatenate(later), np.concatenate(earlier), grams, counts, limit))
+    return lines[np.unique(np.concatenate(hits))]
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_bytes: int = 8 << 20, bucket_keys: int = 1 << 21, block: int = 2048) -> DataFrame:
@@ -294,24 +327,23 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         return pa.table({"ref": pa.array((part << 32) | wanted, pa.int64()), "line": pa.array([lines.data[lines.starts[k] : lines.ends[k]].tobytes() for k in wanted], pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def near() -> list[int]:
-            if len(held) < 2:
-                return []
-            grams = [np.frombuffer(line.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32) for _, line, _, _ in held]
-            refs = np.array([r for r, *_ in held])
-            return refs[_near_lines(grams, refs, np.array([o for _, _, o, _ in held]), np.array([s for *_, s in held]), max_edits)].tolist()
-
+        def near(held: pa.Table) -> pa.RecordBatch:
+            found = np.zeros(0, np.int64)
+            if len(held):
+                keys, refs, index, side = (held[c].to_numpy() for c in ("grp", "ref", "own", "side"))
+                found = near_earlier(keys, refs, held["line"].to_pylist(), index, side, max_edits)
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["ref"])
+
+        held = None
         for batch in batches:
-            found = []
-            for grp, *row in zip(*(batch.column(c).to_pylist() for c in ("grp", "ref", "line", "own", "side")), strict=True):
-                if grp != now:
-                    found += near()
-                    now, held = grp, []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["ref"])
-        yield pa.RecordBatch.from_arrays([pa.array(near(), pa.int64())], names=["ref"])
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = held["grp"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
+            if cut:
+                yield near(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield near(held)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         table = _in_order(left) if len(left) else left
