@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,9 +66,14 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(v: Column) -> Column:
-    powers = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda s, y: s + y))
+    powers = let(v, lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x - top))))
+    return let(powers, lambda a: let(F.aggregate(a, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(a, lambda x: x / total)))
 
 
 def argmax(v: Column) -> Column:
