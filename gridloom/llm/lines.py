@@ -228,7 +228,6 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     key_bits = max(0, total // 20 // bucket_keys).bit_length()
     n_parts = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     parted = docs.withColumn("line_part", part_of(key_id, bounds)).repartition(n_parts, "line_part")
-    slim = parted.select("line_part", key_id.alias("doc_id"), "text")
 
     def equal_lines(key: tuple, table: pa.Table) -> pa.Table:
         lines = PartLines(_in_order(table), min_chars)
@@ -365,7 +364,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         return table.append_column("n_lines", pa.array(lines.n_lines, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
     packed, answers = "bucket long, from_part int, high binary, low binary", "part int, bucket long, n long, bits binary"
-    by_part = slim.groupBy("line_part")
+    by_part = parted.groupBy("line_part")  # one shuffle of the texts serves all passes
     judged = by_part.applyInArrow(equal_lines, packed).groupBy("bucket").applyInArrow(judge, answers)
     keys = by_part.cogroup(judged.groupBy("part")).applyInArrow(send_keys, packed)
     members = keys.groupBy("bucket").applyInArrow(meet, "grp long, ref long, own boolean, side int")
@@ -377,4 +376,4 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     met = members.join(texts, "ref").repartition("grp").sortWithinPartitions("grp", "ref", "own").select("grp", "ref", "line", "own", "side")
     near = met.mapInArrow(compare, "ref long")
     verdicts = judged.unionByName(named(near))
-    return parted.groupBy("line_part").cogroup(verdicts.groupBy("part")).applyInArrow(apply, schema)
+    return by_part.cogroup(verdicts.groupBy("part")).applyInArrow(apply, schema)
