@@ -1,0 +1 @@
+"""Queries: operators bound to tables, registered by name with the SQL that checks them."""
