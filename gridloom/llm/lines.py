@@ -227,7 +227,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     line_bits = max(0, total // 100 // bucket_keys).bit_length()
     key_bits = max(0, total // 20 // bucket_keys).bit_length()
     n_parts = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parted = docs.withColumn("line_part", part_of(key_id, bounds)).repartition(n_parts, "line_part")
+    parted = docs.withColumn("__line_part", part_of(key_id, bounds)).repartition(n_parts, "__line_part")
 
     def equal_lines(key: tuple, table: pa.Table) -> pa.Table:
         lines = PartLines(_in_order(table), min_chars)
@@ -276,7 +276,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         high, low = high[order], low[order]
         edges = _bucket_edges(high, key_bits)
         full = np.flatnonzero(np.diff(edges))
-        part = left["line_part"][0].as_py()
+        part = left["__line_part"][0].as_py()
         return pa.table({
             "bucket": pa.array(full, pa.int64()),
             "from_part": pa.array([part] * len(full), pa.int32()),
@@ -318,7 +318,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         return pa.table({"grp": pa.array(whole[0].astype(np.uint64).view(np.int64)), "ref": pa.array(whole[1].astype(np.int64)), "own": pa.array(whole[2].astype(bool)), "side": pa.array(whole[3].astype(np.int32))})
 
     def send_texts(left: pa.Table, right: pa.Table) -> pa.Table:
-        part = left["line_part"][0].as_py() if len(left) else 0
+        part = left["__line_part"][0].as_py() if len(left) else 0
         _, wanted = split_answers(right)
         if not len(wanted):
             return pa.table({"ref": pa.array([], pa.int64()), "line": pa.array([], pa.binary())})
@@ -359,12 +359,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
             if removed[i]:
                 text = b"\n".join(x for x, g in zip(text.split(b"\n"), gone[cuts[i] : cuts[i + 1]].tolist(), strict=True) if not g)
             texts.append(text)
-        table = table.drop_columns(["line_part"])
+        table = table.drop_columns(["__line_part"])
         table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).view(pa.string()))
         return table.append_column("n_lines", pa.array(lines.n_lines, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
     packed, answers = "bucket long, from_part int, high binary, low binary", "part int, bucket long, n long, bits binary"
-    by_part = parted.groupBy("line_part")  # one shuffle of the texts serves all passes
+    by_part = parted.groupBy("__line_part")  # one shuffle of the texts serves all passes
     judged = by_part.applyInArrow(equal_lines, packed).groupBy("bucket").applyInArrow(judge, answers)
     keys = by_part.cogroup(judged.groupBy("part")).applyInArrow(send_keys, packed)
     members = keys.groupBy("bucket").applyInArrow(meet, "grp long, ref long, own boolean, side int")

@@ -132,13 +132,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Rows alike in doc_id, source and size are numbered by their texts, and the first get the larger numbers of copies.
     """
-    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("mix_copies"))
-    taken = stage(taken.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "mix_copies").where(F.exists("mix_copies", lambda x: x > 0)), "copies")
-    found = docs.withColumn("mix_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("mix_number", F.lit(1))
-    if taken.where(F.size("mix_copies") > 1).limit(1).count():
-        alike = Window.partitionBy("doc_id", "source", "mix_words").orderBy("text")
-        found = found.withColumn("mix_number", F.row_number().over(alike))
-    same = found["doc_id"].eqNullSafe(taken["mix_id"]) & found["source"].eqNullSafe(taken["mix_source"]) & (found["mix_words"] == taken["mix_size"])
-    times = F.col("mix_copies")[F.col("mix_number") - 1]
-    joined = found.join(taken, same).withColumn("mix_times", times).where("mix_times > 0")
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times"))).select(*[found[c] for c in docs.columns])
+    taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
+    taken = stage(taken.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "__mix_copies").where(F.exists("__mix_copies", lambda x: x > 0)), "copies")
+    found = docs.withColumn("__mix_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__mix_number", F.lit(1))
+    if taken.where(F.size("__mix_copies") > 1).limit(1).count():
+        alike = Window.partitionBy("doc_id", "source", "__mix_words").orderBy("text")
+        found = found.withColumn("__mix_number", F.row_number().over(alike))
+    same = found["doc_id"].eqNullSafe(taken["__mix_id"]) & found["source"].eqNullSafe(taken["__mix_source"]) & (found["__mix_words"] == taken["__mix_size"])
+    times = F.col("__mix_copies")[F.col("__mix_number") - 1]
+    joined = found.join(taken, same).withColumn("__mix_times", times).where("__mix_times > 0")
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*[found[c] for c in docs.columns])

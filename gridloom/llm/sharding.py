@@ -39,22 +39,22 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, out: str | None = None,
     drawn = stage(docs.select(draw.alias("draw"), (F.octet_length(text) + 1).alias("size")), "draws")
     total, n_bytes = drawn.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets = max(1, -(-n_bytes // bucket_bytes))
-    counts = drawn.groupBy(F.pmod("draw", F.lit(n_buckets)).alias("shard_bucket")).count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("shard_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = counts.select("shard_bucket", before.alias("shard_from"))
-    scattered = docs.withColumn("shard_draw", draw).withColumn("shard_bucket", F.pmod("shard_draw", F.lit(n_buckets))).join(places, "shard_bucket")
+    counts = drawn.groupBy(F.pmod("draw", F.lit(n_buckets)).alias("__shard_bucket")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__shard_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = counts.select("__shard_bucket", before.alias("__shard_from"))
+    scattered = docs.withColumn("__shard_draw", draw).withColumn("__shard_bucket", F.pmod("__shard_draw", F.lit(n_buckets))).join(places, "__shard_bucket")
     schema = T.StructType([*docs.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
 
     def shuffle(key: tuple, table: pa.Table) -> pa.Table:
-        order = np.argsort(table["shard_draw"].to_numpy(), kind="stable")
+        order = np.argsort(table["__shard_draw"].to_numpy(), kind="stable")
         np.random.default_rng([seed, key[0].as_py()]).shuffle(order)  # Fisher-Yates
-        place = table["shard_from"][0].as_py() + np.arange(len(order))
+        place = table["__shard_from"][0].as_py() + np.arange(len(order))
         shard = place * n_shards // total
         slot = place - -(-shard * total // n_shards)
-        mixed = table.drop_columns(["shard_draw", "shard_bucket", "shard_from"]).take(pa.array(order))
+        mixed = table.drop_columns(["__shard_draw", "__shard_bucket", "__shard_from"]).take(pa.array(order))
         return mixed.append_column("slot", pa.array(slot, pa.int64())).append_column("shard", pa.array(shard, pa.int32()))
 
-    mixed = scattered.groupBy("shard_bucket").applyInArrow(shuffle, schema)
+    mixed = scattered.groupBy("__shard_bucket").applyInArrow(shuffle, schema)
     out = out or new_path(spark, "shards")
     mixed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
     return spark.read.schema(schema).parquet(out)

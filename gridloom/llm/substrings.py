@@ -80,7 +80,7 @@ def seen_before(highs: list[np.ndarray], lows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, n: int = 20, part_bytes: int = 16 << 20, bucket_windows: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 20, part_bytes: int = 8 << 20, bucket_windows: int = 1 << 20) -> DataFrame:
     """Drop the words of each document that lie in a window of ``n`` words occurring earlier.
 
     Returns one row for each row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_words, n_removed,
