@@ -141,7 +141,7 @@ def clip_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cut_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = S.pair_delta(samples(spark, sf_dir)).withColumn("distance", F.col("delta") / 490)
-    return rounded(S.detect_cuts(deltas, 0.6, 0.5), "t")
+    return rounded(S.detect_cuts(deltas, 0.1, 0.5), "t")
 
 
 @query(f"WITH {NATIVE} SELECT stim_id, round(t, 6) AS t, round(abs(v - lag(v) OVER (PARTITION BY stim_id ORDER BY t, v)), 6) AS delta FROM native")

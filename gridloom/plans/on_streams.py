@@ -21,4 +21,4 @@ def stream_grid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = live.event_stream(spark, sf_dir, lambda e: e.select(F.col("event_type").alias("stim_id"), hours().alias("t"), F.col("value").alias("v")))
-    return live.run_available(spark, live.cut_times(stream, 294.0, 0.5), "append", "cuts").select("stim_id", F.round("t", 6).alias("t"))
+    return live.run_available(spark, live.cut_times(stream, 49.0, 0.5), "append", "cuts").select("stim_id", F.round("t", 6).alias("t"))

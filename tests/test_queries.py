@@ -62,3 +62,8 @@ def test_library_stands_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'fastest_segments' in q and not any(k.startswith('op') for k in q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_streamed_cuts_are_those_of_the_batch(spark, sf):
+    both = [sorted((r.stim_id, r.t) for r in QUERIES[q](spark, sf).collect()) for q in ("cut_detect", "stream_cuts")]
+    assert both[0] == both[1]
