@@ -34,8 +34,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NEAR = 3  # words by which neighbouring diagonals of one passage may differ
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """label, number, exact (a phrase), pairs (in the template), at, gram and the two words: some hundred rows."""
+def _template_rows() -> list[tuple]:
     rows, number = [], 0
     for exact, group in ((True, {k: [v] for k, v in PHRASES.items()}), (False, TEMPLATES)):
         for label, texts in group.items():
@@ -43,8 +42,13 @@ def _templates(spark: SparkSession) -> DataFrame:
                 w = text.split(" ")
                 rows += [(label, number, exact, len(w) - 1, at, *w[at : at + 2]) for at in range(len(w) - 1)]
                 number += 1
+    return rows
+
+
+def _templates(spark: SparkSession) -> DataFrame:
+    """label, number, exact (a phrase), pairs (in the template), at, gram and the two words: some hundred rows."""
     names = ("label", "number", "exact", "pairs", "at", "t0", "t1")
-    structs = [F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows]
+    structs = [F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in _template_rows()]
     return spark.range(1).select(F.inline(F.array(*structs))).withColumn("gram", F.xxhash64("t0", "t1"))
 
 
@@ -87,3 +91,19 @@ def scan(docs: DataFrame, least_share: float = 0.8) -> DataFrame:
         joined(F.when(held, F.col("label"))).alias("labels"),
         F.coalesce(F.max(F.when(place | ~F.col("exact"), F.least(share, F.lit(1.0)))), F.lit(0.0)).alias("score"),
     ).drop("row")
+
+
+def oracle(least_share: float = 0.8) -> str:
+    """The same scan in DuckDB's SQL."""
+    values = ", ".join(f"('{label}', {number}, {str(exact).lower()}, {pairs}, {at}, '{t0}', '{t1}')" for label, number, exact, pairs, at, t0, t1 in _template_rows())
+    return rf"""WITH t(label, number, exact, pairs, tpos, t0, t1) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT row, unnest(range(len(ws) - 1)) AS i, unnest(ws[1:len(ws) - 1]) AS w0, unnest(ws[2:]) AS w1 FROM d WHERE len(ws) > 1),
+g AS (SELECT row, number, label, exact, pairs, i - tpos AS diagonal, list_distinct(list(tpos)) AS found FROM w JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
+m AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, number ORDER BY diagonal) > {NEAR}, false) AS apart FROM g),
+n AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY row, number ORDER BY diagonal) AS passage FROM m),
+p AS (SELECT row, number, passage, label, exact, pairs, min(diagonal) AS start, len(list_distinct(flatten(list(found)))) AS votes FROM n GROUP BY ALL),
+h AS (SELECT *, exact AND votes = pairs AS place, NOT exact AND votes / pairs >= {least_share} AS near FROM p),
+r AS (SELECT row, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list(label) FILTER (place OR near))), ',') AS labels, max(least(votes / pairs, 1.0::DOUBLE)) FILTER (place OR NOT exact) AS score FROM h GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (row)"""

@@ -88,4 +88,21 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+ORACLES: dict[str, str] = {
+    "op1_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
+    "op2_chat": """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, t, r, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) x(t, r)),
+e AS (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '</turn>', '\\e'), '### ', '\\h') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(role) + length(shown) + 14)::BIGINT AS formatted_chars, false AS rewritten FROM e GROUP BY 1""",
+    "op6_licenses": licenses.oracle(),
+    "op8_substring_dedup": f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS row, doc_id, {_SPLIT} AS ws FROM documents), w AS (SELECT row, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+k AS (SELECT row, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS sequence FROM (SELECT row, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)),
+f AS (SELECT row, i, row_number() OVER (PARTITION BY sequence ORDER BY row, i) > 1 AS again FROM k),
+g AS (SELECT w.row, w.i, w.word, coalesce(max(again::INTEGER) OVER (PARTITION BY w.row ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM w LEFT JOIN f ON f.row = w.row AND f.i = w.i),
+r AS (SELECT row, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (row)""",
+}
