@@ -194,12 +194,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_poi
 
 
 def fingerprint_classes(marked: DataFrame, radius: int, leaf_points: int) -> DataFrame:
-    """fp and component_id of every distinct fingerprint in (doc_id, fp)."""
+    """fp, its class's least fingerprint (root) and component_id of every distinct fingerprint in (doc_id, fp)."""
     points = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = linked_classes(points.select("fp"), radius, leaf_points)
     placed = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(firsts, "root").select("fp", "component_id")
+    return placed.join(firsts, "root").select("fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_points: int = 8192) -> DataFrame:
@@ -210,7 +210,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lea
     key = F.xxhash64("text")
     marked = stage(fingerprints(docs, shingle, [key.alias("text_key")]), "fingerprints")
     rows = marked.join(fingerprint_classes(marked, radius, leaf_points), "fp")
-    best = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")).select("b.doc_id", "b.text_key")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")).select("b.doc_id", "b.text_key")
     best = stage(best, "kept")
     kept = docs.alias("d").join(best.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key")), "left_semi")
     repeated = marked.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
