@@ -119,9 +119,10 @@ class PartLines:
         real = np.array(table["text"].is_valid(), bool) if len(table) else np.zeros(0, bool)
         self.per_doc = np.diff(np.searchsorted(breaks, self.offsets)) + 1
         self.n_lines = np.where(real, self.per_doc, 0)
-        lead = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:])
+        lead = np.zeros(len(self.data) + 1, np.int32)  # a part has far fewer than 2**31 bytes, a text no more than that
+        np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:], dtype=np.int32)
         self.eligible = np.flatnonzero(lead[self.ends] - lead[self.starts] >= min_chars)
+        del lead
         starts, ends = self.starts[self.eligible], self.ends[self.eligible]
         high, low = tokens.span_hashes(self.data, starts, ends), (ends - starts).astype(np.uint16)
         self.order = np.lexsort((np.arange(len(high)), low, high))
