@@ -138,7 +138,13 @@ def clip_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.clip_windows(samples(spark, sf_dir), 16, 8), "start", "end")
 
 
-@query()
+def greedy_sql(candidates: str, gap: str) -> str:
+    """Times kept one after the other, each the first that is ``gap`` or more after the last."""
+    return f"""WITH RECURSIVE {NATIVE}, c AS ({candidates}), kept AS (SELECT stim_id, min(t) AS t FROM c GROUP BY 1
+UNION ALL SELECT k.stim_id, min(c.t) FROM kept k JOIN c ON c.stim_id = k.stim_id AND {gap} GROUP BY k.stim_id, k.t) SELECT stim_id, round(t, 6) AS t FROM kept"""
+
+
+@query(greedy_sql("SELECT stim_id, t FROM (SELECT stim_id, t, abs(v - lag(v) OVER (PARTITION BY stim_id ORDER BY t, v)) / 490 AS d FROM native) WHERE d > 0.1", "c.t - k.t >= 0.5"))
 def cut_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = S.pair_delta(samples(spark, sf_dir)).withColumn("distance", F.col("delta") / 490)
     return rounded(S.detect_cuts(deltas, 0.1, 0.5), "t")
@@ -149,7 +155,7 @@ def frame_pair_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.pair_delta(samples(spark, sf_dir)), "t", "delta")
 
 
-@query()
+@query(greedy_sql("SELECT stim_id, t FROM native", "c.t + 1e-6::DOUBLE >= k.t + 2"))
 def frame_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.decimate(samples(spark, sf_dir), 0.5), "t")
 

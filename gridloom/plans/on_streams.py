@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.on_events import NATIVE, hours
+from gridloom.plans.registry import ORACLES
 from gridloom.plans.registry import query
 from gridloom.streaming import live
 
@@ -18,7 +19,7 @@ def stream_grid_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stim_id", F.floor((F.unix_micros("time") - start) / F.lit(3.6e9)).alias("bin"), F.round("v", 6).alias("v"), "n")
 
 
-@query()
+@query(ORACLES["cut_detect"])
 def stream_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = live.event_stream(spark, sf_dir, lambda e: e.select(F.col("event_type").alias("stim_id"), hours().alias("t"), F.col("value").alias("v")))
     return live.run_available(spark, live.cut_times(stream, 49.0, 0.5), "append", "cuts").select("stim_id", F.round("t", 6).alias("t"))
