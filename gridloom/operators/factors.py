@@ -116,3 +116,29 @@ def block_size(d: int, most: int = 10) -> int:
 def use_components(d: int, m: int) -> bool:
     """Whether a block of d variables is reduced by components rather than factors."""
     return d < 3 or m > most_factors(d) or d > 120
+
+
+def average_linkage(matrix: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (a, b, distance) of variables by 1 - |r|, clusters at the mean distance of their members; a new cluster is numbered after all before."""
+    d = 1 - np.abs(matrix).astype(float)
+    clusters = {i: [i] for i in range(len(d))}
+    merges = []
+    while len(clusters) > 1:
+        ids = sorted(clusters)
+        pairs = [(float(d[np.ix_(clusters[a], clusters[b])].mean()), a, b) for i, a in enumerate(ids) for b in ids[i + 1 :]]
+        best, a, b = min(pairs)
+        clusters[len(d) + len(merges)] = clusters.pop(a) + clusters.pop(b)
+        merges.append((a, b, best))
+    return merges
+
+
+def leaf_order(merges: list[tuple[int, int, float]], matrix: np.ndarray) -> list[int]:
+    """Variables in an order in which merged clusters stand together, turned so that the ends that meet are the nearest."""
+    d, n = 1 - np.abs(matrix), len(matrix)
+    order = {i: [i] for i in range(n)}
+    for k, (a, b, _) in enumerate(merges):
+        left, right = order.pop(a), order.pop(b)
+        turns = [(x, y) for x in (left, left[::-1]) for y in (right, right[::-1])]
+        x, y = min(turns, key=lambda t: d[t[0][-1], t[1][0]])
+        order[n + k] = x + y
+    return order[max(order)] if order else []
