@@ -43,8 +43,8 @@ class Pieces:
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.whole_words = not any(MARK in p.lstrip(MARK) for p in self.rank)
         self.first_mark = self.id["a"]
-        self.fits = lru_cache(maxsize=1 << 18)(self._fits)
-        self.reachable = lru_cache(maxsize=1 << 16)(lambda p: self.merge(p) == [p])
+        self.fits = lru_cache(maxsize=1 << 16)(self._fits)
+        self.reachable = lru_cache(maxsize=1 << 15)(lambda p: self.merge(p) == [p])
 
     def merge(self, text: str) -> list[str]:
         """BPE by definition: the best pair of neighbours, the leftmost of equals, again and again."""

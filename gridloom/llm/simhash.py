@@ -152,11 +152,13 @@ def link_within(points: np.ndarray, home: np.ndarray, radius: int, classes: Clas
 def linked_classes(fps: DataFrame, radius: int = 2, leaf_points: int = 8192, most_sampled: int = 1 << 20) -> DataFrame:
     """Of distinct fingerprints (fp), those with a smaller one in their class: node, root.
 
-    The tree is fitted on 32 fingerprints for each leaf, chosen by hash, ``most_sampled`` at most; all are indexed.
+    The tree is fitted on about 32 fingerprints for each leaf, chosen by hash, ``most_sampled`` at most; all are indexed.
     """
     n = fps.count()
     leaves = max(1, -(-n // leaf_points))
-    sample = fps.orderBy(F.xxhash64(F.lit(9), "fp"), "fp").limit(min(32 * leaves, most_sampled)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    one_in = max(1, leaf_points // 32, -(-2 * n // most_sampled))
+    chosen = fps.where(F.pmod(F.xxhash64(F.lit(9), "fp"), F.lit(one_in)) == 0).limit(most_sampled)
+    sample = np.sort(chosen.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64) if leaves > 1 else np.zeros(0, np.uint64)
     tree = build_tree(sample, leaves) if len(sample) else 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,7 @@ def _packer(most: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, bucket: int = 2048, block: int = 512, seed_vectors: int = 1024, group_buckets: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, bucket: int = 2048, block: int = 512, seed_vectors: int = 1024, group_buckets: int = 4) -> DataFrame:
     """The ``k`` vectors of largest inner product with each query: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` has vec_id and embedding (other columns are not read); ``queries`` says which rows are queries too.
@@ -171,7 +171,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, buc
     n_groups = max(1, -(-buckets.count() // group_buckets))
     grouped = buckets.select(F.pmod(F.xxhash64("number"), F.lit(n_groups)).alias("group"), "dim", "longest", "ids", "vectors")
     asked = blocks.select(F.col("number").alias("block"), F.col("dim").alias("query_dim"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"))
-    pairs = asked.join(grouped, "group").where("dim = query_dim").sortWithinPartitions("group", "block", F.col("longest").desc())
+    n_tasks = max(n_groups, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but much to compute: not to be put together by size
+    pairs = asked.repartition(n_tasks, "group").join(grouped.repartition(n_tasks, "group"), "group").where("dim = query_dim").sortWithinPartitions("group", "block", F.col("longest").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, best, queries = None, None, None
