@@ -180,7 +180,7 @@ def verdicts(c: dict[str, np.ndarray], forest: Forest | None) -> tuple[np.ndarra
 
 
 def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """doc_id, the counts of COUNTS, base_failed, score and kept for every row of ``docs`` (doc_id, text).
+    """doc_id, the counts of COUNTS, base_failed, kept and score for every row of ``docs`` (doc_id, text).
 
     A null or empty text has counts of zero and fails for want of words. Rows are judged each on its own, so repeated
     rows, ties and null doc_ids each keep a row; other columns are not read; an empty table gives an empty table.
@@ -190,10 +190,10 @@ def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:
         for batch in (piece for whole in batches for piece in tokens.slices(whole)):
             c = rule_counts(batch.column("text"))
             failed, score, kept = verdicts(c, forest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c[k], pa.int64()) for k in COUNTS), pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *COUNTS, "base_failed", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c[k], pa.int64()) for k in COUNTS), pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     counts = ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {counts}, base_failed boolean, kept boolean, score double")
 
 
 def keep_good(docs: DataFrame, forest: Forest | None) -> DataFrame:
