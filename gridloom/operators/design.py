@@ -32,6 +32,13 @@ def log_det(n: float, s: np.ndarray, ss: np.ndarray, ridge: float = 1e-3) -> flo
         return -np.inf
 
 
+def log_dets(n: np.ndarray, s: np.ndarray, ss: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """``log_det`` of many at once, by eigenvalues."""
+    cov = (ss - s[:, :, None] * s[:, None, :] / n[:, None, None]) / np.maximum(n - 1, 1)[:, None, None] + ridge * np.eye(s.shape[1])
+    values = np.linalg.eigvalsh(cov)
+    return np.where(values[:, 0] > 0, np.log(np.maximum(values, 1e-300)).sum(1), -np.inf)
+
+
 def unpack(row, q: int) -> tuple[float, np.ndarray, np.ndarray]:
     ss = np.zeros((q, q))
     ss[np.triu_indices(q)] = row.ss
@@ -54,25 +61,26 @@ def greedy(stats: DataFrame, q: int, k: int = 20, ridge: float = 1e-3, keys: tup
         def best(batches, n=n, s=s, ss=ss, taken=taken):
             top = None
             for pdf in batches:
-                for row in pdf.itertuples(index=False):
-                    key = tuple(getattr(row, c) for c in keys)
-                    if key in taken:
-                        continue
-                    add = np.zeros((q, q))
-                    add[triu] = row.ss
-                    value = log_det(n + row.n, s + np.array(row.s), ss + add + np.triu(add, 1).T, ridge)
-                    if top is None or (-value, key) < (-top[1], top[0]):
-                        top = (key, value)
+                names = list(zip(*(pdf[c] for c in keys), strict=True))
+                free = np.array([k not in taken for k in names], bool)
+                if not free.any():
+                    continue
+                add = np.zeros((len(pdf), q, q))
+                add[:, triu[0], triu[1]] = np.stack(pdf["ss"])
+                add = add + np.triu(add, 1).transpose(0, 2, 1)
+                value = np.where(free, log_dets(n + pdf["n"].to_numpy(float), s + np.stack(pdf["s"]), ss + add, ridge), -np.inf)
+                first = min(np.flatnonzero(value == value.max()), key=lambda i: names[i])
+                if top is None or (-value[first], names[first]) < (-top[1], top[0]):
+                    top = (names[first], float(value[first]), *pdf.iloc[first][["n", "s", "ss"]])
             if top is not None:
-                yield pd.DataFrame([[*top[0], top[1]]], columns=[*keys, "value"])
+                yield pd.DataFrame([[*top[0], *top[1:]]], columns=[*keys, "value", "n", "s", "ss"])
 
-        schema = ", ".join([*(f"{c} {stats.schema[c].dataType.simpleString()}" for c in keys), "value double"])
+        schema = ", ".join([*(f"{c} {stats.schema[c].dataType.simpleString()}" for c in keys), "value double, n long, s array<double>, ss array<double>"])
         found = stats.mapInPandas(best, schema).orderBy(F.col("value").desc(), *keys).limit(1).collect()
         if not found:
             break
         key = tuple(found[0][c] for c in keys)
-        row = stats.where(" AND ".join(f"{c} = {v!r}" for c, v in zip(keys, key, strict=True))).first()
-        dn, ds, dss = unpack(row, q)
+        dn, ds, dss = unpack(found[0], q)
         n, s, ss = n + dn, s + ds, ss + dss
         chosen.append((step, *key, float(found[0].value)))
     stats.unpersist()
