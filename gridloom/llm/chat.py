@@ -17,6 +17,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -33,11 +34,18 @@ def _swap(text: str, table: dict[str, str]) -> str:
     return re.sub("|".join(re.escape(k) for k in table), lambda m: table[m[0]], text)
 
 
+@lru_cache(maxsize=128)  # prefixes are rendered again and again, with the same few turns
 def escape(text: str) -> str:
     """The text with the template's control strings replaced; ``unescape`` gives it back."""
     return _swap(text, CONTROL)
 
 
+@lru_cache(maxsize=128)
+def escape_role(role: str) -> str:
+    """A role without the strings that would end it."""
+    return _swap(role, ROLE_CONTROL)
+
+
 def unescape(text: str) -> str:
     back = {v: k for k, v in ROLE_CONTROL.items()}
     return re.sub(r"\\.", lambda m: back[m[0]], text, flags=re.S)
@@ -45,7 +53,7 @@ def unescape(text: str) -> str:
 
 def render(turns: list[Turn]) -> str:
     """The template: ``### Role:``, the text and a closing mark for each turn, control strings escaped."""
-    return "".join(f"### {_swap(role, ROLE_CONTROL)}:\n{escape(text)}</turn>\n" for role, text in turns)
+    return "".join(f"### {escape_role(role)}:\n{escape(text)}</turn>\n" for role, text in turns)
 
 
 _TURN = re.compile(r"### ([^:\n]*):\n(.*?)</turn>\n", re.S)
