@@ -14,13 +14,17 @@ SAMPLED = 200_000  # ids, about, that the quantiles are taken from; they only de
 FINE = 64
 
 
-def id_bounds(df: DataFrame, id_col: str, weight: Column, part_weight: int) -> tuple[list[int], int]:
-    """Lower bounds of parts of about ``part_weight`` each (the first part has none) and the total weight."""
+def id_bounds(df: DataFrame, id_col: str, weight: Column, part_weight: int, least_weight: int = 1 << 16) -> tuple[list[int], int]:
+    """Lower bounds of parts of about ``part_weight`` each (the first part has none) and the total weight.
+
+    A small table is cut finer, to give each shuffle partition a part, but not below ``least_weight``.
+    """
     total, rows, top = df.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count(id_col), F.max(id_col)).first()
     probs = [i / SPLITS for i in range(1, SPLITS)]
     some = df.where(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(max(1, rows // SAMPLED))) == 0)
     cuts = some.agg(F.percentile_approx(id_col, probs, 4 * SPLITS)).first()[0]
-    n = max(1, -(-int(total) // part_weight))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-int(total) // part_weight), min(partitions, int(total) // least_weight))
     if not cuts:
         return [], int(total)
     if n <= SPLITS:
