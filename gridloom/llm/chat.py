@@ -18,6 +18,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -73,10 +74,14 @@ def read_back(formatted: str) -> list[Turn]:
 
 @dataclass(frozen=True)
 class Template:
-    """A black box, with how many turns before a turn it looks at (None: all of them)."""
+    """A black box, with how many turns before a turn it looks at (None: all of them). Unsaid (-1): none for the built-in template, all for others."""
 
     render: Callable[[list[Turn]], str] = render
-    looks_back: int | None = 0
+    looks_back: int | None = -1
+
+    def __post_init__(self) -> None:
+        if self.looks_back == -1:
+            object.__setattr__(self, "looks_back", 0 if self.render is render else None)
 
 
 @dataclass
@@ -107,7 +112,8 @@ def locate(template: Callable[[list[Turn]], str], turns: list[Turn], before: lis
             kept = len(shown) - start  # the ending of what was shown, which must stand again at the end
             end = len(now) - kept
             if end < start or now[end:] != shown[start:] or not (spans or before):
-                return Spans(now, [], [], i)
+                whole = template(before + turns)
+                return Spans(whole[len(ahead) :] if whole.startswith(ahead) else whole, [], [], i)
             if spans:  # the ending was taken for the last turn's
                 spans[-1] = (spans[-1][0], start - len(ahead))
         # two renderings that differ in this turn's text only: what they share around it is not the text
@@ -145,7 +151,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None, run
     (the first turn, in the run, at which the template changed earlier text; -1: never). Turns are ordered by turn,
     null first, then role and text; equal rows are turns of their own. A null role or text is empty; a null conv_id is
     a conversation like others. A template that looks back has each conversation in one task, as a stream of runs, or in
-    one run where it declares None. An empty table gives an empty table.
+    one run where it declares None or is not the built-in one and declares nothing. A conversation whose text such a
+    template changes is one row, rendered whole, without spans. An empty table gives an empty table.
     """
     template = template or Template()
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -158,12 +165,18 @@ def format_conversations(turns: DataFrame, template: Template | None = None, run
     span = pa.list_(pa.list_(pa.int64()))
 
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for conv, before, held in _runs(batches, run, template.looks_back):
-            found = locate(template.render, held, before)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([conv], pa.int64()), pa.array([found.text]), pa.array([[r for r, _ in held]], pa.list_(pa.string())),
-                pa.array([found.turns], span), pa.array([found.contents], span), pa.array([[r == loss_role for r, _ in held]]), pa.array([found.rewritten_at], pa.int32()),
-            ], names=["conv_id", "formatted", "roles", "spans", "contents", "loss", "rewritten_at"])
+        for conv, parts in groupby(_runs(batches, run, template.looks_back), key=lambda r: r[0]):
+            located = ((held, locate(template.render, held, before)) for _, before, held in parts)
+            if template.looks_back:  # text of earlier runs may be changed by later ones
+                located = list(located)
+                if any(found.rewritten_at >= 0 for _, found in located):
+                    turns = [t for held, _ in located for t in held]
+                    located = [(turns, locate(template.render, turns))]
+            for held, found in located:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([conv], pa.int64()), pa.array([found.text]), pa.array([[r for r, _ in held]], pa.list_(pa.string())),
+                    pa.array([found.turns], span), pa.array([found.contents], span), pa.array([[r == loss_role for r, _ in held]]), pa.array([found.rewritten_at], pa.int32()),
+                ], names=["conv_id", "formatted", "roles", "spans", "contents", "loss", "rewritten_at"])
 
     schema = "conv_id long, formatted string, roles array<string>, spans array<array<long>>, contents array<array<long>>, loss array<boolean>, rewritten_at int"
     placed = rows.mapInArrow(run_all, schema).withColumn("place", F.monotonically_increasing_id())
