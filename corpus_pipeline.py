@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, quality, simhash
+from gridloom.llm import mixing, quality
 from gridloom.llm.lines import dedup_lines
 from gridloom.llm.sentencepieces import encode_documents
+from gridloom.llm.similar import drop_similar
 from gridloom.llm.storage import stage
 
 
@@ -29,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each class of near-duplicates (five-word shingles, exact Jaccard similarity of 0.8 or more) the document of the smallest doc_id stays."""
+    return drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
