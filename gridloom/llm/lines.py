@@ -6,7 +6,7 @@ hash, and each line probes the index of its own length and of up to ``max_edits`
 Lines that meet under a key are compared by a banded bit-parallel edit distance.
 
 Documents are dealt into parts by ranges of doc_id, so the order of lines is the order of parts. Equal lines are
-resolved first, by hash, and only the first of each goes into the join. Keys move as packed sorted rows, one for each
+resolved first, by hashes of 128 bits, and only the first of each goes into the join. Keys move as packed sorted rows, one for each
 range of hashes and part. Pairs of lines are never sent: what moves is which lines stand under a key that two lines
 share, and their texts, once for each such key. A key with more lines than ``block`` is dealt out as pairs of blocks.
 """
@@ -14,50 +14,90 @@ share, and their texts, once for each such key. A key with more lines than ``blo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import tokens
 from gridloom.llm.parts import id_bounds, part_of
+from gridloom.llm.storage import set_aside
 from gridloom.llm.substrings import _bucket_edges, pack, seen_before, unpack
 
 CHAR_BASE = 0x8CB92BA72F3D8DD7
+LONG = 1 << 14  # characters of a line from which its few segments are hashed one by one
+CELLS = 1 << 23  # characters of pairs compared at once
+HELD = 1 << 19  # characters whose lines' keys are made at once
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for as many characters as are held at once."""
+    n = HELD + LONG + 1
+    return _powers(CHAR_BASE, n), _powers(pow(CHAR_BASE, -1, 1 << 64), n)
+
+
+def _trimmed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two long lines without what they share at either end, which leaves their distance as it is."""
+    for turn in (1, -1):
+        m = min(len(a), len(b))
+        apart = a[::turn][:m] != b[::turn][:m]
+        same = int(apart.argmax()) if apart.any() else m
+        a, b = (x[same:] if turn == 1 else x[: len(x) - same] for x in (a, b))
+    return a, b
 
 
 def banded_distance(patterns: list[np.ndarray], texts: list[np.ndarray], limit: int) -> np.ndarray:
-    """Edit distances of pairs, all at once; what is more than ``limit`` comes out as limit + 1.
+    """Edit distances of pairs; what is more than ``limit`` comes out as limit + 1.
 
-    One machine word for each pair holds the vertical differences in a band of 2 * limit + 1 rows around the diagonal
-    and slides down it by a row with every column.
+    Many pairs are taken at once, as many as fit in ``CELLS`` characters or one pair.
     """
-    swap = [len(p) < len(t) for p, t in zip(patterns, texts, strict=True)]
-    tall = [t if s else p for p, t, s in zip(patterns, texts, swap, strict=True)]
-    flat = [p if s else t for p, t, s in zip(patterns, texts, swap, strict=True)]
+    pairs = [_trimmed(p, t) if min(len(p), len(t)) > 512 else (p, t) for p, t in zip(patterns, texts, strict=True)]
+    tall = [p if len(p) >= len(t) else t for p, t in pairs]
+    flat = [t if len(p) >= len(t) else p for p, t in pairs]
     n, m = (np.array([len(x) for x in side], np.int64) for side in (tall, flat))
-    out = np.full(len(tall), limit + 1, np.int64)
+    out = np.full(len(pairs), limit + 1, np.int64)
     near = np.flatnonzero(n - m <= limit)
     near = near[np.argsort(-m[near], kind="stable")]
-    if not len(near):
-        return out
+    at = 0
+    while at < len(near):
+        some = near[at : at + max(1, CELLS // (int(m[near[at]]) + 3 * limit + 1))]
+        out[some] = _distances_of([tall[k] for k in some], [flat[k] for k in some], n[some], m[some], limit)
+        at += len(some)
+    return out
+
+
+def _distances_of(tall: list[np.ndarray], flat: list[np.ndarray], n: np.ndarray, m: np.ndarray, limit: int) -> np.ndarray:
+    """The distances of pairs whose lengths n >= m differ by the limit at most; m falls.
+
+    One machine word for each pair holds the vertical differences in a band of 2 * limit + 1 rows around the diagonal
+    and slides down it by a row with every column.
+    """
     width, band = 2 * limit + 1, np.uint64((1 << (2 * limit + 1)) - 1)
-    rows = np.full((len(near), int(n[near].max()) + 2 * limit + 1), 0xFFFFFFFF, np.uint32)
-    cols = np.full((len(near), int(m[near].max()) + 1), 0xFFFFFFFE, np.uint32)
-    for i, k in enumerate(near):
-        rows[i, limit : limit + len(tall[k])] = tall[k]
-        cols[i, : len(flat[k])] = flat[k]
+    rows = np.full((len(n), int(n.max()) + 2 * limit + 1), 0xFFFFFFFF, np.uint32)
+    cols = np.full((len(n), int(m.max()) + 1), 0xFFFFFFFE, np.uint32)
+    for i, (a, b) in enumerate(zip(tall, flat, strict=True)):
+        rows[i, limit : limit + len(a)] = a
+        cols[i, : len(b)] = b
     rows, cols = np.ascontiguousarray(rows.T), np.ascontiguousarray(cols.T)
-    up = np.full(len(near), int(band) & ~((1 << limit) - 1), np.uint64)
-    down = np.zeros(len(near), np.uint64)
-    diagonal = np.zeros(len(near), np.int64)
-    lengths = m[near]
+    up = np.full(len(n), int(band) & ~((1 << limit) - 1), np.uint64)
+    down = np.zeros(len(n), np.uint64)
+    diagonal = np.zeros(len(n), np.int64)
     one = np.uint64(1)
-    for j in range(int(lengths[0]) if len(lengths) else 0):
-        live = int(np.searchsorted(-lengths, -j, "left"))  # pairs with a column j; lengths fall
+    for j in range(int(m[0])):
+        live = int(np.searchsorted(-m, -j, "left"))  # pairs with a column j; lengths fall
         match = np.zeros(live, np.uint64)
         for b in range(width):
             match |= (rows[j + b, :live] == cols[j, :live]).astype(np.uint64) << np.uint64(b)
@@ -67,11 +107,9 @@ def banded_distance(patterns: list[np.ndarray], texts: list[np.ndarray], limit:
         diagonal[:live] += ((same >> np.uint64(limit)) & one) == 0
         up[:live] = (left | ~((same >> one) | right)) & band
         down[:live] = (same >> one) & right
-    below = (np.uint64(1) << (n[near] - m[near]).astype(np.uint64)) - one
-    below = below << np.uint64(limit)
+    below = ((one << (n - m).astype(np.uint64)) - one) << np.uint64(limit)
     found = diagonal + np.bitwise_count(up & below).astype(np.int64) - np.bitwise_count(down & below).astype(np.int64)
-    out[near] = np.minimum(found, limit + 1)
-    return out
+    return np.minimum(found, limit + 1)
 
 
 def segments(length: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -81,26 +119,45 @@ def segments(length: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarra
     return [(k * short + np.maximum(0, k - (parts - longer)), short + (k >= parts - longer)) for k in range(parts)]
 
 
-def line_keys(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of lines that lie in ``chars``: (key, number of the line, whether it is of the index)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    at = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * tokens._pow(CHAR_BASE, len(chars)), out=at[1:])
-    back = tokens._pow(tokens.inverse(CHAR_BASE), len(chars) + 1)
-    keys, lines, index = [], [], []
+def _placed_segments(length: np.ndarray, limit: int, min_chars: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Of lines of these lengths, what they look for: number of the segment, lengths of lines that hold it, the lines concerned, starts, sizes, and whether this is their own segment."""
     for less in range(limit + 1):
-        of = lengths - less
+        of = length - less
         for k, (p, size) in enumerate(segments(of, limit)):
             right = limit - k
             for shift in range(max(-k, less - right), min(k, less + right) + 1):
                 s = p + shift
-                ok = np.flatnonzero((of >= min_chars) & (size > 0) & (s >= 0) & (s + size <= lengths))
-                a, e = (starts + s)[ok], (starts + s + size)[ok]
-                h = tokens.mix((at[e] - at[a]) * back[a])
-                keys.append(tokens.mix(h + of[ok].astype(np.uint64) * np.uint64(tokens.BYTE_BASE) + np.uint64(k + 1)))
-                lines.append(ok)
-                index.append(np.full(len(ok), less == 0 and shift == 0))
+                ok = np.flatnonzero((of >= min_chars) & (size > 0) & (s >= 0) & (s + size <= length))
+                yield k, of[ok], ok, s[ok], size[ok], less == 0 and shift == 0
+
+
+def line_keys(chars: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of lines that lie in ``chars``: (key, number of the line, whether it is of the index).
+
+    Segments of lines of ``LONG`` characters and more are hashed one by one, others by one polynomial over all
+    characters; which, follows from the length of the line that the segment is of.
+    """
+    keys, lines, index = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    low = lengths < LONG + limit
+    short = np.flatnonzero(low)
+    if len(short):
+        a, e = int(starts[short[0]]), int(starts[short[-1]] + lengths[short[-1]])
+        power, back = (t if len(t) > e - a else _powers(int(t[1]), e - a + 1) for t in _tables())
+        at = np.zeros(e - a + 1, np.uint64)
+        np.cumsum((chars[a:e].astype(np.uint64) + np.uint64(1)) * power[: e - a], out=at[1:])
+    for k, of, ok, s, size, own in _placed_segments(lengths, limit, min_chars):
+        h = np.empty(len(ok), np.uint64)
+        few = of >= LONG
+        for i in np.flatnonzero(few):
+            begin = int(starts[ok[i]] + s[i])
+            h[i] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(chars[begin : begin + int(size[i])]))
+        if not few.all():
+            many = np.flatnonzero(~few)
+            begin = starts[ok[many]] + s[many] - a
+            h[many] = tokens.mix((at[begin + size[many]] - at[begin]) * back[begin])
+        keys.append(tokens.mix(h + of.astype(np.uint64) * np.uint64(tokens.BYTE_BASE) + np.uint64(k + 1)))
+        lines.append(ok)
+        index.append(np.full(len(ok), own))
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(index)
 
 
@@ -124,7 +181,7 @@ class PartLines:
         self.eligible = np.flatnonzero(lead[self.ends] - lead[self.starts] >= min_chars)
         del lead
         starts, ends = self.starts[self.eligible], self.ends[self.eligible]
-        high, low = tokens.span_hashes(self.data, starts, ends), (ends - starts).astype(np.uint16)
+        high, low = tokens.span_prints(self.data, starts, ends)
         self.order = np.lexsort((np.arange(len(high)), low, high))
         h, w = high[self.order], low[self.order]
         self.new = np.ones(len(h), bool)
@@ -215,13 +272,12 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     Lines are what newlines part, and are compared if they have ``min_chars`` characters or more; shorter ones stay. A
     line goes if a line of the corpus before it (smaller doc_id, or earlier in one text) is within ``max_edits`` edits
     of it, whether that one stays or not. Returns all columns, with text made of the lines that stay, and n_lines,
-    n_removed. Input columns of these names become n_lines_in and n_removed_in. A null text stays null, with no lines;
+    n_removed. Input columns of these names become n_lines_in and n_removed_in (or with more of _in, where that is taken). A null text stays null, with no lines;
     an empty one is one empty line. Rows of one doc_id follow each other in the order of their texts; of equal rows one
     counts as the earlier; a null doc_id comes after all others. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    for c in ("n_lines", "n_removed"):
-        docs = docs.withColumnRenamed(c, f"{c}_in")
+    docs = set_aside(docs, "n_lines", "n_removed")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     key_id = F.col("doc_id").cast("long")
     bounds, total = id_bounds(docs.select(key_id.alias("doc_id"), "text"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1, part_bytes)
@@ -244,7 +300,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     def judge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("from_part")
         highs = [unpack(x.as_py()) for x in table["high"]]
-        seen = seen_before(highs, [np.frombuffer(x.as_py(), np.uint16) for x in table["low"]])
+        seen = seen_before(highs, [np.frombuffer(x.as_py(), np.uint64) for x in table["low"]])
         cuts = np.cumsum([0, *map(len, highs)])
         bits = [np.packbits(seen[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         return pa.table({"part": table["from_part"], "bucket": table["bucket"], "n": pa.array(np.diff(cuts), pa.int64()), "bits": pa.array(bits, pa.binary())})
@@ -259,16 +315,24 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         judged, _ = split_answers(right)
         firsts = lines.eligible[~lines.again(judged)]
         keys, refs, index, held, size = [], [], [], [], 0
+
+        def flush(upto: int) -> None:
+            lengths = np.array([len(x) for x in held])
+            got, local, own = line_keys(np.concatenate(held), np.cumsum(lengths) - lengths, lengths, max_edits, min_chars)
+            keys.append(got)
+            refs.append(firsts[upto - len(held) + local])
+            index.append(own)
+            held.clear()
+
         for k, line in enumerate(firsts):
-            held.append(lines.chars(line))
-            size += len(held[-1])
-            if size >= tokens.SEGMENT or k == len(firsts) - 1:
-                lengths = np.array([len(x) for x in held])
-                got, local, own = line_keys(np.concatenate(held), np.cumsum(lengths) - lengths, lengths, max_edits, min_chars)
-                keys.append(got)
-                refs.append(firsts[k + 1 - len(held) + local])
-                index.append(own)
-                held, size = [], 0
+            chars = lines.chars(line)
+            if held and (size + len(chars) > HELD or len(chars) >= LONG):
+                flush(k)
+                size = 0
+            held.append(chars)
+            size += len(chars)
+        if held:
+            flush(len(firsts))
         if not keys:
             return pa.table({"bucket": pa.array([], pa.int64()), "from_part": pa.array([], pa.int32()), "high": pa.array([], pa.binary()), "low": pa.array([], pa.binary())})
         high = np.concatenate(keys)
@@ -354,14 +418,11 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         gone[near] = True
         cuts = np.append(0, np.cumsum(lines.per_doc))
         removed = tokens.per_text(gone, cuts)
-        texts = []
-        for i, text in enumerate(table["text"].cast(pa.binary())):
-            text = text.as_py()
-            if removed[i]:
-                text = b"\n".join(x for x, g in zip(text.split(b"\n"), gone[cuts[i] : cuts[i + 1]].tolist(), strict=True) if not g)
-            texts.append(text)
+        left = np.flatnonzero(~gone)
+        texts = tokens.joined(lines.data, lines.offsets, lines.starts[left], lines.ends[left], np.searchsorted(cuts, left, "right"), 0x0A)
+        texts = pc.if_else(table["text"].is_valid(), texts, pa.scalar(None, pa.string()))
         table = table.drop_columns(["__line_part"])
-        table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).view(pa.string()))
+        table = table.set_column(table.schema.get_field_index("text"), "text", texts)
         return table.append_column("n_lines", pa.array(lines.n_lines, pa.int64())).append_column("n_removed", pa.array(removed, pa.int64()))
 
     packed, answers = "bucket long, from_part int, high binary, low binary", "part int, bucket long, n long, bits binary"

@@ -38,12 +38,16 @@ def rule_counts(col: pa.Array | pa.ChunkedArray, window: int = 5) -> dict[str, n
     """
     data, offsets = tokens.column_bytes(col)
     starts, ends, word_offsets = tokens.words(data, offsets)
-    win = tokens.window_hashes(tokens.span_hashes(data, starts, ends), window)
+    h, other = tokens.span_prints(data, starts, ends)
     places = np.flatnonzero(tokens.whole_windows(word_offsets, window))
     text_of = np.searchsorted(word_offsets, places, "right").astype(np.uint64)
-    keyed = tokens.mix(win[places] + text_of * np.uint64(tokens.BYTE_BASE))
+    keyed = tokens.mix(tokens.window_hashes(h, window)[places] + text_of * np.uint64(tokens.BYTE_BASE))
+    check = tokens.window_hashes(other, window)[places]
     order = np.argsort(keyed)
     same = keyed[order][1:] == keyed[order][:-1]
+    if (same & (check[order][1:] != check[order][:-1])).any():
+        order = np.lexsort((check, keyed))
+        same = (keyed[order][1:] == keyed[order][:-1]) & (check[order][1:] == check[order][:-1])
     twice = np.zeros(len(places), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same

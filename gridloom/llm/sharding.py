@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.storage import new_path, stage
+from gridloom.llm.storage import new_path, set_aside, stage
 
 LAW = "rows"
 
@@ -26,14 +26,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, out: str | None = None,
 
     ``out`` becomes a Parquet folder with one subfolder for each shard, its rows sorted by slot within each file; unset,
     it is a folder among the session's shared ones. Columns: those of ``docs``, slot (long, gapless from 0 in each
-    shard) and shard (int). Input columns of these two names are written as shard_in and slot_in. Null or empty texts
+    shard) and shard (int). Input columns of these two names are written as shard_in and slot_in (or with more of _in, where that is taken). Null or empty texts
     and null doc_ids are records like others. Records spread by doc_id and text together, so neither a common text nor
     a common doc_id fills a bucket; only records equal in both share one. An empty table writes empty shards. The same
     records, however stored, always come to the same places, but for the order of equal ones.
     """
     spark = docs.sparkSession
-    for c in ("shard", "slot"):
-        docs = docs.withColumnRenamed(c, f"{c}_in")
+    docs = set_aside(docs, "shard", "slot")
     text = F.coalesce("text", F.lit(""))
     draw = F.xxhash64(F.lit(seed), "doc_id", F.crc32(text.cast("binary")), F.octet_length(text))
     drawn = stage(docs.select(draw.alias("draw"), (F.octet_length(text) + 1).alias("size")), "draws")

@@ -24,3 +24,16 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged table that no later step reads."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns of these names, in any case of letters, renamed by as many of _in as make them new."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    out = []
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            while c.lower() in taken:
+                c += "_in"
+            taken.add(c.lower())
+        out.append(c)
+    return df.toDF(*out)

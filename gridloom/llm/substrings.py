@@ -1,6 +1,7 @@
 """Removal of word sequences that occur earlier in the corpus.
 
-Every window of ``n`` words gets a Rabin-Karp hash (64 bits, and 16 more of another base). Documents are dealt into
+Every window of ``n`` words gets two Rabin-Karp hashes, of 64 and of 32 bits, over independent hashes of its words (the
+halves of XXH3 of 128 bits), so that two different sequences are taken for one with a chance of 2**-96 a pair. Documents are dealt into
 parts by ranges of doc_id, so that the order of parts is the order of documents. Each part sends its distinct hashes,
 sorted, as one packed row for each range of hashes; a range's rows meet in one Spark group, which counts the parts of
 each hash and answers each row with one bit a hash: whether an earlier part has it. A part then knows of each of its
@@ -32,10 +33,10 @@ def _prints(table: pa.Table, n: int) -> dict[str, np.ndarray]:
     """The windows of a part's documents, in order: places, and runs of equal hashes in the order of the hashes."""
     data, offsets = tokens.column_bytes(table["text"])
     starts, ends, word_offsets = tokens.words(data, offsets)
-    h = tokens.span_hashes(data, starts, ends)
+    h, other = tokens.span_prints(data, starts, ends)
     places = np.flatnonzero(tokens.whole_windows(word_offsets, n))
     high = tokens.window_hashes(h, n)[places]
-    low = tokens.window_hashes(h, n, CHECK_BASE)[places].astype(np.uint16)
+    low = tokens.window_hashes(other, n, CHECK_BASE)[places].astype(np.uint32)
     order = np.argsort(high, kind="stable")
     high, low = high[order], low[order]
     same = high[1:] == high[:-1]
@@ -45,7 +46,7 @@ def _prints(table: pa.Table, n: int) -> dict[str, np.ndarray]:
         same = (high[1:] == high[:-1]) & (low[1:] == low[:-1])
     new = np.ones(len(high), bool)
     new[1:] = ~same
-    return {"places": places, "order": order, "new": new, "high": high[new], "low": low[new], "word_offsets": word_offsets}
+    return {"places": places, "order": order, "new": new, "high": high[new], "low": low[new], "word_offsets": word_offsets, "starts": starts, "ends": ends, "data": data, "offsets": offsets}
 
 
 def _bucket_edges(high: np.ndarray, bits: int) -> np.ndarray:
@@ -110,7 +111,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, part_bytes: int = 8 << 20, buck
     def judge(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("from_part")
         highs = [unpack(x.as_py()) for x in table["high"]]
-        seen = seen_before(highs, [np.frombuffer(x.as_py(), np.uint16) for x in table["low"]])
+        seen = seen_before(highs, [np.frombuffer(x.as_py(), np.uint32) for x in table["low"]])
         cuts = np.cumsum([0, *map(len, highs)])
         return pa.table({
             "bucket": table["bucket"],
@@ -131,17 +132,13 @@ def remove_repeats(docs: DataFrame, n: int = 20, part_bytes: int = 8 << 20, buck
         flags[p["places"]] = again
         gone = tokens.covered(flags, total_words, n) if len(again) else flags
         removed, offsets = tokens.per_text(gone, p["word_offsets"]), p["word_offsets"]
-        kept = []
-        for i, text in enumerate(table["text"].cast(pa.binary())):
-            found = (text.as_py() or b"").split()
-            if removed[i]:
-                found = [w for w, g in zip(found, gone[offsets[i] : offsets[i + 1]].tolist(), strict=True) if not g]
-            kept.append(b" ".join(found))
+        left = np.flatnonzero(~gone)
+        kept = tokens.joined(p["data"], p["offsets"], p["starts"][left], p["ends"][left], np.searchsorted(offsets, left, "right"), 0x20)
         return pa.table({
             "doc_id": table["id"],
             "n_words": pa.array(np.diff(offsets), pa.int64()),
             "n_removed": pa.array(removed, pa.int64()),
-            "text": pa.array(kept, pa.binary()).view(pa.string()),
+            "text": kept,
         })
 
     sent = parted.groupBy("part").applyInArrow(prints, "bucket long, from_part int, high binary, low binary")

@@ -1,8 +1,8 @@
 """Words and rolling hashes of whole Arrow columns, without a Python object for each word.
 
 Words are maximal runs of bytes outside ``\\x20`` and ``\\x09-\\x0D``; those bytes never occur inside a UTF-8
-sequence, so words of bytes are words of characters. Hashes are polynomials modulo 2**64 over bytes, mixed, and
-Rabin-Karp polynomials modulo 2**64 over mixed word hashes.
+sequence, so words of bytes are words of characters. Spans of bytes have hashes of 128 bits (XXH3), of which each
+distinct span of a batch is hashed once; windows have Rabin-Karp polynomials over the words' hashes.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
-SEGMENT = 1 << 19  # bytes hashed at a time, so that the scratch arrays stay in cache
+SEGMENT = 1 << 20  # bytes hashed at a time, or one span
 
 
 def column_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +38,24 @@ def column_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return (data[0] if len(data) == 1 else np.concatenate(data) if data else np.zeros(0, np.uint8)), np.concatenate(offsets)
 
 
+def joined(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, text_of: np.ndarray, separator: int) -> pa.Array:
+    """The chosen spans of each text with one separator byte between them. A byte follows every span but a text's last."""
+    between = np.zeros(len(starts), bool)
+    between[:-1] = text_of[1:] == text_of[:-1]
+    change = np.zeros(len(data) + 2, np.int8)
+    full = ends + between > starts
+    change[starts[full]] += 1
+    change[(ends + between)[full]] -= 1
+    keep = np.cumsum(change[: len(data)], dtype=np.int8).view(bool)
+    sizes = per_text(keep, offsets)
+    out = data[keep]
+    lengths = ends - starts + between
+    out[np.cumsum(lengths)[between] - 1] = separator
+    at = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=at[1:])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(out))]).cast(pa.string())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values whose every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -46,42 +65,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    out = np.full(n, np.uint64(base))
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POW: dict[int, np.ndarray] = {}
-
+def spans_as_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of bytes as an Arrow array; they are in order and may not overlap."""
+    full = ends > starts
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts[full]] += 1
+    change[ends[full]] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
 
-def _pow(base: int, n: int) -> np.ndarray:
-    if base not in _POW or len(_POW[base]) < n:
-        _POW[base] = powers(base, max(n, SEGMENT + 1))
-    return _POW[base][:n]
 
-
-def inverse(base: int) -> int:
-    """The inverse of an odd number modulo 2**64."""
-    return pow(base, -1, 1 << 64)
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """A mixed 64-bit hash of every span of bytes; spans are in order of their starts and may not overlap."""
-    out = np.empty(len(starts), np.uint64)
+def span_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every span of bytes: the halves of its XXH3 of 128 bits. Spans are in order and may not overlap."""
+    out = np.empty((len(starts), 2), np.uint64)
     i = 0
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + SEGMENT, "right")))
-        hi = int(ends[j - 1])
-        at = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * _pow(base, hi - lo), out=at[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((at[e] - at[s]) * _pow(inverse(base), hi - lo)[s])
+        found = spans_as_array(data[lo : int(ends[j - 1])], starts[i:j] - lo, ends[i:j] - lo).dictionary_encode()
+        distinct, at = column_bytes(found.dictionary)
+        whole, at, digest = memoryview(distinct), at.tolist(), xxhash.xxh3_128_digest
+        prints = np.frombuffer(b"".join([digest(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]), ">u8").reshape(-1, 2).astype(np.uint64)
+        out[i:j] = prints[found.indices.to_numpy()]
         i = j
-    return out
+    return out[:, 0], out[:, 1]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first of the hashes of ``span_prints``."""
+    return span_prints(data, starts, ends)[0]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
