@@ -2,8 +2,11 @@
 
 Every pair of neighbouring words of every text is joined to the places of that pair in the license templates, which are
 a fixed short list. A match of text place i and template place j votes for the diagonal i - j. A phrase stands where a
-diagonal has all its template's votes; for the longer templates, diagonals near each other are merged, so that a few
-words put in or left out do not hide a license, and the share of the template found is its score.
+diagonal has all its template's votes. For the longer templates, the votes of a diagonal and of those up to ``SPREAD``
+above it are merged, so that a few words put in or left out do not hide a license; a merged span is at most that much
+longer than its template. It is verified by aligning the two: the longest chain of its votes in which both text place
+and template place rise, as a share of the template's pairs, is its score. Votes spread over a longer stretch, or out of
+order, make no license.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ TEMPLATES = {
 }
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NEAR = 3  # words by which neighbouring diagonals of one passage may differ
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPREAD = 6  # words by which the diagonals of one span may differ: words put in less words left out
 
 
 def _template_rows() -> list[tuple]:
@@ -52,17 +56,21 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*structs))).withColumn("gram", F.xxhash64("t0", "t1"))
 
 
+_CHAIN = """bit_count(aggregate(merged, 0L, (s, v) -> if((s & shiftleft(1L, v.at)) <> 0, s,
+    (s ^ ((s & -shiftleft(2L, v.at)) & -(s & -shiftleft(2L, v.at)))) | shiftleft(1L, v.at))))"""
+
+
 def scan(docs: DataFrame, least_share: float = 0.8) -> DataFrame:
     """Licenses in every row of ``docs`` (doc_id, text; other columns are not read).
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word (the smallest and the largest start of a
-    phrase, else null), base_labels, labels (with those of templates of which at least ``least_share`` is found; both
+    phrase, else null), base_labels, labels (with those of templates of which at least ``least_share`` is verified; both
     distinct, sorted, joined by commas, empty if there are none), score (the largest share of a template or phrase
-    found, 0 to 1). A null text is empty. Rows are numbered, so that repeated rows and null or shared doc_ids keep a
+    verified, 0 to 1). A null text is empty. Rows are numbered, so that repeated rows and null or shared doc_ids keep a
     row each. An empty table gives an empty table.
     """
-    # lower() also changes letters outside ASCII; those are in no template and stay word characters, so places and counts are those of A-Z alone
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), SEPARATORS), lambda w: w != "")
+    small = F.translate(F.coalesce("text", F.lit("")), CAPITALS, SMALL)
+    words = F.filter(F.split(small, SEPARATORS), lambda w: w != "")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("w"))
     # a document's words and, one further, its words again: pairs; before the first word stands an entry for the document itself
     marked = base.select("doc_id", "row", F.size("w").alias("n_words"), F.concat(F.array(F.lit("")), "w").alias("w"))
@@ -72,38 +80,41 @@ def scan(docs: DataFrame, least_share: float = 0.8) -> DataFrame:
     own = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("label"), F.lit(-1).alias("number"), F.lit(True).alias("exact"), F.lit(0).alias("pairs"), F.lit(0).alias("at"), F.lit("").alias("t0"), F.lit("").alias("t1"), F.lit(0).cast("long").alias("gram"))
     votes = grams.join(F.broadcast(template.union(own)), "gram").where((F.col("i") < 0) == (F.col("number") < 0)).where((F.col("i") < 0) | ((F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))))
     key = ["row", "doc_id"]
-    diagonals = votes.groupBy(*key, "number", (F.col("i") - F.col("at")).alias("diagonal")).agg(F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("pairs").alias("pairs"), F.max("n_words").alias("n_words"), F.collect_set("at").alias("found"))
-    # an exact phrase needs its own diagonal; a template's diagonals join while each is near the one before
-    order = Window.partitionBy(*key, "number").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(False)) | F.col("exact")
-    passages = diagonals.withColumn("passage", F.sum(apart.cast("int")).over(order)).groupBy(*key, "number", "passage").agg(
-        F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("pairs").alias("pairs"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("votes"))
-    share = F.col("votes") / F.when(F.col("pairs") > 0, F.col("pairs"))
-    place = F.col("exact") & (F.col("votes") == F.col("pairs")) & (F.col("number") >= 0)
+    diagonals = votes.groupBy(*key, "number", (F.col("i") - F.col("at")).alias("diagonal")).agg(
+        F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("pairs").alias("pairs"), F.max("n_words").alias("n_words"), F.collect_list(F.struct("i", (-F.col("at")).alias("back"), "at")).alias("votes"))
+    # an exact phrase needs its own diagonal; a template's diagonal takes the votes of those near above it
+    near = Window.partitionBy(*key, "number").orderBy("diagonal").rangeBetween(0, SPREAD)
+    merged = F.when(F.col("exact"), F.col("votes")).otherwise(F.array_sort(F.flatten(F.collect_list("votes").over(near))))
+    # The longest chain of votes in which i and at rise. Bit b of the state is set if, of the chains of some length, the one
+    # with the smallest last place ends at place b; a vote's place takes that of the next bit above or makes a longer chain.
+    spans = diagonals.withColumn("merged", merged).withColumn("aligned", F.when(F.col("exact"), F.size("votes")).otherwise(F.expr(_CHAIN)))
+    share = F.col("aligned") / F.when(F.col("pairs") > 0, F.col("pairs"))
+    place = F.col("exact") & (F.col("aligned") == F.col("pairs")) & (F.col("number") >= 0)
     held = place | (~F.col("exact") & (share >= least_share))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return passages.groupBy(*key).agg(
+    return spans.groupBy(*key).agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.count(F.when(place, 1)).alias("n_base"),
-        F.min(F.when(place, F.col("start"))).cast("long").alias("first_word"),
-        F.max(F.when(place, F.col("start"))).cast("long").alias("last_word"),
+        F.min(F.when(place, F.col("diagonal"))).cast("long").alias("first_word"),
+        F.max(F.when(place, F.col("diagonal"))).cast("long").alias("last_word"),
         joined(F.when(place, F.col("label"))).alias("base_labels"),
         joined(F.when(held, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(place | ~F.col("exact"), F.least(share, F.lit(1.0)))), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max(F.when(place | ~F.col("exact"), share)), F.lit(0.0)).alias("score"),
     ).drop("row")
 
 
 def oracle(least_share: float = 0.8) -> str:
     """The same scan in DuckDB's SQL."""
     values = ", ".join(f"('{label}', {number}, {str(exact).lower()}, {pairs}, {at}, '{t0}', '{t1}')" for label, number, exact, pairs, at, t0, t1 in _template_rows())
+    above = "(s & -(2::BIGINT << b::INTEGER))"
     return rf"""WITH t(label, number, exact, pairs, tpos, t0, t1) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 w AS (SELECT row, unnest(range(len(ws) - 1)) AS i, unnest(ws[1:len(ws) - 1]) AS w0, unnest(ws[2:]) AS w1 FROM d WHERE len(ws) > 1),
-g AS (SELECT row, number, label, exact, pairs, i - tpos AS diagonal, list_distinct(list(tpos)) AS found FROM w JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
-m AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, number ORDER BY diagonal) > {NEAR}, false) AS apart FROM g),
-n AS (SELECT *, sum(apart::INTEGER) OVER (PARTITION BY row, number ORDER BY diagonal) AS passage FROM m),
-p AS (SELECT row, number, passage, label, exact, pairs, min(diagonal) AS start, len(list_distinct(flatten(list(found)))) AS votes FROM n GROUP BY ALL),
-h AS (SELECT *, exact AND votes = pairs AS place, NOT exact AND votes / pairs >= {least_share} AS near FROM p),
-r AS (SELECT row, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
-array_to_string(list_sort(list_distinct(list(label) FILTER (place OR near))), ',') AS labels, max(least(votes / pairs, 1.0::DOUBLE)) FILTER (place OR NOT exact) AS score FROM h GROUP BY 1)
+g AS (SELECT row, number, label, exact, pairs, i - tpos AS diagonal, list({{'i': i, 'back': -tpos}}) AS votes FROM w JOIN t ON w0 = t0 AND w1 = t1 GROUP BY ALL),
+m AS (SELECT *, CASE WHEN exact THEN votes ELSE list_sort(flatten(list(votes) OVER (PARTITION BY row, number ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {SPREAD} FOLLOWING))) END AS merged FROM g),
+p AS (SELECT row, label, exact, pairs, diagonal, CASE WHEN exact THEN len(merged) ELSE bit_count(list_reduce(list_prepend(0::BIGINT, list_transform(merged, lambda v: (-v.back)::BIGINT)),
+lambda s, b: CASE WHEN s & (1::BIGINT << b::INTEGER) <> 0 THEN s ELSE xor(s, {above} & -{above}) | (1::BIGINT << b::INTEGER) END)) END AS aligned FROM m),
+h AS (SELECT *, exact AND aligned = pairs AS place, NOT exact AND aligned / pairs >= {least_share} AS near FROM p),
+r AS (SELECT row, count(*) FILTER (place) AS n_base, min(diagonal) FILTER (place) AS first_word, max(diagonal) FILTER (place) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
+array_to_string(list_sort(list_distinct(list(label) FILTER (place OR near))), ',') AS labels, max(aligned / pairs) FILTER (place OR NOT exact) AS score FROM h GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (row)"""
