@@ -5,7 +5,8 @@ holds one of them whole, near the same place. Each line's segments go into an in
 hash, and each line probes the index of its own length and of up to ``max_edits`` less at the few places that can match.
 Lines that meet under a key are compared by a banded bit-parallel edit distance.
 
-Documents are dealt into parts by ranges of doc_id, so the order of lines is the order of parts. Equal lines are
+Documents are dealt into parts by ranges of doc_id, and of texts where one id has more than a part, so the order of
+lines is the order of parts. Equal lines are
 resolved first, by hashes of 128 bits, and only the first of each goes into the join. Keys move as packed sorted rows, one for each
 range of hashes and part. Pairs of lines are never sent: what moves is which lines stand under a key that two lines
 share, and their texts, once for each such key. A key with more lines than ``block`` is dealt out as pairs of blocks.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import tokens
-from gridloom.llm.parts import id_bounds, part_of
+from gridloom.llm.parts import grown, plan_parts
 from gridloom.llm.storage import set_aside
 from gridloom.llm.substrings import _bucket_edges, pack, seen_before, unpack
 
@@ -168,7 +169,7 @@ def _in_order(table: pa.Table) -> pa.Table:
 class PartLines:
     """The lines of a part's documents, in order, and those that may be compared."""
 
-    def __init__(self, table: pa.Table, min_chars: int) -> None:
+    def __init__(self, table: pa.Table, min_chars: int, short_repeats: bool = False) -> None:
         self.data, self.offsets = tokens.column_bytes(table["text"])
         breaks = np.flatnonzero(self.data == 0x0A)
         self.starts = np.sort(np.concatenate([self.offsets[:-1], breaks + 1]))
@@ -178,7 +179,11 @@ class PartLines:
         self.n_lines = np.where(real, self.per_doc, 0)
         lead = np.zeros(len(self.data) + 1, np.int32)  # a part has far fewer than 2**31 bytes, a text no more than that
         np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:], dtype=np.int32)
-        self.eligible = np.flatnonzero(lead[self.ends] - lead[self.starts] >= min_chars)
+        taking_part = lead[self.ends] - lead[self.starts] >= min_chars
+        if short_repeats:
+            np.cumsum(~tokens.SPACE[self.data], out=lead[1:], dtype=np.int32)
+            taking_part |= lead[self.ends] > lead[self.starts]
+        self.eligible = np.flatnonzero(taking_part)
         del lead
         starts, ends = self.starts[self.eligible], self.ends[self.eligible]
         high, low = tokens.span_prints(self.data, starts, ends)
@@ -266,10 +271,12 @@ def near_earlier(keys: np.ndarray, refs: np.ndarray, texts: list[bytes], index:
     return lines[np.unique(np.concatenate(hits))]
 
 
-def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_bytes: int = 8 << 20, bucket_keys: int = 1 << 21, block: int = 2048) -> DataFrame:
+def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, short_repeats: bool = False, part_bytes: int = 8 << 20, bucket_keys: int = 1 << 21, block: int = 2048) -> DataFrame:
     """Drop the lines of ``docs`` (doc_id, text and any other columns) that are near an earlier line.
 
-    Lines are what newlines part, and are compared if they have ``min_chars`` characters or more; shorter ones stay. A
+    Lines are what newlines part, and are compared if they have ``min_chars`` characters or more; shorter ones stay, or with
+    ``short_repeats`` go where they hold a word and equal an earlier line. Two lines of no more than ``max_edits``
+    characters are near only if they are equal. Any other
     line goes if a line of the corpus before it (smaller doc_id, or earlier in one text) is within ``max_edits`` edits
     of it, whether that one stays or not. Returns all columns, with text made of the lines that stay, and n_lines,
     n_removed. Input columns of these names become n_lines_in and n_removed_in (or with more of _in, where that is taken). A null text stays null, with no lines;
@@ -279,15 +286,16 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
     spark = docs.sparkSession
     docs = set_aside(docs, "n_lines", "n_removed")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    key_id = F.col("doc_id").cast("long")
-    bounds, total = id_bounds(docs.select(key_id.alias("doc_id"), "text"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1, part_bytes)
-    line_bits = max(0, total // 100 // bucket_keys).bit_length()
-    key_bits = max(0, total // 20 // bucket_keys).bit_length()
-    n_parts = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parted = docs.withColumn("__line_part", part_of(key_id, bounds)).repartition(n_parts, "__line_part")
+    keyed = docs.withColumn("__line_id", F.col("doc_id").cast("long"))
+    parts = plan_parts(keyed, "__line_id", "text", part_bytes)
+    keys_each = grown(bucket_keys, parts.total, 4)
+    line_bits = max(0, parts.total // 100 // keys_each).bit_length()
+    key_bits = max(0, parts.total // 20 // keys_each).bit_length()
+    n_parts = max(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parted = keyed.withColumn("__line_part", parts.part).drop("__line_id").repartition(n_parts, "__line_part")
 
     def equal_lines(key: tuple, table: pa.Table) -> pa.Table:
-        lines = PartLines(_in_order(table), min_chars)
+        lines = PartLines(_in_order(table), min_chars, short_repeats)
         edges = _bucket_edges(lines.high, line_bits)
         full = np.flatnonzero(np.diff(edges))
         return pa.table({
@@ -311,7 +319,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         return [(n, bits) for b, n, bits in rows if b >= 0], np.array([n for b, n, _ in rows if b < 0], np.int64)
 
     def send_keys(left: pa.Table, right: pa.Table) -> pa.Table:
-        lines = PartLines(_in_order(left), min_chars)
+        lines = PartLines(_in_order(left), min_chars, short_repeats)
         judged, _ = split_answers(right)
         firsts = lines.eligible[~lines.again(judged)]
         keys, refs, index, held, size = [], [], [], [], 0
@@ -387,7 +395,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
         _, wanted = split_answers(right)
         if not len(wanted):
             return pa.table({"ref": pa.array([], pa.int64()), "line": pa.array([], pa.binary())})
-        lines = PartLines(_in_order(left), min_chars)
+        lines = PartLines(_in_order(left), min_chars, short_repeats)
         return pa.table({"ref": pa.array((part << 32) | wanted, pa.int64()), "line": pa.array([lines.data[lines.starts[k] : lines.ends[k]].tobytes() for k in wanted], pa.binary())})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +419,7 @@ def dedup_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, part_b
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         table = _in_order(left) if len(left) else left
-        lines = PartLines(table, min_chars)
+        lines = PartLines(table, min_chars, short_repeats)
         judged, near = split_answers(right)
         gone = np.zeros(len(lines.starts), bool)
         gone[lines.eligible] = lines.again(judged)

@@ -1,47 +1,114 @@
-"""Parts of a table by ranges of its integer id, decided by the data alone.
+"""Parts of a table in the order of its integer ids and texts, decided by the data alone.
 
-A part is a pure function of the id and of bounds computed once, so two passes over one table, or a recomputed task,
-always put a row into the same part. Parts follow each other in the order of the ids; null ids are in the last one.
+A part is a pure function of a row and of bounds computed once, so two passes over one table, or a recomputed task,
+always put a row into the same part. Parts follow each other in the order of the ids, null last; an id whose rows are
+more than a part holds is cut further in the order of its texts, and equal short texts of one id are spread by the
+places of their rows, which are interchangeable.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPLITS = 4096  # quantiles asked of the data; finer parts divide a split's range of ids evenly
+SPLITS = 4096  # quantiles asked of the data, and of the texts of one id; finer parts divide a split's range of ids evenly
 SAMPLED = 200_000  # ids, about, that the quantiles are taken from; they only decide how even the parts are
+SAMPLED_TEXTS = 20_000  # rows, about, of heavy ids whose texts' beginnings are looked at
+BEGINNING = 64  # characters of them
 FINE = 64
 
 
-def id_bounds(df: DataFrame, id_col: str, weight: Column, part_weight: int, least_weight: int = 1 << 16) -> tuple[list[int], int]:
-    """Lower bounds of parts of about ``part_weight`` each (the first part has none) and the total weight.
+@dataclass
+class Parts:
+    """How many parts there are, what the table weighs, and the part of a row."""
 
-    A small table is cut finer, to give each shuffle partition a part, but not below ``least_weight``.
-    """
-    total, rows, top = df.agg(F.coalesce(F.sum(weight), F.lit(0)), F.count(id_col), F.max(id_col)).first()
-    probs = [i / SPLITS for i in range(1, SPLITS)]
-    some = df.where(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(max(1, rows // SAMPLED))) == 0)
-    cuts = some.agg(F.percentile_approx(id_col, probs, 4 * SPLITS)).first()[0]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(1, -(-int(total) // part_weight), min(partitions, int(total) // least_weight))
-    if not cuts:
-        return [], int(total)
-    if n <= SPLITS:
-        bounds = [cuts[round(i * SPLITS / n) - 1] for i in range(1, n) if round(i * SPLITS / n)]
-    else:
-        each, edges = -(-n // SPLITS), [*cuts, top + 1]
-        bounds = [a + (b - a) * k // each for a, b in zip(edges, edges[1:], strict=False) for k in range(each)]
-    return sorted(set(bounds)), int(total)
+    count: int
+    total: int
+    part: Column
 
 
-def part_of(id_col: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the id, found in two steps of array filters; null ids come last."""
+def _below(bounds: list[int], x: Column) -> Column:
+    """The number of bounds at or below x, found in two steps of array filters."""
     if not bounds:
         return F.lit(0)
     step = max(FINE, int(len(bounds) ** 0.5))
-    coarse = F.lit(bounds[step - 1 :: step]) if len(bounds) >= step else None
-    below = lambda a: F.size(F.filter(a, lambda x: x <= id_col))
-    first = below(coarse) if coarse is not None else F.lit(0)
-    rest = first * step + below(F.slice(F.lit(bounds), first * step + 1, F.lit(step)))
-    return F.when(id_col.isNull(), F.lit(len(bounds))).otherwise(rest).cast("int")
+    below = lambda a: F.size(F.filter(a, lambda b: b <= x))
+    first = below(F.lit(bounds[step - 1 :: step])) if len(bounds) >= step else F.lit(0)
+    return first * step + below(F.slice(F.lit(bounds), first * step + 1, F.lit(step)))
+
+
+def _text_cuts(rows: DataFrame, heavy: dict[int | None, int], n_rows: int, part_weight: int) -> dict[int | None, list[bytes]]:
+    """For each heavy id the beginnings of texts at which its parts begin; one that fills several parts is there several times."""
+    one_in = max(1, n_rows // SAMPLED_TEXTS)
+    some = rows.where(F.pmod(F.xxhash64(F.lit(23), F.monotonically_increasing_id()), F.lit(one_in)) == 0)
+    found: dict[int | None, list[tuple[bytes, int]]] = {}
+    for r in some.select("id", F.coalesce(F.substring("text", 1, BEGINNING), F.lit("")).cast("binary").alias("b"), "weight").collect():
+        found.setdefault(r.id, []).append((bytes(r.b), r.weight))
+    cuts = {}
+    for i, seen in found.items():
+        seen.sort()
+        n = min(SPLITS, -(-heavy[i] // part_weight))
+        weight = np.cumsum([w for _, w in seen])
+        at = np.searchsorted(weight, weight[-1] * np.arange(1, n) / n)
+        if len(at):
+            cuts[i] = [seen[k][0] for k in at]
+    return cuts
+
+
+def plan_parts(df: DataFrame, id_col: str, text_col: str, part_weight: int, least_weight: int = 1 << 16) -> Parts:
+    """Parts of about ``part_weight`` bytes of text each.
+
+    A small table is cut finer, to give each shuffle partition a part, but not below ``least_weight``. The driver sees
+    the ids of more weight than a part that have several rows: no more than there are parts.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("weight"))
+    per_id = rows.groupBy("id").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    heavy_one = (F.col("w") > part_weight) & (F.col("n") > 1)
+    total, n_ids, top, heavy = per_id.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("id"), F.max("id"), F.collect_list(F.when(heavy_one, F.struct("id", "w", "n")))).first()
+    total = int(total)
+    probs = [i / SPLITS for i in range(1, SPLITS)]
+    some = df.where(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(max(1, n_ids // SAMPLED))) == 0)
+    quantiles = some.agg(F.percentile_approx(id_col, probs, 4 * SPLITS)).first()[0]
+    n = max(1, -(-total // part_weight), min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // least_weight))
+    x = F.col(id_col)
+    if not quantiles or n == 1:
+        part, count = F.lit(0), 1
+    elif n <= SPLITS:
+        bounds = sorted({quantiles[round(i * SPLITS / n) - 1] for i in range(1, n) if round(i * SPLITS / n)})
+        part, count = _below(bounds, x), len(bounds) + 1
+    else:
+        edges, each = sorted({*quantiles, top + 1}), -(-n // SPLITS)
+        split = _below(edges[:-1], x)
+        low, high = F.element_at(F.lit(edges), F.greatest(split, F.lit(1))), F.element_at(F.lit(edges), split + 1)
+        count = 1 + (len(edges) - 1) * each
+        fine = F.floor((x - low).cast("double") * each / F.greatest(high - low, F.lit(1)).cast("double")).cast("int")
+        part = F.when(split > 0, 1 + (split - 1) * each + F.least(fine, F.lit(each - 1))).otherwise(F.lit(0))
+    part = F.when(x.isNull(), F.lit(count - 1)).otherwise(part)
+    weights = {h.id: int(h.w) for h in heavy}
+    if weights:
+        named = [h for h in weights if h is not None]
+        is_heavy = lambda c: F.when(c.isNull(), F.lit(None in weights)).otherwise(c.isin(named) if named else F.lit(False))
+        cuts = _text_cuts(rows.where(is_heavy(F.col("id"))), weights, sum(h.n for h in heavy), part_weight)
+        shifts = [i for i, c in cuts.items() if i is not None for _ in c]
+        begins = F.coalesce(F.substring(text_col, 1, BEGINNING), F.lit("")).cast("binary")
+        whole = F.coalesce(F.char_length(text_col), F.lit(0)) <= BEGINNING
+        spread = F.pmod(F.xxhash64(F.lit(29), F.monotonically_increasing_id()), F.lit(1 << 30))
+        own = F.lit(0)
+        for i, c in cuts.items():
+            less = F.size(F.filter(F.lit(c), lambda b: b < begins))
+            equal = F.size(F.filter(F.lit(c), lambda b: b == begins))
+            mine = less + F.when(whole, F.pmod(spread, equal + 1).cast("int")).otherwise(equal)
+            own = F.when(x.isNull() if i is None else x == i, mine).otherwise(own)
+        before = F.size(F.filter(F.lit(shifts), lambda h: h < x)) if shifts else F.lit(0)
+        part = part + F.when(x.isNull(), F.lit(len(shifts))).otherwise(before) + F.when(is_heavy(x), own).otherwise(F.lit(0))
+        count += sum(len(c) for c in cuts.values())
+    return Parts(count, total, part.cast("int"))
+
+
+def grown(size: int, total: int, most: int, unit: int = 1 << 40) -> int:
+    """A size that grows with a table beyond ``unit`` bytes, ``most`` times at most, so that what is sent per pair of parts stays worth sending."""
+    return size * max(1, min(most, total // unit))

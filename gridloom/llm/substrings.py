@@ -2,7 +2,8 @@
 
 Every window of ``n`` words gets two Rabin-Karp hashes, of 64 and of 32 bits, over independent hashes of its words (the
 halves of XXH3 of 128 bits), so that two different sequences are taken for one with a chance of 2**-96 a pair. Documents are dealt into
-parts by ranges of doc_id, so that the order of parts is the order of documents. Each part sends its distinct hashes,
+parts by ranges of doc_id, and of texts where one id has more than a part, so that the order of parts is the order of
+documents. Each part sends its distinct hashes,
 sorted, as one packed row for each range of hashes; a range's rows meet in one Spark group, which counts the parts of
 each hash and answers each row with one bit a hash: whether an earlier part has it. A part then knows of each of its
 windows whether its sequence starts earlier, merges those windows into maximal intervals and drops the words in them.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
-from gridloom.llm.parts import id_bounds, part_of
+from gridloom.llm.parts import grown, plan_parts
 
 CHECK_BASE = 0xA0761D6478BD642F
 
@@ -92,10 +93,10 @@ def remove_repeats(docs: DataFrame, n: int = 20, part_bytes: int = 8 << 20, buck
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    bounds, total = id_bounds(docs, "id", F.coalesce(F.octet_length("text"), F.lit(0)) + 1, part_bytes)
-    bits = max(0, (total // 6 // bucket_windows)).bit_length()
-    n_parts = max(len(bounds) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parted = docs.withColumn("part", part_of(F.col("id"), bounds)).repartition(n_parts, "part")
+    parts = plan_parts(docs, "id", "text", part_bytes)
+    bits = max(0, parts.total // 6 // grown(bucket_windows, parts.total, 4)).bit_length()
+    n_parts = max(parts.count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parted = docs.withColumn("part", parts.part).repartition(n_parts, "part")
 
     def prints(key: tuple, table: pa.Table) -> pa.Table:
         p = _prints(_in_order(table), n)
