@@ -6,9 +6,12 @@ last turn) is told from text that was changed: a template that changes text alre
 turn that did it, and gets no spans. Within its span a turn's own text is found with two probes, renderings that
 differ in that text only.
 
-Conversations are rendered in runs of ``run`` turns, after as many turns before them as the template says it looks back.
-Runs come from one global sort by conversation and turn, so that a conversation of any length is spread over tasks; a
-template that looks back without bound is given whole conversations instead.
+Nothing is asked of a template. By default a conversation is one run, whose every prefix is rendered. A template that is
+made turn by turn (``Template(turn=...)``, as the built-in one) has the texts of its turns laid end to end, by
+construction, so its conversations are cut into runs of ``run`` turns from one global sort, and one of any length is
+spread over tasks. ``looks_back`` is a guess that saves work: runs then begin after that many turns, and what the runs
+make is held against renderings of the whole prefix at doubling numbers of runs and at the end; where they differ, the
+conversation is rendered again in one run.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import groupby
 from os.path import commonprefix
 
@@ -35,13 +38,29 @@ def _swap(text: str, table: dict[str, str]) -> str:
     return re.sub("|".join(re.escape(k) for k in table), lambda m: table[m[0]], text)
 
 
-@lru_cache(maxsize=128)  # prefixes are rendered again and again, with the same few turns
+_seen: dict[str, str] | None = None
+
+
+@contextmanager
+def remembering() -> Iterator[None]:
+    """While it lasts, escaped texts are kept: prefixes are rendered again and again, with the same few turns."""
+    global _seen
+    before, _seen = _seen, {}
+    try:
+        yield
+    finally:
+        _seen = before
+
+
 def escape(text: str) -> str:
     """The text with the template's control strings replaced; ``unescape`` gives it back."""
-    return _swap(text, CONTROL)
+    if _seen is None:
+        return _swap(text, CONTROL)
+    if text not in _seen:
+        _seen[text] = _swap(text, CONTROL)
+    return _seen[text]
 
 
-@lru_cache(maxsize=128)
 def escape_role(role: str) -> str:
     """A role without the strings that would end it."""
     return _swap(role, ROLE_CONTROL)
@@ -52,9 +71,14 @@ def unescape(text: str) -> str:
     return re.sub(r"\\.", lambda m: back[m[0]], text, flags=re.S)
 
 
+def render_turn(turn: Turn) -> str:
+    """The template's text of a turn: ``### Role:``, the text and a closing mark, control strings escaped."""
+    return f"### {escape_role(turn[0])}:\n{escape(turn[1])}</turn>\n"
+
+
 def render(turns: list[Turn]) -> str:
-    """The template: ``### Role:``, the text and a closing mark for each turn, control strings escaped."""
-    return "".join(f"### {escape_role(role)}:\n{escape(text)}</turn>\n" for role, text in turns)
+    """The built-in template: its turns one after the other."""
+    return "".join(map(render_turn, turns))
 
 
 _TURN = re.compile(r"### ([^:\n]*):\n(.*?)</turn>\n", re.S)
@@ -74,14 +98,22 @@ def read_back(formatted: str) -> list[Turn]:
 
 @dataclass(frozen=True)
 class Template:
-    """A black box, with how many turns before a turn it looks at (None: all of them). Unsaid (-1): none for the built-in template, all for others."""
+    """A black box (``render``), or a function of one turn (``turn``), whose texts are laid end to end; none: the built-in one.
+
+    ``looks_back`` is a guess of how many turns before a turn a black box looks at, which is verified; None: no guess.
+    """
 
-    render: Callable[[list[Turn]], str] = render
-    looks_back: int | None = -1
+    render: Callable[[list[Turn]], str] | None = None
+    looks_back: int | None = None
+    turn: Callable[[Turn], str] | None = None
 
     def __post_init__(self) -> None:
-        if self.looks_back == -1:
-            object.__setattr__(self, "looks_back", 0 if self.render is render else None)
+        if self.turn is None and self.render in (None, render):
+            object.__setattr__(self, "turn", render_turn)
+        if self.turn is not None:
+            turn = self.turn
+            object.__setattr__(self, "looks_back", 0)
+            object.__setattr__(self, "render", lambda turns: "".join(map(turn, turns)))
 
 
 @dataclass
@@ -98,7 +130,7 @@ def _common_end(a: str, b: str) -> int:
     return len(commonprefix([a[::-1], b[::-1]]))
 
 
-def locate(template: Callable[[list[Turn]], str], turns: list[Turn], before: list[Turn] = ()) -> Spans:
+def _locate(template: Callable[[list[Turn]], str], turns: list[Turn], before: list[Turn] = ()) -> Spans:
     """Render successive prefixes of ``turns``, after the turns ``before``, and find the spans."""
     before = list(before)
     ahead = template(before) if before else ""
@@ -126,6 +158,24 @@ def locate(template: Callable[[list[Turn]], str], turns: list[Turn], before: lis
     return Spans(shown[len(ahead) :] if shown.startswith(ahead) else shown, spans, contents)
 
 
+def locate(template: Callable[[list[Turn]], str], turns: list[Turn], before: list[Turn] = ()) -> Spans:
+    """Render successive prefixes of ``turns``, after the turns ``before``, and find the spans."""
+    with remembering():
+        return _locate(template, turns, before)
+
+
+def _verified(template: Callable[[list[Turn]], str], located: list[tuple[list[Turn], Spans]]) -> list[tuple[list[Turn], Spans]]:
+    """Runs of a whole conversation if together they are what the template makes of its prefixes; else one run."""
+    turns, text, ok = [], [], True
+    for k, (held, found) in enumerate(located, 1):
+        turns += held
+        text.append(found.text)
+        ok &= found.rewritten_at < 0
+        if ok and (k & (k - 1) == 0 or k == len(located)):
+            ok = template(turns) == "".join(text)
+    return located if ok else [(turns, locate(template, turns))]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], run: int, looks_back: int | None) -> Iterator[tuple[int | None, list[Turn], list[Turn]]]:
     """Runs of sorted rows: conversation, turns before the run in this task, its turns."""
     now, held, before = None, [], []
@@ -150,13 +200,12 @@ def format_conversations(turns: DataFrame, template: Template | None = None, run
     contents (arrays of start and end in ``formatted``), loss (whether each turn is under the loss mask), rewritten_at
     (the first turn, in the run, at which the template changed earlier text; -1: never). Turns are ordered by turn,
     null first, then role and text; equal rows are turns of their own. A null role or text is empty; a null conv_id is
-    a conversation like others. A template that looks back has each conversation in one task, as a stream of runs, or in
-    one run where it declares None or is not the built-in one and declares nothing. A conversation whose text such a
-    template changes is one row, rendered whole, without spans. An empty table gives an empty table.
+    a conversation like others. A black box needs a whole conversation, which is in one task then; one whose earlier
+    text it changes is one row, rendered whole, without spans. An empty table gives an empty table.
     """
     template = template or Template()
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    if template.looks_back is None or template.looks_back > 0:
+    if template.turn is None:
         rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     else:
         order = ["conv_id", "turn", "role", "text", F.monotonically_increasing_id()]  # the last spreads equal rows, whose order is of no matter
@@ -167,11 +216,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None, run
     def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, parts in groupby(_runs(batches, run, template.looks_back), key=lambda r: r[0]):
             located = ((held, locate(template.render, held, before)) for _, before, held in parts)
-            if template.looks_back:  # text of earlier runs may be changed by later ones
-                located = list(located)
-                if any(found.rewritten_at >= 0 for _, found in located):
-                    turns = [t for held, _ in located for t in held]
-                    located = [(turns, locate(template.render, turns))]
+            if template.turn is None and template.looks_back is not None:
+                located = _verified(template.render, list(located))
             for held, found in located:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([conv], pa.int64()), pa.array([found.text]), pa.array([[r for r, _ in held]], pa.list_(pa.string())),

@@ -36,3 +36,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         was, state = state, after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == was:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def join_to_one(many: DataFrame, one: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """``many`` (``n_rows`` rows, staged) joined to ``one``, which has a row for each key.
+
+    A key of more rows than a fourth of a task's share is dealt over as many tasks as it fills; there are four such keys
+    for each shuffle partition at the most, so their list is bounded.
+    """
+    share = max(1, n_rows // (4 * int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = many.groupBy(key).count().where(F.col("count") > share).select(key, F.ceil(F.col("count") / share).alias("__copies"))
+    copies = F.coalesce("__copies", F.lit(1))
+    left = many.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), copies)).drop("__copies")
+    right = one.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("__copies")
+    return left.join(right, [key, "__salt"]).drop("__salt")

@@ -18,29 +18,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.graphs import components
+from gridloom.llm import tokens
+from gridloom.llm.graphs import components, join_to_one
 from gridloom.llm.storage import stage
 
+LONG = 1 << 20  # bytes of a text from which its words are taken in pieces
+PIECE = 1 << 16  # words of a piece
 BRUTE = 1 << 18  # comparisons below which points are compared without a further split
 
 
-def simhash(text: bytes, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text; no words: zero."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        h = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+def _shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, some thousand words at a time."""
+    digest = xxhash.xxh64_intdigest
+    if len(text) > LONG:  # no object for each word of a very long text
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = tokens.words(data, np.array([0, len(data)]))
+        pieces = ([data[a:e].tobytes() for a, e in zip(starts[at : at + PIECE + shingle - 1], ends[at : at + PIECE + shingle - 1], strict=True)] for at in range(0, max(1, len(starts) - shingle + 1), PIECE))
     else:
+        pieces = iter([text.split()])
+    for words in pieces:
+        if not words:
+            return
+        if len(words) < shingle:
+            yield np.array([digest(b" ".join(words), 42)], np.uint64)
+            continue
         joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        first = [0, *(ends[:-shingle] + 1).tolist()] if len(words) > shingle else [0]
-        digest = xxhash.xxh64_intdigest
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(first, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
+        stops = np.cumsum([len(w) + 1 for w in words]) - 1
+        first = [0, *(stops[:-shingle] + 1).tolist()] if len(words) > shingle else [0]
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(first, stops[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def simhash(text: bytes, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text; no words: zero."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in _shingle_hashes(text.lower(), shingle):
+        n += len(h)
+        for at in range(0, len(h), 4096):
+            counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, extra: list[Column] | None = None) -> DataFrame:
@@ -192,16 +207,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_poi
     empty table gives an empty table.
     """
     marked = stage(fingerprints(docs, shingle), "fingerprints")
-    return marked.join(fingerprint_classes(marked, radius, leaf_points), "fp").select("doc_id", "fp", "component_id")
+    return join_to_one(marked, fingerprint_classes(marked, radius, leaf_points), "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def fingerprint_classes(marked: DataFrame, radius: int, leaf_points: int) -> DataFrame:
     """fp, its class's least fingerprint (root) and component_id of every distinct fingerprint in (doc_id, fp)."""
     points = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = linked_classes(points.select("fp"), radius, leaf_points)
-    placed = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = stage(points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(firsts, "root").select("fp", "root", "component_id")
+    return join_to_one(placed, firsts, "root", placed.count()).select("fp", "root", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_points: int = 8192) -> DataFrame:
@@ -211,7 +226,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, lea
     """
     key = F.xxhash64("text")
     marked = stage(fingerprints(docs, shingle, [key.alias("text_key")]), "fingerprints")
-    rows = marked.join(fingerprint_classes(marked, radius, leaf_points), "fp")
+    rows = join_to_one(marked, fingerprint_classes(marked, radius, leaf_points), "fp", marked.count())
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")).select("b.doc_id", "b.text_key")
     best = stage(best, "kept")
     kept = docs.alias("d").join(best.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key")), "left_semi")

@@ -174,7 +174,7 @@ def _packer(most: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, bucket: int = 2048, block: int = 512, seed_vectors: int = 1024, group_buckets: int | None = None, once: bool = True) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64, bucket: int = 2048, block: int = 512, seed_vectors: int = 4096, group_buckets: int | None = None, once: bool = True) -> DataFrame:
     """The ``k`` vectors of largest inner product with each query: query_id, rank (from 1), vec_id, score.
 
     ``vectors`` has vec_id and embedding (other columns are not read); ``queries`` says which rows are queries too.

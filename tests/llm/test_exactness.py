@@ -5,7 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.llm import quality, sharding, tokens
+from pyspark.sql import functions as F
+
+from gridloom.llm import graphs, quality, sharding, simhash, tokens
 from gridloom.llm.lines import banded_distance, dedup_lines, line_keys
 from gridloom.llm.substrings import remove_repeats
 
@@ -96,3 +98,21 @@ def test_names_that_clash(spark, again):
     sharded = sharding.shard_documents(docs, 2)
     assert sharded.count() == 1 and len({c.lower() for c in sharded.columns}) == len(docs.columns) + 2
     assert sharding.shard_documents(sharded, 2).count() == 1
+
+
+def test_fingerprints_of_very_long_texts(monkeypatch):
+    """Taken in pieces, a text has the fingerprint that it has whole."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["Alpha", "beta", "É", "x1", "the"], n)) for n in (0, 1, 2, 3, 4, 50, 129, 400)]
+    want = [brute.simhash(t) for t in texts]
+    assert [simhash.simhash(t.encode()) for t in texts] == want
+    monkeypatch.setattr(simhash, "LONG", 0)
+    monkeypatch.setattr(simhash, "PIECE", 64)
+    assert [simhash.simhash(t.encode()) for t in texts] == want
+
+
+def test_joins_of_hot_keys(spark):
+    many = spark.createDataFrame([(5 if i % 3 else i, i) for i in range(3000)], "k long, v long").repartition(4)
+    one = many.groupBy("k").agg(F.max("v").alias("top"))
+    got = graphs.join_to_one(many, one, "k", 3000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, many.join(one, "k").collect()))
