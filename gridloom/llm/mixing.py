@@ -140,5 +140,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
         found = found.withColumn("__mix_number", F.row_number().over(alike))
     same = found["doc_id"].eqNullSafe(taken["__mix_id"]) & found["source"].eqNullSafe(taken["__mix_source"]) & (found["__mix_words"] == taken["__mix_size"])
     times = F.col("__mix_copies")[F.col("__mix_number") - 1]
-    joined = found.join(taken, same).withColumn("__mix_times", times).where("__mix_times > 0")
+    joined = found.join(taken.hint("merge"), same).withColumn("__mix_times", times).where("__mix_times > 0")
     return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), "__mix_times"))).select(*[found[c] for c in docs.columns])

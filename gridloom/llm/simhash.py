@@ -27,7 +27,7 @@ PIECE = 1 << 16  # words of a piece
 BRUTE = 1 << 18  # comparisons below which points are compared without a further split
 
 
-def _shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
     """The hashes of a text's shingles, some thousand words at a time."""
     digest = xxhash.xxh64_intdigest
     if len(text) > LONG:  # no object for each word of a very long text
@@ -51,7 +51,7 @@ def _shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
 def simhash(text: bytes, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of a text; no words: zero."""
     counts, n = np.zeros(64, np.int64), 0
-    for h in _shingle_hashes(text.lower(), shingle):
+    for h in shingle_hashes(text.lower(), shingle):
         n += len(h)
         for at in range(0, len(h), 4096):
             counts += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,10 +1,13 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of shingles: every pair as similar as asked is linked.
-
-An exact prefix join. Shingles have one order, the same for all documents, in which those that are frequent in a sample
-come last; the sample decides how much work there is, never which pairs are found. Two sets that are similar enough share
-one of their first few shingles, so documents meet under these alone, at most once for each. Who meets is compared by
-sketches first, whose distance is never more than that of the sets, and then by whole sets. A key that many share is dealt out as pairs of blocks, and what comes back is links that unite its classes,
-never its pairs.
+"""Near-duplicate documents by the Jaccard similarity of their sets of shingles.
+
+Candidates come from two sides. SimHash fingerprints of the shingles go through the vantage-point tree of ``simhash``,
+and each member of a class of fingerprints is compared with one of that class; this finds most copies but few pairs near
+a similarity of 0.8, which differ in some ten bits, where no tree prunes. So the least hashes of the sets are compared
+too: ``BANDS`` keys of ``ROWS`` least hashes each, of which two sets of similarity s share at least one with a chance of
+1 - (1 - s**ROWS)**BANDS, 0.9999 at 0.8. A key is shared by sets that are alike as a whole, not by those that have one
+passage in common. Who meets is compared by sketches first, whose distance is never more than that of the sets, and then by
+whole sets, so that no pair below the similarity is linked. A key that many share is dealt out as pairs of blocks, and
+what comes back is links that unite its classes, never its pairs.
 """
 
 from __future__ import annotations
@@ -19,32 +22,42 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import tokens
 from gridloom.llm.graphs import components
-from gridloom.llm.simhash import Classes
+from gridloom.llm.simhash import Classes, linked_classes, shingle_hashes
 from gridloom.llm.storage import stage
 
-SAMPLED = 1 << 14  # documents, about, in which shingles are counted to order them
-FREQUENT = 1 << 18  # shingles, at most, that are put last
+ROWS, BANDS = 5, 24
+TURNS = np.random.default_rng(5).integers(1, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 BUCKET_KEYS = 1 << 20
 
 
 def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted. A text of fewer words is one shingle; no words: none."""
-    w = text.lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))], np.uint64))
+    found = list(shingle_hashes(text.lower(), words))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def band_keys(sets: list[np.ndarray], rows: int = ROWS) -> np.ndarray:
+    """The keys of sets, one row for each: hashes of so many of its least hashes; an empty set has zeros."""
+    out = np.zeros((len(sets), len(TURNS) // rows), np.uint64)
+    full = np.flatnonzero([len(x) for x in sets])
+    if not len(full):
+        return out
+    whole, sizes = np.concatenate([sets[k] for k in full]), np.array([len(sets[k]) for k in full])
+    starts = np.cumsum(sizes) - sizes
+    key = np.zeros(len(full), np.uint64)
+    for k, turn in enumerate(TURNS):
+        key = tokens.mix(key + np.minimum.reduceat((whole * turn) >> np.uint64(32), starts) + np.uint64(k // rows + 1))
+        if k % rows == rows - 1:
+            out[full, k // rows], key = key, np.zeros(len(full), np.uint64)
+    return out
 
 
-def prefix(shingles: np.ndarray, percent: int, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order, of which any set that is similar enough has one among its own first. ``often`` is sorted."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    count = np.zeros(n, np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-        count = np.where(often[at] == shingles, counts[at], 0)
-    return shingles[np.lexsort((shingles, count))][: n - -(-percent * n // 100) + 1]
+def fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), 4096):
+        counts += np.unpackbits(shingles[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view(np.int64)[0])
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -93,9 +106,9 @@ def _deal(keys: np.ndarray, others: list[np.ndarray], buckets: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *packed], names=["bucket", *(f"c{k}" for k in range(len(packed)))])
 
 
-def may_be_similar(size_a: np.ndarray, at_a: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets whose first common shingle has these places in them can be similar enough."""
-    return np.minimum(size_a - at_a, size_b - at_b) * (100 + percent) >= percent * (size_a + size_b)
+def may_be_similar(size_a: np.ndarray, size_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
 
 
 def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,12 +133,12 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
     return i[near], j[near]
 
 
-def meetings(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, places: np.ndarray, percent: int, small: int = 16, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def meetings(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, percent: int, small: int = 16, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Of sets under keys, who is to be compared: (group, set). Few sets under a key meet as pairs; many as pairs of blocks."""
     order = np.lexsort((names, sizes, keys))
-    keys, names, sizes, places = keys[order], names[order], sizes[order], places[order]
+    keys, names, sizes = keys[order], names[order], sizes[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (names[1:] != names[:-1])) if len(keys) else np.zeros(0, bool)
-    keys, names, sizes, places = keys[new], names[new], sizes[new], places[new]
+    keys, names, sizes = keys[new], names[new], sizes[new]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     count = np.diff(np.append(starts, len(keys)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -134,7 +147,7 @@ def meetings(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, places: np.
         for x in range(m - 1 if len(first) else 0):
             for y in range(x + 1, m):
                 a, b = first + x, first + y
-                ok = may_be_similar(sizes[a], places[a], sizes[b], places[b], percent)
+                ok = may_be_similar(sizes[a], sizes[b], percent)
                 left.append(names[a[ok]])
                 right.append(names[b[ok]])
     left, right = np.concatenate(left), np.concatenate(right)
@@ -155,55 +168,24 @@ def meetings(keys: np.ndarray, names: np.ndarray, sizes: np.ndarray, places: np.
     return np.concatenate(groups), np.concatenate(members)
 
 
-def frequent_shingles(docs: DataFrame, words: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in two or more documents of a sample, sorted, and in how many: the most frequent ones."""
-    some = docs.where(F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
-
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, len(texts), 256):
-                h, c = np.unique(np.concatenate([shingle_set(x.as_py() or b"", words) for x in texts[at : at + 256]]), return_counts=True)
-                yield _deal(h, [c.astype(np.int32)], buckets)
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        h, c = (np.frombuffer(b"".join(table[x].to_pylist()), t) for x, t in (("c0", np.uint64), ("c1", np.int32)))
-        order = np.argsort(h)
-        h, c = h[order], c[order].astype(np.int64)
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        h, c = h[first], np.add.reduceat(c, first)
-        return pa.table({"h": pa.array(h[c > 1].view(np.int64)), "c": pa.array(c[c > 1])})
-
-    counted = some.mapInArrow(run, "bucket long, c0 binary, c1 binary").groupBy("bucket").applyInArrow(count, "h long, c long")
-    rows = counted.orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
-    often, counts = rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
-    order = np.argsort(often)
-    return often[order], counts[order]
-
-
-def similar_sets(reps: DataFrame, docs: DataFrame, words: int, percent: int, small: int = 16, block: int = 256) -> DataFrame:
-    """Of distinct sets (set_id, n, first_keys, sketch, doc_id, text_key: a row of ``docs`` that has it), those with a smaller one in their class: node, root."""
+def similar_sets(reps: DataFrame, docs: DataFrame, words: int, percent: int, small: int = 16, block: int = 256, radius: int = 2) -> DataFrame:
+    """Of distinct sets (set_id, n, fp, keys, sketch, doc_id, text_key: a row of ``docs`` that has it), those with a smaller one in their class: node, root."""
     spark = reps.sparkSession
-    total = reps.agg(F.sum(F.octet_length("first_keys"))).first()[0] or 0
+    total = reps.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
     buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8 // 4096), total // 8 // BUCKET_KEYS)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("first_keys")]
+            held = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("keys")]
             length = np.array([len(x) for x in held], np.int64)
             if not length.sum():
                 continue
-            keys = np.concatenate(held)
             rows = np.repeat(np.arange(len(held)), length)
-            places = np.arange(len(keys)) - np.repeat(np.cumsum(length) - length, length)
-            names, sizes = batch.column("set_id").to_numpy()[rows], batch.column("n").to_numpy()[rows]
-            yield _deal(keys, [names, sizes.astype(np.int32), places.astype(np.int32)], buckets)
+            yield _deal(np.concatenate(held), [batch.column("set_id").to_numpy()[rows], batch.column("n").to_numpy()[rows].astype(np.int32)], buckets)
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        whole = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("c0", np.uint64), ("c1", np.int64), ("c2", np.int32), ("c3", np.int32))]
-        grp, name = meetings(whole[0], whole[1], whole[2].astype(np.int64), whole[3].astype(np.int64), percent, small, block)
+        whole = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("c0", np.uint64), ("c1", np.int64), ("c2", np.int32))]
+        grp, name = meetings(whole[0], whole[1], whole[2].astype(np.int64), percent, small, block)
         return pa.table({"grp": pa.array(grp), "set_id": pa.array(name)})
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +235,17 @@ def similar_sets(reps: DataFrame, docs: DataFrame, words: int, percent: int, sma
         if names:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links(names, sets)], names=["a", "b"])
 
-    dealt = reps.select("set_id", "n", "first_keys").mapInArrow(deal, "bucket long, c0 binary, c1 binary, c2 binary, c3 binary")
-    met = dealt.groupBy("bucket").applyInArrow(meet, "grp long, set_id long").distinct().join(reps.select("set_id", "n", "sketch"), "set_id")
+    dealt = reps.select("set_id", "n", "keys").mapInArrow(deal, "bucket long, c0 binary, c1 binary, c2 binary")
+    near = linked_classes(reps.select("fp").distinct(), radius).withColumnRenamed("node", "fp")
+    placed = reps.select("set_id", "fp").join(near, "fp", "left").select("set_id", F.coalesce("root", "fp").alias("class"))
+    hubs = placed.groupBy("class").agg(F.min("set_id").alias("hub"), F.count("*").alias("members")).where("members > 1")
+    spokes = placed.join(hubs, "class").where("set_id <> hub").select(F.xxhash64("hub", "set_id").alias("grp"), F.explode(F.array("hub", "set_id")).alias("set_id"))
+    met = dealt.groupBy("bucket").applyInArrow(meet, "grp long, set_id long").union(spokes).distinct().join(reps.select("set_id", "n", "sketch"), "set_id")
     met = met.select("grp", "set_id", "n", "sketch").repartition("grp").sortWithinPartitions("grp", "set_id")
     met = stage(met.mapInArrow(sieve, "grp long, set_id long"), "met")
     wanted = stage(reps.join(met.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "doc_id", "text_key"), "wanted")
     same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(wanted.alias("k"), same).select("set_id", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").alias("d").join(wanted.alias("k").hint("merge"), same).select("set_id", "text")
     sets = found.mapInArrow(whole_sets, "set_id long, shingles binary").dropDuplicates(["set_id"])
     grouped = met.join(sets, "set_id").repartition("grp").sortWithinPartitions("grp", "set_id").select("grp", "set_id", "shingles")
     return components(grouped.mapInArrow(compare, "a long, b long"), "similar")
@@ -274,27 +260,23 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, small: int
     class has no other. An empty table gives an empty table.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    often, counts = frequent_shingles(chosen, words, chosen.count())
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, sizes, first, marks = [], [], [], []
-            for x in batch.column("text").cast(pa.binary()):
-                shingles = shingle_set(x.as_py() or b"", words)
-                names.append(xxhash.xxh64_intdigest(shingles.tobytes()))
-                sizes.append(len(shingles))
-                first.append(prefix(shingles, percent, often, counts).tobytes())
-                marks.append(sketch(shingles))
+        for batch in (piece for whole in batches for piece in tokens.slices(whole)):
+            sets = [shingle_set(x.as_py() or b"", words) for x in batch.column("text").cast(pa.binary())]
+            keys = band_keys(sets)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(first, pa.binary()), pa.array(marks, pa.binary()),
-            ], names=["doc_id", "text_key", "set_id", "n", "first_keys", "sketch"])
+                batch.column("doc_id"), batch.column("text_key"),
+                pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()),
+                pa.array([k.tobytes() if len(x) else b"" for x, k in zip(sets, keys, strict=True)], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()),
+            ], names=["doc_id", "text_key", "set_id", "n", "fp", "keys", "sketch"])
 
-    marked = stage(chosen.mapInArrow(mark, "doc_id long, text_key long, set_id long, n int, first_keys binary, sketch binary"), "shingles")
+    marked = stage(chosen.mapInArrow(mark, "doc_id long, text_key long, set_id long, n int, fp long, keys binary, sketch binary"), "shingles")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")
-    reps = stage(marked.groupBy("set_id").agg(least, F.first("n").alias("n"), *(F.first(c).alias(c) for c in ("first_keys", "sketch"))).select("set_id", "n", "first_keys", "sketch", "b.doc_id", "b.text_key"), "sets")
+    reps = stage(marked.groupBy("set_id").agg(least, *(F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch"))).select("set_id", "n", "fp", "keys", "sketch", "b.doc_id", "b.text_key"), "sets")
     linked = similar_sets(reps, docs, words, percent, small, block).withColumnRenamed("node", "set_id")
     placed = reps.join(linked, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     best = stage(placed.groupBy("root").agg(least).select("b.doc_id", "b.text_key"), "kept")
-    kept = docs.alias("d").join(best.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key")), "left_semi")
+    kept = docs.alias("d").join(best.alias("k").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & F.xxhash64("d.text").eqNullSafe(F.col("k.text_key")), "left_semi")
     repeated = marked.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

@@ -4,6 +4,7 @@ import random
 
 import brute
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from gridloom.llm import similar
@@ -66,13 +67,18 @@ def test_stage_drops_all_that_is_similar(spark, corpus):
         assert {r.doc_id for r in similar.drop_similar(df, small=small, block=block).collect()} == set(root)
 
 
-def test_the_order_of_shingles_changes_nothing(spark, corpus, monkeypatch):
-    df = spark.createDataFrame(corpus, "doc_id long, text string")
+def test_one_side_of_candidates_alone(spark, corpus, monkeypatch):
+    """Least hashes find every link without the fingerprints; their keys are equal as often as the similarity says."""
     want = set(classes([shingles(t) for _, t in corpus]))
-    for sampled, most in ((1, 1 << 18), (40, 10)):
-        monkeypatch.setattr(similar, "SAMPLED", sampled)
-        monkeypatch.setattr(similar, "FREQUENT", most)
-        assert {r.doc_id for r in similar.drop_similar(df).collect()} == want
+    monkeypatch.setattr(similar, "linked_classes", lambda fps, radius: fps.sparkSession.createDataFrame([], "node long, root long"))
+    assert {r.doc_id for r in similar.drop_similar(spark.createDataFrame(corpus, "doc_id long, text string")).collect()} == want
+    rng = np.random.default_rng(1)
+    shared = 0
+    for _ in range(400):  # at a similarity of 0.8, a key of one least hash
+        both = np.sort(rng.integers(0, 2**63, 100, dtype=np.uint64))
+        keys = similar.band_keys([both[:90], both[10:]], rows=1)
+        shared += (keys[0] == keys[1]).mean() / 400
+    assert abs(shared - 0.8) < 0.02
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing):
