@@ -29,6 +29,49 @@ def test_slope_of_noise_is_flat():
     assert np.isnan(media.spectral_slope(rng.random((8, 8))))
 
 
+@pytest.mark.parametrize("power", [-1.0, -2.0, -3.0])
+@pytest.mark.parametrize("shape", [(128, 128), (97, 120)])
+def test_slope_of_a_known_spectrum(power, shape):
+    """A picture made with random phases and power f ** power."""
+    rng = np.random.default_rng(1)
+    f = np.hypot(*np.meshgrid(np.fft.fftfreq(shape[0], 1 / shape[0]), np.fft.fftfreq(shape[1], 1 / shape[1]), indexing="ij"))
+    noise = np.fft.fft2(rng.normal(size=shape))
+    picture = np.fft.ifft2(noise / np.abs(noise) * np.where(f > 0, np.maximum(f, 1) ** (power / 2), 0)).real
+    assert media.spectral_slope(picture) == pytest.approx(power, abs=0.12)
+    assert media.spectral_slope(3 * picture + 7) == pytest.approx(media.spectral_slope(picture))
+
+
+def test_slope_of_half_a_spectrum_is_that_of_all():
+    rng = np.random.default_rng(2)
+    for shape in ((40, 40), (41, 64), (64, 41)):
+        gray = rng.random(shape)
+        power = np.abs(np.fft.fft2(gray - gray.mean())) ** 2
+        ring = np.hypot(*np.meshgrid(np.fft.fftfreq(shape[0], 1 / shape[0]), np.fft.fftfreq(shape[1], 1 / shape[1]), indexing="ij")).astype(int)
+        rings = np.arange(1, min(shape) // 2)
+        want = np.polyfit(np.log(rings), np.log([power[ring == r].mean() for r in rings]), 1)[0]
+        assert media.spectral_slope(gray) == pytest.approx(want)
+
+
+def test_histogram_of_colours():
+    rgb = np.array([[[0, 0, 0], [31, 31, 31], [32, 0, 255], [255, 255, 255]]], np.uint8)
+    found = media.color_histogram(rgb)
+    assert len(found) == 512 and found.sum() == 1
+    assert (found[0], found[1 * 64 + 0 * 8 + 7], found[511]) == (0.5, 0.25, 0.25)
+
+
+def test_what_stands_out():
+    """One odd dot in an even texture is the peak; a shifted picture has the same numbers."""
+    rng = np.random.default_rng(3)
+    rgb = np.repeat((120 + 8 * rng.normal(size=(64, 64, 1))).astype(np.uint8), 3, 2)
+    rgb[40:44, 20:24] = 255
+    found = media.saliency(rgb)
+    assert 0 < found["saliency_mean"] < 0.2 and found["saliency_peak"] == pytest.approx(1, abs=1e-4) and found["salient_area_frac"] < 0.1
+    again = media.saliency(np.roll(rgb, (9, 30), (0, 1)))
+    assert all(again[k] == pytest.approx(v, abs=1e-6) for k, v in found.items())
+    flat = media.saliency(np.full((32, 32, 3), 90, np.uint8))
+    assert np.isfinite(list(flat.values())).all()
+
+
 def test_sound_of_a_tone():
     rate = 22050
     y = 0.5 * np.sin(2 * np.pi * 1000 * np.arange(2 * rate) / rate)
