@@ -9,12 +9,12 @@ from gridloom import schemas
 
 
 def segment_means(values: DataFrame, length: int, rate: float = 1.0) -> DataFrame:
-    """(stim_id, seg, path, t0, t1, v): means of values (stim_id, bin, path, num) over ``length`` bins; the last segment may be shorter. Index channels are left out."""
+    """(stim_id, seg, path, t0, t1, v): means of values (stim_id, bin, path, num) over ``length`` bins, to four places; the last segment may be shorter. Index channels are left out."""
     rows = values.where(~F.col("path").isin(*schemas.INDEX_CHANNELS)).withColumn("seg", F.floor(F.col("bin") / length).cast("int"))
-    means = rows.groupBy("stim_id", "seg", "path").agg(F.avg("num").alias("v"))
-    ends = values.groupBy("stim_id").agg((F.max("bin") + 1).alias("n"))
-    t1 = F.least((F.col("seg") + 1) * length, F.col("n")) / F.lit(rate)
-    return means.join(ends, "stim_id").select("stim_id", "seg", "path", (F.col("seg") * length / F.lit(rate)).alias("t0"), t1.alias("t1"), "v")
+    means = rows.groupBy("stim_id", "seg", "path").agg(F.round(F.avg("num"), 4).alias("v"), (F.max("bin") + 1).alias("n"))
+    longest = F.max("n").over(Window.partitionBy("stim_id"))
+    t1 = F.least((F.col("seg") + 1) * length, longest) / F.lit(rate)
+    return means.select("stim_id", "seg", "path", (F.col("seg") * length / F.lit(rate)).alias("t0"), t1.alias("t1"), "v")
 
 
 def channel_stats(segments: DataFrame) -> DataFrame:

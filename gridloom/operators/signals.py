@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,21 +91,72 @@ def coherence(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("p", before).select("stim_id", "i", F.when(F.col("p").isNotNull(), dot(F.col("e"), F.col("p"))).alias("coherence"))
 
 
-def novelty(vectors: DataFrame) -> DataFrame:
-    """(stim_id, i, novelty): 1 less the largest product with an earlier vector of the stimulus; null for the first."""
-    rows = vectors.select("stim_id", "i", wide(F.col("vec")).alias("e"))
-    left, right = rows.alias("a"), rows.select("stim_id", F.col("i").alias("j"), F.col("e").alias("f")).alias("b")
-    pairs = left.join(right, (F.col("a.stim_id") == F.col("b.stim_id")) & (F.col("b.j") < F.col("a.i")), "left")
-    return pairs.groupBy("a.stim_id", "a.i").agg((1 - F.max(dot(F.col("e"), F.col("f")))).alias("novelty"))
+def _streamed(vectors: DataFrame, name: str, fold: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(stim_id, i, name): ``fold`` of each run of a stimulus's vectors, in order, and what ``keep`` left of the runs before it.
+
+    A stimulus is a stream of Arrow batches through one task; what is held of it is what ``keep`` leaves. A null vector has a null, and nothing else of it.
+    """
+    rows = vectors.where("vec is not null").select("stim_id", "i", wide(F.col("vec")).alias("e")).repartition("stim_id").sortWithinPartitions("stim_id", "i")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("stim_id", "i"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            names = batch.column("stim_id").to_pylist()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            flat, ends = batch.column("e").flatten().to_numpy(zero_copy_only=False), batch.column("e").offsets.to_numpy()
+            ends = ends - ends[0]
+            out = []
+            for a, z in itertools.pairwise(cuts):
+                if a == z:
+                    continue
+                if not held or names[a] != now:
+                    now, held = names[a], []
+                x = flat[ends[a] : ends[z]].reshape(z - a, -1)
+                out.append(fold(x, held))
+                held.append(keep(x))
+            found = np.concatenate(out) if out else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column("stim_id"), batch.column("i"), pa.array(found, mask=np.isnan(found))], names=["stim_id", "i", name])
+
+    return rows.mapInArrow(run, f"{kinds}, {name} double").unionByName(vectors.where("vec is null").select("stim_id", "i", F.lit(None).cast("double").alias(name)))
+
+
+def novelty(vectors: DataFrame, block: int = 1024) -> DataFrame:
+    """(stim_id, i, novelty): 1 less the largest product with an earlier vector of the stimulus; null for the first.
+
+    Vectors of a stimulus have one length. Products are made block by block, and only their largest is kept.
+    """
+
+    def fold(x: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        best = np.full(len(x), -np.inf)
+        for at in range(0, len(x), block):
+            part = x[at : at + block]
+            for earlier in [*before, *(x[k : k + block] for k in range(0, at, block))]:
+                best[at : at + block] = np.maximum(best[at : at + block], (part @ earlier.T).max(1))
+            own = np.tril(np.ones((len(part), len(part)), bool), -1)
+            best[at : at + block] = np.maximum(best[at : at + block], np.where(own, part @ part.T, -np.inf).max(1))
+        return np.where(np.isfinite(best), 1 - best, np.nan)
+
+    return _streamed(vectors, "novelty", fold, lambda x: x)
 
 
 def drift(vectors: DataFrame) -> DataFrame:
-    """(stim_id, i, drift): the product with the direction of the sum of all earlier vectors, to each component of which 1e-9 is added; null for the first."""
-    parts = vectors.select("stim_id", "i", F.posexplode(wide(F.col("vec"))).alias("k", "x"))
-    so_far = Window.partitionBy("stim_id", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    summed = parts.withColumn("run", F.sum("x").over(so_far))
-    direction = F.sum(F.col("x") * F.col("run")) / F.sqrt(F.sum(F.col("run") * F.col("run")))
-    return summed.groupBy("stim_id", "i").agg((direction + F.lit(1e-9) * F.sum("x")).alias("drift"), F.count("run").alias("n")).select("stim_id", "i", F.when(F.col("n") > 0, F.col("drift")).alias("drift"))
+    """(stim_id, i, drift): the product with the direction of the sum of all earlier vectors, to each component of which 1e-9 is added; null for the first.
+
+    Vectors of a stimulus have one length. Of what came before only sums are kept.
+    """
+
+    def fold(x: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+        start = sum(before) if before else np.zeros(x.shape[1])
+        sums = np.cumsum(np.concatenate([start[None], x[:-1]]), 0)
+        size = np.sqrt((sums**2).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = (x * sums).sum(1) / size + 1e-9 * x.sum(1)
+        if not before:
+            out[0] = np.nan
+        return out
+
+    return _streamed(vectors, "drift", fold, lambda x: x.sum(0))
 
 
 def prior_context(segments: DataFrame, n: int = 3) -> DataFrame:

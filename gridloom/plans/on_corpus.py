@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import scalars
 from gridloom.operators import corpus as C
 from gridloom.operators import design, factors, search, shape
 from gridloom.operators import events as segmentation
@@ -182,7 +183,7 @@ def grid_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SEGMENTS = f"""{NATIVE}, b AS (SELECT stim_id, bin, avg(v) AS v, count(*) AS n FROM binned GROUP BY ALL), vals AS (SELECT g.stim_id, g.bin, b.v, coalesce(b.n, 0) AS n FROM grid g LEFT JOIN b USING (stim_id, bin)),
-segments AS (SELECT stim_id, bin // 7 AS seg, 'value' AS path, avg(v) AS v FROM vals GROUP BY ALL UNION ALL SELECT stim_id, bin // 7, 'count', avg(n) FROM vals GROUP BY ALL),
+segments AS (SELECT stim_id, bin // 7 AS seg, 'value' AS path, round(avg(v), 4) AS v FROM vals GROUP BY ALL UNION ALL SELECT stim_id, bin // 7, 'count', round(avg(n), 4) FROM vals GROUP BY ALL),
 stats AS (SELECT path, avg(v) AS mean, stddev_pop(v) AS std FROM segments GROUP BY 1 HAVING round(stddev_pop(v), 4) > 0)"""
 
 
@@ -222,11 +223,14 @@ def design_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = [(a, b) for i, a in enumerate(ITEMS) for b in ITEMS[i:]]
 
 
-@query(f"WITH {SQL_ITEMS}, s AS (SELECT *, bin // 10 AS seg FROM items) SELECT stim_id, seg::INTEGER AS seg, count(*)::BIGINT AS n, {', '.join(f'round(sum({c}), 3) AS s_{c}' for c in ITEMS)}, {', '.join(f'round(sum({a} * {b}) / 1e4::DOUBLE, 6) AS p_{a}_{b}' for a, b in _PAIRS)} FROM s GROUP BY ALL HAVING count(*) = 10")
+@query(f"""WITH {SQL_ITEMS}, s AS (SELECT stim_id, bin // 10 AS seg, {', '.join(f'round({c} * 100)::BIGINT AS {c}' for c in ITEMS)} FROM items)
+SELECT stim_id, seg::INTEGER AS seg, count(*)::BIGINT AS n, {', '.join(f'sum({c})::DOUBLE / 1e2::DOUBLE AS s_{c}' for c in ITEMS)}, {', '.join(f'sum({a} * {b})::DOUBLE / 1e8::DOUBLE AS p_{a}_{b}' for a, b in _PAIRS)} FROM s GROUP BY ALL HAVING count(*) = 10""")
 def segment_suffstats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = design.sufficient_stats(design.design_segments(items(spark, sf_dir), 10), ITEMS)
-    sums = [F.round(F.col("s")[k], 3).alias(f"s_{c}") for k, c in enumerate(ITEMS)]
-    return stats.select("stim_id", "seg", "n", *sums, *[F.round(F.col("ss")[k] / 1e4, 6).alias(f"p_{a}_{b}") for k, (a, b) in enumerate(_PAIRS)])
+    """Of hundredths, whose sums are exact in any order; each is divided once."""
+    whole = items(spark, sf_dir).withColumns({c: F.round(F.col(c) * 100) for c in ITEMS})
+    stats = design.sufficient_stats(design.design_segments(whole, 10), ITEMS)
+    sums = [(F.col("s")[k] / 1e2).alias(f"s_{c}") for k, c in enumerate(ITEMS)]
+    return stats.select("stim_id", "seg", "n", *sums, *[(F.col("ss")[k] / 1e8).alias(f"p_{a}_{b}") for k, (a, b) in enumerate(_PAIRS)])
 
 
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,12 +249,14 @@ def d_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def random_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = design.sufficient_stats(design.design_segments(standardized(spark, sf_dir), 10), ITEMS).persist()
-    return spark.createDataFrame(design.random_trace(stats, len(ITEMS), 20, 20), "step int, objective double")
+    trace = design.random_trace(stats, len(ITEMS), 20, 20)
+    stats.unpersist()
+    return spark.createDataFrame(trace, "step int, objective double")
 
 
 def vector_components(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray]:
     rows = read(spark, sf_dir, "embeddings")
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
     _, _, cov = factors.vector_moments(rows, "embedding", dim)
     return factors.principal(cov)
 
@@ -262,14 +268,13 @@ def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.explained(eigen).withColumns({c: F.round(c, 6) for c in ("percent", "cumulative")})
 
 
-_EIGEN = [5.0, 3.0, 1.0, 0.5, 0.3, 0.2]
-
-
-@query(f"""WITH e(k, value) AS (VALUES {', '.join(f'({k + 1}, {v}::DOUBLE)' for k, v in enumerate(_EIGEN))}), c AS (SELECT k, sum(100 * value / (SELECT sum(value) FROM e)) OVER (ORDER BY k) AS cumulative FROM e)
+@query(f"""WITH {SQL_ITEMS}, e AS (SELECT row_number() OVER (ORDER BY value DESC, path) AS k, value FROM (SELECT path, var_samp(num) / avg(abs(num)) AS value FROM items_long GROUP BY path)), c AS (SELECT k, sum(100 * value / (SELECT sum(value) FROM e)) OVER (ORDER BY k) AS cumulative FROM e)
 SELECT p.percent::DOUBLE AS percent, min(k)::INTEGER AS k FROM c, (VALUES (80.0), (90.0)) p(percent) WHERE cumulative >= percent - 1e-9 GROUP BY 1""")
 def pcs_to_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eigen = spark.createDataFrame([(k + 1, v) for k, v in enumerate(_EIGEN)], "k int, value double")
-    return C.components_to(C.explained(eigen))
+    """How many of the line items' channels, by variance over mean size, make up 80 and 90 percent of it all."""
+    rows = items(spark, sf_dir)
+    found = rows.agg(*[(F.var_samp(c) / F.avg(F.abs(c))).alias(c) for c in ITEMS]).unpivot([], ITEMS, "path", "value")
+    return C.components_to(C.explained(found.select(F.row_number().over(Window.orderBy(F.col("value").desc(), "path")).alias("k"), "value")))
 
 
 def item_factors(spark: SparkSession, sf_dir: str, m: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -316,14 +321,14 @@ def drop_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c,) for c in kept], "variable string")
 
 
-_REDUCIBLE = [("mfcc", 29.4), ("chroma", 62.7), ("qwen3", 3.2), ("emonet", 6.9), ("text_sentiment", 52.6), ("audioset_tags", 4.1), ("llama_ar", 10.7)]
-
-
-@query(f"""WITH c(category, pc1) AS (VALUES {', '.join(f"('{n}', {v}::DOUBLE)" for n, v in _REDUCIBLE)}) (SELECT category, pc1, 'least' AS side FROM c WHERE pc1 <= 7 ORDER BY pc1 LIMIT 5) UNION ALL (SELECT category, pc1, 'most' FROM c WHERE pc1 >= 50 ORDER BY pc1 DESC LIMIT 2)""")
+@query("""WITH c AS (SELECT category, pc1 FROM (SELECT 'label ' || label AS category, 100 * max(v) / sum(v) AS pc1 FROM (SELECT label, k, sum(x * x) AS v FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY ALL) GROUP BY label))
+(SELECT category, round(pc1, 6) AS pc1, 'least' AS side FROM c ORDER BY pc1, category LIMIT 5) UNION ALL (SELECT category, round(pc1, 6), 'most' FROM c ORDER BY pc1 DESC, category LIMIT 2)""")
 def reducibility_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_REDUCIBLE, "category string, pc1 double")
-    least = rows.where("pc1 <= 7").orderBy("pc1", "category").limit(5).withColumn("side", F.lit("least"))
-    return least.union(rows.where("pc1 >= 50").orderBy(F.col("pc1").desc(), "category").limit(2).withColumn("side", F.lit("most")))
+    """The labels whose vectors have the least and the most of their power in one component."""
+    power = read(spark, sf_dir, "embeddings").select("label", F.posexplode(scalars.wide(F.col("embedding"))).alias("k", "x")).groupBy("label", "k").agg(F.sum(F.col("x") * F.col("x")).alias("v"))
+    rows = power.groupBy("label").agg((100 * F.max("v") / F.sum("v")).alias("pc1")).select(F.concat(F.lit("label "), F.col("label").cast("string")).alias("category"), "pc1")
+    least = rows.orderBy("pc1", "category").limit(5).withColumn("side", F.lit("least"))
+    return least.union(rows.orderBy(F.col("pc1").desc(), "category").limit(2).withColumn("side", F.lit("most"))).withColumn("pc1", F.round("pc1", 6))
 
 
 @query()

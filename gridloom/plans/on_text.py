@@ -58,10 +58,7 @@ def text_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STORY}, c AS (SELECT stim_id, round_even(i / 3.0::DOUBLE, 0)::INTEGER AS bin, count(*) AS n FROM words GROUP BY ALL) SELECT g.stim_id, g.bin, coalesce(c.n, 0)::DOUBLE AS rate FROM grid g LEFT JOIN c USING (stim_id, bin)")
 def word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stories(spark, sf_dir)
-    grid = G.time_grid(sources.text_stimuli(docs))
-    counted = G.event_count(sources.text_timeline(docs).select("stim_id", F.col("start").alias("t")), grid)
-    return counted.select("stim_id", "bin", F.col("n").cast("double").alias("rate"))
+    return sources.text_rates(stories(spark, sf_dir)).select("stim_id", "bin", F.col("n").cast("double").alias("rate"))
 
 
 @query(f"WITH {STORY}, c AS (SELECT stim_id, round_even(i / 3.0::DOUBLE, 0)::INTEGER AS bin, string_agg(text, ' ' ORDER BY i) AS label FROM words GROUP BY ALL) SELECT g.stim_id, g.bin, coalesce(c.label, '') AS label FROM grid g LEFT JOIN c USING (stim_id, bin)")

@@ -74,6 +74,24 @@ def text_timeline(documents: DataFrame, rate: float = READING_RATE) -> DataFrame
     return rows.select("stim_id", "w.seg_idx", "w.word_idx", "i", "w.text", (F.col("i") / F.lit(rate)).alias("start"), ((F.col("i") + 1) / F.lit(rate)).alias("end"))
 
 
+def text_rates(documents: DataFrame, rate: float = READING_RATE, grid_rate: float = 1.0) -> DataFrame:
+    """(stim_id, bin, n): how many words of a text read at ``rate`` begin in each bin of its grid.
+
+    Word i begins at i / rate, so a bin's words follow from its number: one scan, and no row for a word.
+    """
+    n_bins = F.floor(F.col("duration_sec") * grid_rate + 1e-9).cast("int")
+    rows = text_stimuli(documents, rate).where(n_bins >= 1).select("stim_id", "n_words", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))
+    clock = lambda i: F.bround(i / F.lit(rate) * F.lit(float(grid_rate)))
+
+    def first(b: Column) -> Column:
+        """The first word at or after the bin's beginning, looked for around where it must be."""
+        near = F.floor((b - 0.5) / grid_rate * rate).cast("int")
+        return F.array_min(F.filter(F.sequence(near - 1, near + 2), lambda i: clock(i) >= b))
+
+    upto = lambda b: F.least(F.greatest(first(b), F.lit(0)), F.col("n_words"))
+    return rows.select("stim_id", "bin", (upto(F.col("bin") + 1) - upto(F.col("bin"))).cast("long").alias("n"))
+
+
 def clean_norms(rows: DataFrame) -> DataFrame:
     """(word, value) of a lexicon (line, word, value): small trimmed words, numbers only, the last line of a word counts."""
     parsed = rows.select("line", F.lower(F.trim("word")).alias("word"), F.col("value").try_cast("double").alias("value")).where("value is not null")
