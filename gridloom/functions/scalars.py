@@ -101,3 +101,52 @@ def short_name(path: Column) -> Column:
 def rgb(code: Column) -> Column:
     """#rrggbb as an array of three numbers of 0 to 255."""
     return F.array(*(F.conv(F.substring(code, 2 + 2 * k, 2), 16, 10).cast("int") for k in range(3)))
+
+
+def blend(color: Column, toward: int, share: float) -> Column:
+    """An array of three numbers moved by a share of the way toward white (255) or black (0), to whole numbers."""
+    return F.transform(color, lambda x: F.round(x + (toward - x) * share).cast("int"))
+
+
+def truncated(text: Column, n: int = 200) -> Column:
+    return F.substring(text, 1, n)
+
+
+def label_text(name: Column, levels: Column) -> Column:
+    """A channel's last name with spaces, and in brackets how many levels or dimensions it has, if it has any."""
+    shown = F.replace(F.element_at(F.split(name, "/"), -1), F.lit("_"), F.lit(" "))
+    return F.when(levels.isNull() | (levels == 0), shown).otherwise(F.concat(shown, F.lit(" ("), levels.cast("string"), F.lit(")")))
+
+
+def iso_stamp(ts: Column) -> Column:
+    """Whole seconds, in UTC where the session is."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def log_softmax(v: Column) -> Column:
+    return let(v, lambda a: let(F.array_max(a), lambda top: let(top + F.ln(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top))), lambda whole: F.transform(a, lambda x: x - whole))))
+
+
+def surprisal_bits(log_p: Column, target: Column) -> Column:
+    """Of an array of natural logarithms of chances, that of place ``target`` (from 0), in bits."""
+    return -F.get(log_p, target) / F.ln(F.lit(2.0))
+
+
+def entropy_bits(log_p: Column) -> Column:
+    return -F.aggregate(log_p, F.lit(0.0), lambda s, x: s + F.exp(x) * x) / F.ln(F.lit(2.0))
+
+
+def median(v: Column) -> Column:
+    """Of an array; the mean of the two in the middle where their number is even; null for none."""
+    return let(F.array_sort(v), lambda a: F.when(F.size(a) > 0, (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2))
+
+
+#: What a reply may say, as labels and as numbers.
+REPLY_LABELS = ("scene_description", "setting", "indoor_outdoor", "interaction_type", "depicted_emotion")
+REPLY_NUMBERS = ("dominance", "valence", "arousal")
+
+
+def reply_fields(text: Column) -> Column:
+    """The labels, cut to 200 characters, and the numbers of the object in a reply; numbers may stand as text. All null for a bad reply."""
+    schema = ", ".join(f"{k} string" for k in (*REPLY_LABELS, *REPLY_NUMBERS))
+    return let(F.from_json(first_json(text), schema), lambda o: F.struct(*(truncated(o[k]).alias(k) for k in REPLY_LABELS), *(o[k].try_cast("double").alias(k) for k in REPLY_NUMBERS)))

@@ -5,7 +5,7 @@ Not applicable: the channel's rows are null and marked. Not measured: an element
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom import schemas
@@ -125,3 +125,45 @@ def sidecar(channel_meta: DataFrame) -> DataFrame:
     """(stim_id, manifest): each stimulus's channels, by path, as one JSON object without arrays of data."""
     entry = F.struct("path", F.struct("dtype", "units"))
     return channel_meta.groupBy("stim_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("manifest"))
+
+
+def has_all(channels: DataFrame, paths: list[str], measured: str | None = None) -> DataFrame:
+    """(id) of those that have every one of the paths, of channels (id, path, applicable); the path ``measured`` must be applicable too."""
+    wanted = channels.where(F.col("path").isin(*paths)).groupBy("id").agg(F.count_distinct("path").alias("n"), F.max((F.col("path") == measured) & F.col("applicable")).alias("ok"))
+    found = wanted.where(F.col("n") == len(set(paths)))
+    return (found.where("ok") if measured is not None else found).select("id")
+
+
+def one_clip(rows: DataFrame, stim_id: object) -> DataFrame:
+    """The rows of one stimulus; an error if there are none."""
+    found = rows.where(F.col("stim_id") == F.lit(stim_id))
+    if not found.limit(1).count():
+        raise ValueError(f"no stimulus {stim_id}")
+    return found
+
+
+def factor_variables(info: DataFrame) -> DataFrame:
+    """Of ``feature_info``, the numeric variables that are no embedding and no share of a taxonomy."""
+    leaf = F.element_at(F.split("path", "/"), -1)
+    return info.where(F.col("numeric") & ~F.col("is_embedding") & ~leaf.isin("audioset_tags", "action_posteriors"))
+
+
+def unique_names(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` with later ones of one name marked _1, _2 and so on, in order."""
+    again = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    return rows.withColumn("__again", again).withColumn(name, F.when(F.col("__again") > 0, F.concat_ws("_", name, "__again")).otherwise(F.col(name))).drop("__again")
+
+
+def with_sources(segments: DataFrame, media: DataFrame) -> DataFrame:
+    """Segments with the source and the path of their stimulus's media (stim_id, source, path), empty where nothing is known."""
+    known = media.groupBy("stim_id").agg(F.min_by(F.struct("source", "path"), F.struct("source", "path")).alias("m"))
+    return segments.join(known, "stim_id", "left").select(*[segments[c] for c in segments.columns], F.coalesce("m.source", F.lit("")).alias("source"), F.coalesce("m.path", F.lit("")).alias("media_path"))
+
+
+def nested_sidecar(channels: DataFrame) -> DataFrame:
+    """(stim_id, manifest): channels (path of three parts, dtype, units) as JSON objects by class, subclass and leaf, each with where its data is."""
+    parts = F.split("path", "/")
+    leaf = channels.select("stim_id", parts[0].alias("a"), parts[1].alias("b"), parts[2].alias("c"), F.struct("dtype", "units", F.concat(F.lit("features/"), "path").alias("data_ref")).alias("d"))
+    fold = lambda rows, keys, k, v: rows.groupBy(*keys).agg(F.map_from_arrays(F.array_sort(F.collect_list(k)), F.transform(F.array_sort(F.collect_list(k)), lambda x: F.element_at(F.map_from_entries(F.collect_list(F.struct(k, v))), x))).alias("d"))
+    inner = fold(fold(leaf, ("stim_id", "a", "b"), "c", "d"), ("stim_id", "a"), "b", "d")
+    return fold(inner, ("stim_id",), "a", "d").select("stim_id", F.to_json("d").alias("manifest"))
