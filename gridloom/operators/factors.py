@@ -133,12 +133,51 @@ def average_linkage(matrix: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def leaf_order(merges: list[tuple[int, int, float]], matrix: np.ndarray) -> list[int]:
-    """Variables in an order in which merged clusters stand together, turned so that the ends that meet are the nearest."""
-    d, n = 1 - np.abs(matrix), len(matrix)
-    order = {i: [i] for i in range(n)}
-    for k, (a, b, _) in enumerate(merges):
-        left, right = order.pop(a), order.pop(b)
-        turns = [(x, y) for x in (left, left[::-1]) for y in (right, right[::-1])]
-        x, y = min(turns, key=lambda t: d[t[0][-1], t[1][0]])
-        order[n + k] = x + y
-    return order[max(order)] if order else []
+    """Variables in the order, of all in which merged clusters stand together, that is shortest from neighbour to neighbour by 1 - |r|.
+
+    For each cluster, the shortest order of it between any two of its ends that lie on different sides of its merge, from
+    those of its two sides; the variables at the seam are kept, and the order is read off backward.
+    """
+    d, n = 1 - np.abs(matrix).astype(float), len(matrix)
+    if not merges:
+        return list(range(n))
+    sides: dict[int, tuple[int, int]] = {n + k: (a, b) for k, (a, b, _) in enumerate(merges)}
+    members: dict[int, np.ndarray] = {i: np.array([i]) for i in range(n)}
+    cost = {i: np.zeros((1, 1)) for i in range(n)}
+    for node, (a, b) in sides.items():
+        left, right = members[a], members[b]
+        between = d[np.ix_(left, right)]
+        ends = np.stack([(row[:, None] + between).min(0) for row in cost[a]])  # from a left end to the first on the right
+        across = np.stack([(row[:, None] + cost[b]).min(0) for row in ends])
+        members[node] = np.concatenate([left, right])
+        whole = np.full((len(members[node]),) * 2, np.inf)
+        whole[: len(left), len(left) :] = across
+        whole[len(left) :, : len(left)] = across.T
+        cost[node] = whole
+
+    def path(node: int, first: int, last: int) -> list[int]:
+        """The order of a cluster between two ends, by their places among its members."""
+        if node < n:
+            return [node]
+        a, b = sides[node]
+        size = len(members[a])
+        if first >= size:
+            return path(node, last, first)[::-1]
+        seam = cost[a][first][:, None] + d[np.ix_(members[a], members[b])] + cost[b][:, last - size][None]
+        m, k = np.unravel_index(int(seam.argmin()), seam.shape)
+        return path(a, first, int(m)) + path(b, int(k), last - size)
+
+    top = max(sides)
+    first, last = np.unravel_index(int(cost[top].argmin()), cost[top].shape)
+    return path(top, int(first), int(last))
+
+
+def reduce_block(matrix: np.ndarray) -> tuple[str, int, float, np.ndarray]:
+    """A block of variables reduced to a few: the method, how many, the percent of variance they explain, and the weights of their scores."""
+    d = len(matrix)
+    m = block_size(d)
+    if use_components(d, m):
+        values, vectors = principal(matrix, m)
+        return "components", m, 100 * float(values.sum() / np.trace(matrix)), vectors / np.sqrt(np.maximum(values, 1e-12))
+    loadings = factor_analysis(matrix, m)
+    return "factors", m, 100 * float((loadings**2).sum() / d), score_weights(matrix, loadings)

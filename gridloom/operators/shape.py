@@ -164,6 +164,11 @@ def nested_sidecar(channels: DataFrame) -> DataFrame:
     """(stim_id, manifest): channels (path of three parts, dtype, units) as JSON objects by class, subclass and leaf, each with where its data is."""
     parts = F.split("path", "/")
     leaf = channels.select("stim_id", parts[0].alias("a"), parts[1].alias("b"), parts[2].alias("c"), F.struct("dtype", "units", F.concat(F.lit("features/"), "path").alias("data_ref")).alias("d"))
-    fold = lambda rows, keys, k, v: rows.groupBy(*keys).agg(F.map_from_arrays(F.array_sort(F.collect_list(k)), F.transform(F.array_sort(F.collect_list(k)), lambda x: F.element_at(F.map_from_entries(F.collect_list(F.struct(k, v))), x))).alias("d"))
+
+    def fold(rows: DataFrame, keys: tuple[str, ...], k: str, v: str) -> DataFrame:
+        """Rows of each key as one map, by name."""
+        whole = F.map_from_entries(F.collect_list(F.struct(k, v)))
+        return rows.groupBy(*keys).agg(F.transform_values(F.map_from_entries(F.transform(F.array_sort(F.map_keys(whole)), lambda x: F.struct(x, x))), lambda _, x: F.element_at(whole, x)).alias("d"))
+
     inner = fold(fold(leaf, ("stim_id", "a", "b"), "c", "d"), ("stim_id", "a"), "b", "d")
     return fold(inner, ("stim_id",), "a", "d").select("stim_id", F.to_json("d").alias("manifest"))

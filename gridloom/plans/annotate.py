@@ -13,23 +13,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import media
 from gridloom.operators import events, grid, shape
+from gridloom.shared import staged
 
 SAMPLES = "stim_id string, path string, t double, v double, error string"
+OTHERS = (("vec", "array<float>"), ("code", "int"), ("label", "string"))
+KINDS = pa.schema([("stim_id", pa.string()), ("path", pa.string()), ("t", pa.float64()), ("v", pa.float64()), ("error", pa.string())])
+
+
+Numbers = dict[str, tuple[np.ndarray, np.ndarray]]  # by path: times and values
 
 
 @dataclass(frozen=True)
 class Extractor:
-    """``read`` makes (path, t, v) rows of one native row; ``table`` names the native table it reads."""
+    """``read`` makes the numbers of one native row; ``table`` names the native table it reads."""
 
     name: str
     modalities: tuple[str, ...]
     table: str
-    read: Callable[[dict], Iterator[tuple[str, float, float]]]
+    read: Callable[[dict], Numbers]
     group: str = "core"
 
 
@@ -37,18 +44,21 @@ def frame(row: dict) -> np.ndarray:
     return np.frombuffer(row["rgb"], np.uint8).reshape(row["height"], row["width"], 3)
 
 
-def _picture(row: dict) -> Iterator[tuple[str, float, float]]:
-    yield from ((f"visual/low_level_static/{k}", row["t"], v) for k, v in media.picture(frame(row)).items())
+def _one(prefix: str, t: float, numbers: dict[str, float]) -> Numbers:
+    return {f"{prefix}/{k}": (np.array([t], float), np.array([v], float)) for k, v in numbers.items()}
+
 
+def _picture(row: dict) -> Numbers:
+    return _one("visual/low_level_static", row["t"], media.picture(frame(row)))
 
-def _saliency(row: dict) -> Iterator[tuple[str, float, float]]:
-    yield from ((f"visual/saliency_aesthetics_depth/{k}", row["t"], v) for k, v in media.saliency(frame(row)).items())
 
+def _saliency(row: dict) -> Numbers:
+    return _one("visual/saliency_aesthetics_depth", row["t"], media.saliency(frame(row)))
 
-def _sound(row: dict) -> Iterator[tuple[str, float, float]]:
+
+def _sound(row: dict) -> Numbers:
     times, numbers = media.sound(np.asarray(row["samples"], float), row["rate"])
-    for name, values in numbers.items():
-        yield from ((f"audio/low_level/{name}", row["start"] + float(t), float(v)) for t, v in zip(times, values, strict=True))
+    return {f"audio/low_level/{name}": (row["start"] + times, values) for name, values in numbers.items()}
 
 
 EXTRACTORS = (
@@ -67,17 +77,19 @@ def extract(extractor: Extractor, stimuli: DataFrame, native: DataFrame) -> Data
     """Samples of the stimuli (stim_id, modality) that the extractor takes; an exception makes a row with its message."""
     taken = stimuli.where(F.col("modality").isin(*extractor.modalities)).select("stim_id")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [pa.table({"stim_id": [], "path": [], "t": [], "v": [], "error": []}, schema=KINDS)]
+            for k in range(batch.num_rows):  # one native row, a picture or a stretch of sound, is a stretch of columns
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 try:
-                    rows += [(row["stim_id"], p, float(t), float(v), None) for p, t, v in extractor.read(row)]
+                    for path, (t, v) in extractor.read(row).items():
+                        parts.append(pa.table([pa.repeat(row["stim_id"], len(t)).cast(pa.string()), pa.repeat(path, len(t)), pa.array(t, pa.float64()), pa.array(v, pa.float64()), pa.nulls(len(t), pa.string())], schema=KINDS))
                 except Exception as problem:  # one stimulus's broken data must not end the others'
-                    rows.append((row["stim_id"], None, None, None, f"{extractor.name}: {problem!r}"))
-            yield pd.DataFrame(rows, columns=["stim_id", "path", "t", "v", "error"])
+                    parts.append(pa.table([[row["stim_id"]], [None], [None], [None], [f"{extractor.name}: {problem!r}"]], schema=KINDS))
+            yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
-    return native.join(taken, "stim_id", "left_semi").mapInPandas(run, SAMPLES)
+    return native.join(taken, "stim_id", "left_semi").mapInArrow(run, SAMPLES)
 
 
 def annotate(stimuli: DataFrame, native: dict[str, DataFrame], template: DataFrame, groups: tuple[str, ...] = ("core",), rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -131,3 +143,38 @@ def run_batch(manifest: DataFrame, done: DataFrame, annotate_one: Callable[[Data
     waiting = shape.pending(manifest, done)
     skipped = manifest.join(waiting.select("id"), "id", "left_anti").select("id", F.lit("skipped").alias("status"))
     return shape.merge_index(index, annotate_one(waiting).select("id", "status").unionByName(skipped))
+
+
+def batch_status(stimuli: DataFrame, values: DataFrame, failed: DataFrame) -> DataFrame:
+    """(id, status, n_channels, n_measured, n_skeleton, n_failed, error) of what ``annotate`` gave: ok, partial where some extractor failed, error where no channel was measured and some failed."""
+    per_path = values.groupBy("stim_id", "path").agg(F.max(F.col("num").isNotNull()).alias("measured"))
+    counted = per_path.groupBy("stim_id").agg(F.count("*").alias("n_channels"), F.count_if("measured").alias("n_measured"), F.count_if(~F.col("measured")).alias("n_skeleton"))
+    broken = failed.groupBy("stim_id").agg(F.count_distinct(F.split("error", ":")[0]).alias("n_failed"), F.array_join(F.array_sort(F.collect_set(F.split("error", ":")[0])), ",").alias("names"))
+    rows = stimuli.select("stim_id").join(counted, "stim_id", "left").join(broken, "stim_id", "left").na.fill(0, ["n_channels", "n_measured", "n_skeleton", "n_failed"])
+    status = F.when(F.col("n_failed") == 0, "ok").when(F.col("n_measured") > 0, "partial").otherwise("error")
+    return rows.select(F.col("stim_id").alias("id"), status.alias("status"), "n_channels", "n_measured", "n_skeleton", "n_failed", F.when(F.col("n_failed") > 0, F.substring(F.concat(F.lit("failed: "), "names"), 1, 200)).otherwise("").alias("error"))
+
+
+def refresh(manifest: DataFrame, native: dict[str, DataFrame], template: DataFrame, folder: str, groups: tuple[str, ...] = ("core",)) -> DataFrame:
+    """From the manifest (id, modality, duration_sec) to annotations and their index, both kept in ``folder``: what the index has done is passed over, the rest annotated and written, and the new index, which is returned, put in its place.
+
+    A stimulus without a bin has the status error and holds up no other.
+    """
+    from gridloom.sources import annotations
+
+    spark = manifest.sparkSession
+    schema = "id string, status string, n_channels long, n_measured long, n_skeleton long, n_failed long, error string"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/index")
+    known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    index = spark.read.schema(schema).parquet(f"{folder}/index") if known else spark.createDataFrame([], schema)
+    waiting = shape.pending(manifest, index.where("status in ('ok', 'partial')")).withColumnRenamed("id", "stim_id")
+    long = F.floor(F.col("duration_sec") + 1e-9) >= 1
+    good = waiting.where(long)
+    news = waiting.where(~F.coalesce(long, F.lit(False))).select(F.col("stim_id").alias("id"), F.lit("error").alias("status"), *(F.lit(0).cast("long").alias(c) for c in ("n_channels", "n_measured", "n_skeleton", "n_failed")), F.lit("no bin").alias("error"))
+    values, failed = annotate(good, native, template, groups)
+    whole = values.select("stim_id", "path", "bin", F.col("bin").cast("double").alias("time_sec"), "num", *(F.lit(None).cast(k).alias(c) for c, k in OTHERS))
+    annotations.write_annotations(whole, f"{folder}/values")
+    written = annotations.read_annotations(spark, f"{folder}/values").join(good.select("stim_id"), "stim_id", "left_semi")
+    merged = staged(shape.merge_index(index, batch_status(good, written, failed).unionByName(news)).select(*index.columns), "index")
+    merged.write.mode("overwrite").parquet(f"{folder}/index")
+    return merged

@@ -299,21 +299,27 @@ def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class of line-item channels, and the embedding, reduced to a few numbers: category, method, d, m and percent explained."""
     out = []
-    edges = C.moments(items(spark, sf_dir), ITEMS)
-    matrix = factors.correlation_matrix(edges, ITEMS)
+    matrix = factors.correlation_matrix(C.moments(items(spark, sf_dir), ITEMS), ITEMS)
     for name in dict.fromkeys(ITEM_CLASS.values()):
         own = [i for i, c in enumerate(ITEMS) if ITEM_CLASS[c] == name]
-        block, d = matrix[np.ix_(own, own)], len(own)
-        m = factors.block_size(d)
-        values, _ = factors.principal(block, m)
-        out.append((name, "components" if factors.use_components(d, m) else "factors", d, m, round(100 * float(values.sum()) / d, 6)))
-    values, _ = vector_components(spark, sf_dir)
-    m = factors.block_size(len(values))
-    out.append(("embedding", "components" if factors.use_components(len(values), m) else "factors", len(values), m, round(100 * float(values[:m].sum() / values.sum()), 6)))
-    return spark.createDataFrame(out, "category string, method string, d int, m int, percent double")
+        out.append((name, len(own), *factors.reduce_block(matrix[np.ix_(own, own)])[:3]))
+    parts = {"embedding": range(64), "embedding, 24 of it": range(24)}  # too many variables for factors among ten, and few enough
+    rows = read(spark, sf_dir, "embeddings")
+    dim = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    _, _, cov = factors.vector_moments(rows, "embedding", dim)
+    size = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+    for name, part in parts.items():
+        own = [i for i in part if i < dim]
+        if own:
+            out.append((name, len(own), *factors.reduce_block((cov / np.outer(size, size))[np.ix_(own, own)])[:3]))
+    return spark.createDataFrame([(n, method, d, m, round(p, 6)) for n, d, method, m, p in out], "category string, method string, d int, m int, percent double")
 
 
-@query()
+_MORE = [*ITEMS, "twice", "less_tax"]
+
+
+@query(f"""WITH {SQL_ITEMS}, r AS (SELECT *, quantity * 2 AS twice, 1 - tax AS less_tax FROM items), c AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS r_{i}_{j}' for j, b in enumerate(_MORE) for i, a in enumerate(_MORE[:j]))} FROM r)
+{' UNION ALL '.join(f"SELECT '{b}' AS variable FROM c WHERE {' AND '.join(['true', *(f'r_{i}_{j} <= 0.999' for i in range(j))])}" for j, b in enumerate(_MORE))}""")
 def drop_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).withColumn("twice", F.col("quantity") * 2).withColumn("less_tax", 1 - F.col("tax"))
     names = [*ITEMS, "twice", "less_tax"]

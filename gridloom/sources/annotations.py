@@ -91,3 +91,19 @@ def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame(out, columns=["stim_id", "path", "bin", "num"])
 
     return files.mapInPandas(run, "stim_id string, path string, bin int, num double")
+
+
+def write_human(spark: SparkSession, path: str, classes: list[str]) -> None:
+    """Empty tables for what people annotate, one for each class and one for what is in none; those that exist are left alone."""
+    empty = spark.createDataFrame([], schemas.CHANNEL_VALUES)
+    for name in [*classes, "_free"]:
+        empty.write.mode("ignore").parquet(f"{path}/human/{name}")
+
+
+def write_scores(scores: DataFrame, path: str, category: str) -> None:
+    """The factor scores of one category (stim_id, bin, f1, ...), in place of those that were there."""
+    scores.write.mode("overwrite").parquet(f"{path}/category={category}")
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)

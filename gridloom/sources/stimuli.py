@@ -144,3 +144,13 @@ def filter_manifest(manifest: DataFrame, sources: list[str] | None = None, ids:
         manifest = manifest.where(F.col(column).isin(*allowed)) if allowed else manifest
     manifest = manifest.where(F.col("duration_sec") <= longest) if longest else manifest
     return manifest.orderBy("id").limit(first) if first else manifest
+
+
+def read_template(spark: SparkSession, path: str) -> DataFrame | None:
+    """A template kept as a JSON array of channels (path, dtype, dim, units, resample, native_rate); None where there is no file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    schema = "path string, dtype string, dim int, units string, resample string, native_rate string, components array<string>"
+    parts = F.split("path", "/")
+    return spark.read.schema(schema).option("multiLine", "true").json(path).select("*", parts[0].alias("class"), F.when(F.size(parts) > 2, parts[1]).otherwise("(direct)").alias("subclass"), F.element_at(parts, -1).alias("leaf"))
