@@ -120,3 +120,40 @@ def test_batch_takes_what_is_left(spark):
 
     got = annotate.run_batch(ids("a", "b"), ids("a"), lambda df: df.withColumn("status", F.lit("partial")), index)
     assert sorted(map(tuple, got.collect())) == [("a", "ok"), ("b", "partial"), ("z", "ok")]
+
+
+@pytest.mark.parametrize("hz", [82.4, 220.0, 440.0, 1318.5])
+def test_pitch_and_note_of_tones(hz):
+    rate = 22050
+    t = np.arange(rate) / rate
+    y = sum(0.4 / k * np.sin(2 * np.pi * hz * k * t) for k in (1, 2, 3))
+    found = media.pitch(y, rate)
+    assert np.nanmedian(found) == pytest.approx(hz, rel=0.005) and np.isfinite(found[5:-5]).all()
+    noise = media.pitch(0.3 * np.random.default_rng(0).normal(size=rate), rate)
+    assert np.isnan(noise).mean() > 0.9 and np.isnan(media.pitch(np.zeros(rate), rate)).all()
+    notes = media.chroma(np.sin(2 * np.pi * hz * t), rate)[20]
+    assert notes.max() == 1
+    if hz > 200:  # below, notes lie nearer than frequencies
+        assert notes.argmax() == round(12 * np.log2(hz / 440) + 9) % 12
+
+
+def test_cepstrum_is_a_cosine_transform():
+    rate, rng = 22050, np.random.default_rng(1)
+    y = rng.normal(size=rate // 2)
+    bands = media.mel_bands(rate, 40)
+    assert bands.shape == (40, 1025) and (bands.sum(1) * rate / 2048 == pytest.approx(np.ones(40), rel=0.35)) and (bands.argmax(1)[1:] >= bands.argmax(1)[:-1]).all()
+    full = media.cepstrum(y, rate, 40, 40)
+    level = media._decibels(media._power(media._frames(y)) @ bands.T)
+    assert (full**2).sum(1) == pytest.approx((level**2).sum(1))  # the transform keeps lengths
+    assert full[:, 0] == pytest.approx(level.sum(1) / np.sqrt(40)) and media.cepstrum(y, rate).shape[1] == 13
+
+
+@pytest.mark.parametrize("beats", [90, 120, 150])
+def test_tempo_of_clicks(beats):
+    rate = 22050
+    y = np.zeros(12 * rate)
+    for at in np.arange(0.3, 11.5, 60 / beats):
+        y[int(at * rate) : int(at * rate) + 200] = np.hanning(200)
+    strength = media.onset_strength(y, rate)
+    assert strength.max() > 10 * np.median(strength) and media.tempo(strength, rate) == pytest.approx(beats, rel=0.03)
+    assert np.isnan(media.tempo(media.onset_strength(np.zeros(rate), rate), rate))
