@@ -38,22 +38,28 @@ def rule_counts(col: pa.Array | pa.ChunkedArray, window: int = 5) -> dict[str, n
     """
     data, offsets = tokens.column_bytes(col)
     starts, ends, word_offsets = tokens.words(data, offsets)
+    n_words = len(starts)
     h, other = tokens.span_prints(data, starts, ends)
+    del starts, ends
     places = np.flatnonzero(tokens.whole_windows(word_offsets, window))
     text_of = np.searchsorted(word_offsets, places, "right").astype(np.uint64)
     keyed = tokens.mix(tokens.window_hashes(h, window)[places] + text_of * np.uint64(tokens.BYTE_BASE))
     check = tokens.window_hashes(other, window)[places]
+    del h, other, text_of
     order = np.argsort(keyed)
-    same = keyed[order][1:] == keyed[order][:-1]
+    in_order = keyed[order]
+    same = in_order[1:] == in_order[:-1]
+    del in_order
     if (same & (check[order][1:] != check[order][:-1])).any():
         order = np.lexsort((check, keyed))
         same = (keyed[order][1:] == keyed[order][:-1]) & (check[order][1:] == check[order][:-1])
+    del keyed, check
     twice = np.zeros(len(places), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
-    flags = np.zeros(len(starts), bool)
+    flags = np.zeros(n_words, bool)
     flags[places] = twice
-    repeated = tokens.covered(flags, len(starts), window) if twice.any() else flags
+    repeated = tokens.covered(flags, n_words, window) if twice.any() else flags
     whole = np.ascontiguousarray(data)
     lead = (whole & 0xC0) != 0x80
     return {

@@ -103,11 +103,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     w = ~SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    first = w.copy()
-    first[1:] &= ~w[:-1] | edge[1:-1]
-    last = w.copy()
-    last[:-1] &= ~w[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    found = w.copy()
+    found[1:] &= ~w[:-1] | edge[1:-1]
+    starts = np.flatnonzero(found)
+    found[:] = w
+    found[:-1] &= ~w[1:] | edge[1:-1]
+    ends = np.flatnonzero(found) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
