@@ -25,6 +25,13 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+def word_count(text: Column, word: str = r"\S") -> Column:
+    """How many runs of characters of the class ``word`` a text has, without an array of them: each becomes one letter, with what is around it."""
+    other = f"[^{word[1:-1]}]" if word.startswith("[") and not word.startswith("[^") else f"[{word[2:-1]}]" if word.startswith("[^") else r"\s"
+    letters = F.regexp_replace(text, F.lit(f"(?:{other})*+(?:{word})++(?:{other})*+"), F.lit("x"))
+    return F.when(text.rlike(word), F.length(letters)).when(text.isNotNull(), 0)
+
+
 def sentences_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(text), SENTENCE_END), F.trim), lambda s: s != "")
 

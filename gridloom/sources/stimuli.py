@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import schemas
-from gridloom.functions.scalars import sentences_of, words_of
+from gridloom.functions.scalars import sentences_of, word_count, words_of
 
 READING_RATE = 3.0
 
@@ -59,7 +59,7 @@ def short_hash(content: Column, first_bytes: int = 1 << 20, digits: int = 16) ->
 
 def text_stimuli(documents: DataFrame, rate: float = READING_RATE) -> DataFrame:
     """(stim_id, n_words, duration_sec) of texts (stim_id, text) read at ``rate`` words a second."""
-    n = F.size(words_of(F.col("text")))
+    n = word_count(F.col("text"))
     return documents.select("stim_id", n.alias("n_words"), (n / F.lit(rate)).alias("duration_sec"))
 
 
