@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import word_count
+
 # The phrases that the base labels ask for.
 PHRASES = {
     "cc-by": "cc by",
@@ -33,7 +35,8 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPREAD = 6  # words by which the diagonals of one span may differ: words put in less words left out
 
@@ -60,22 +63,33 @@ _CHAIN = """bit_count(aggregate(merged, 0L, (s, v) -> if((s & shiftleft(1L, v.at
     (s ^ ((s & -shiftleft(2L, v.at)) & -(s & -shiftleft(2L, v.at)))) | shiftleft(1L, v.at))))"""
 
 
-def scan(docs: DataFrame, least_share: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, least_share: float = 0.8, piece: int = 1 << 16) -> DataFrame:
     """Licenses in every row of ``docs`` (doc_id, text; other columns are not read).
 
     Returns doc_id, n_words, n_base (places of phrases), first_word, last_word (the smallest and the largest start of a
     phrase, else null), base_labels, labels (with those of templates of which at least ``least_share`` is verified; both
     distinct, sorted, joined by commas, empty if there are none), score (the largest share of a template or phrase
     verified, 0 to 1). A null text is empty. Rows are numbered, so that repeated rows and null or shared doc_ids keep a
-    row each. An empty table gives an empty table.
+    row each. A long text is taken in pieces of about ``piece`` characters, which end with a word, so that no row holds
+    all its words. An empty table gives an empty table.
     """
     small = F.translate(F.coalesce("text", F.lit("")), CAPITALS, SMALL)
-    words = F.filter(F.split(small, SEPARATORS), lambda w: w != "")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words.alias("w"))
-    # a document's words and, one further, its words again: pairs; before the first word stands an entry for the document itself
-    marked = base.select("doc_id", "row", F.size("w").alias("n_words"), F.concat(F.array(F.lit("")), "w").alias("w"))
-    pairs = marked.select("doc_id", "row", "n_words", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("w1"))).alias("i", "p"))
-    grams = pairs.select("doc_id", "row", "n_words", (F.col("i") - 1).alias("i"), F.col("p.w0").alias("w0"), F.col("p.w1").alias("w1")).withColumn("gram", F.when(F.col("i") < 0, F.lit(0)).otherwise(F.xxhash64("w0", "w1")))
+    # every piece begins with a word, but for what separates it from the one before
+    pieces = F.regexp_extract_all(small, F.lit(f"(?s){SEPARATOR}*+.{{1,{piece}}}{WORD}*+"), F.lit(0))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), pieces.alias("pieces"))
+    counts = F.when(F.size("pieces") > 1, F.transform("pieces", lambda p: word_count(p, WORD))).otherwise(F.array(F.lit(0)))
+    befores = F.aggregate("counts", F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))  # words before each piece, and all
+    following = lambda k: F.coalesce(F.regexp_extract(F.get("pieces", k + 1), f"^{SEPARATOR}*+({WORD}++)", 1), F.lit(""))
+    cut = base.withColumn("counts", counts).withColumn("befores", befores)
+    whole = F.transform("pieces", lambda p, k: F.struct(k.alias("k"), F.get("befores", k).alias("before"), F.concat(p, F.lit(" "), following(k)).alias("said")))
+    none = F.array(F.struct(F.lit(0).alias("k"), F.lit(0).alias("before"), F.lit("").alias("said")))
+    parts = cut.select("doc_id", "row", F.when(F.size("pieces") > 1, F.element_at("befores", -1)).alias("n_words"), F.explode(F.when(F.size("pieces") > 0, whole).otherwise(none)).alias("part"))
+    words = F.filter(F.split("part.said", f"{SEPARATOR}+"), lambda w: w != "")
+    # a piece's words and, one further, its words again: pairs; before the first word of a text stands an entry for the document itself
+    marked = parts.select("doc_id", "row", "n_words", "part.k", "part.before", words.alias("w")).select("doc_id", "row", F.coalesce("n_words", F.size("w")).alias("n_words"), "k", "before", F.concat(F.array(F.lit("")), "w").alias("w"))
+    pairs = marked.select("doc_id", "row", "n_words", "k", "before", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))).alias("w1"))).alias("i", "p"))
+    placed = pairs.where((F.col("i") > 0) | (F.col("k") == 0)).select("doc_id", "row", "n_words", F.when(F.col("i") > 0, F.col("i") - 1 + F.col("before")).otherwise(-1).alias("i"), F.col("p.w0").alias("w0"), F.col("p.w1").alias("w1"))
+    grams = placed.withColumn("gram", F.when(F.col("i") < 0, F.lit(0)).otherwise(F.xxhash64("w0", "w1")))
     template = _templates(docs.sparkSession)
     own = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("label"), F.lit(-1).alias("number"), F.lit(True).alias("exact"), F.lit(0).alias("pairs"), F.lit(0).alias("at"), F.lit("").alias("t0"), F.lit("").alias("t1"), F.lit(0).cast("long").alias("gram"))
     votes = grams.join(F.broadcast(template.union(own)), "gram").where((F.col("i") < 0) == (F.col("number") < 0)).where((F.col("i") < 0) | ((F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))))

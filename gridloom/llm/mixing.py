@@ -15,9 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import word_count
 from gridloom.llm.storage import stage
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 WEIGHTS = (5, 2, 1)  # of the sources in order, over and over
 MOST = 3  # times its own size that a source may be taken
 
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, f
     in doc_id, source and size are told apart by a number; a null doc_id is a value like others. An empty table gives an
     empty table.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(word_count(F.col("text"), WORD), F.lit(0)).cast("long").alias("size"))
     sized = stage(sized, "sizes")
     targets = stage(source_targets(sized, weights, most), "targets")
     alike = sized.groupBy("doc_id", "source", "size").count()
@@ -134,7 +135,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """
     taken = mix(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__mix_copies"))
     taken = stage(taken.select(F.col("doc_id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), "__mix_copies").where(F.exists("__mix_copies", lambda x: x > 0)), "copies")
-    found = docs.withColumn("__mix_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__mix_number", F.lit(1))
+    found = docs.withColumn("__mix_words", F.coalesce(word_count(F.col("text"), WORD), F.lit(0)).cast("long")).withColumn("__mix_number", F.lit(1))
     if taken.where(F.size("__mix_copies") > 1).limit(1).count():
         alike = Window.partitionBy("doc_id", "source", "__mix_words").orderBy("text")
         found = found.withColumn("__mix_number", F.row_number().over(alike))

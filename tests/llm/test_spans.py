@@ -63,3 +63,16 @@ def test_spans_are_those_of_the_plain_version(spark):
     assert got == want
     assert got[2][0] == got[3][0] == got[5][0] == "" and got[4] == ("apache", 1.0)
     assert got[6][0] == "gpl,gpl-notice"
+
+
+def test_pieces_change_nothing(spark, odd):
+    """Texts cut after every few characters: the same words, places and labels; whatever stands at a cut."""
+    rng = random.Random(2)
+    every = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    rows = [(k, "".join(rng.choice([" ", "-", "  ", "é", "cc", "by", "All rights Reserved.", rng.choice(every)]) + rng.choice(["", " "]) for _ in range(rng.randrange(30)))) for k in range(60)]
+    rows += [(100, "---"), (101, "   cc by   "), (102, "x" * 50 + "  "), (103, "cc" + " " * 40 + "by")]
+    mine = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (mine, odd.select("doc_id", "text")):
+        want = sorted(map(str, licenses.scan(docs).collect()))
+        for piece in (1, 7, 40):
+            assert sorted(map(str, licenses.scan(docs, piece=piece).collect())) == want
