@@ -51,7 +51,7 @@ def greedy(stats: DataFrame, q: int, k: int = 20, ridge: float = 1e-3, keys: tup
     The state, q x q + q + 1 numbers, goes to the tasks; each scores its segments and the best of all is one row. The
     segments' own statistics never leave the cluster.
     """
-    stats = stats.persist()
+    stats = stats.repartition(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).persist()  # few bytes, but scored again and again
     n, s, ss = 0.0, np.zeros(q), np.zeros((q, q))
     chosen: list[tuple] = []
     triu = np.triu_indices(q)

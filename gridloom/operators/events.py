@@ -99,4 +99,5 @@ def event_segments(rows: DataFrame, features: list[str]) -> DataFrame:
         return out
 
     kind = rows.schema["stim_id"].dataType.simpleString()
-    return rows.select("stim_id", "bin", *features).groupBy("stim_id").applyInPandas(solve, f"stim_id {kind}, bin {rows.schema['bin'].dataType.simpleString()}, event_id long, boundary long")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compute: not to be put together by size
+    return rows.select("stim_id", "bin", *features).repartition(tasks, "stim_id").groupBy("stim_id").applyInPandas(solve, f"stim_id {kind}, bin {rows.schema['bin'].dataType.simpleString()}, event_id long, boundary long")

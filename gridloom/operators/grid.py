@@ -22,7 +22,7 @@ def time_grid(stimuli: DataFrame, rate: float = 1.0, start: float = 0.0) -> Data
 
 
 def bin_index(t: Column, rate: float = 1.0, start: float = 0.0) -> Column:
-    return F.bround((t - F.lit(start)) * F.lit(float(rate))).cast("int")
+    return F.rint((t - F.lit(start)) * F.lit(float(rate))).cast("int")
 
 
 def _binned(samples: DataFrame, rate: float) -> DataFrame:

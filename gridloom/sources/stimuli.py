@@ -81,12 +81,12 @@ def text_rates(documents: DataFrame, rate: float = READING_RATE, grid_rate: floa
     """
     n_bins = F.floor(F.col("duration_sec") * grid_rate + 1e-9).cast("int")
     rows = text_stimuli(documents, rate).where(n_bins >= 1).select("stim_id", "n_words", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))
-    clock = lambda i: F.bround(i / F.lit(rate) * F.lit(float(grid_rate)))
+    clock = lambda i: F.rint(i / F.lit(rate) * F.lit(float(grid_rate)))
 
     def first(b: Column) -> Column:
-        """The first word at or after the bin's beginning, looked for around where it must be."""
-        near = F.floor((b - 0.5) / grid_rate * rate).cast("int")
-        return F.array_min(F.filter(F.sequence(near - 1, near + 2), lambda i: clock(i) >= b))
+        """The first word at or after the bin's beginning; where it must be, but for a tie of rounding."""
+        near = F.ceil((b - 0.5) / grid_rate * rate).cast("int")
+        return F.when(clock(near - 1) >= b, near - 1).when(clock(near) >= b, near).otherwise(near + 1)
 
     upto = lambda b: F.least(F.greatest(first(b), F.lit(0)), F.col("n_words"))
     return rows.select("stim_id", "bin", (upto(F.col("bin") + 1) - upto(F.col("bin"))).cast("long").alias("n"))

@@ -67,3 +67,10 @@ def test_library_stands_without_the_training_data_operators(tmp_path):
 def test_streamed_cuts_are_those_of_the_batch(spark, sf):
     both = [sorted((r.stim_id, r.t) for r in QUERIES[q](spark, sf).collect()) for q in ("cut_detect", "stream_cuts")]
     assert both[0] == both[1]
+
+
+@pytest.mark.parametrize("missing", ["sentencepiece", "xxhash"])
+def test_library_stands_without_what_the_training_data_operators_need(missing):
+    code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; q = e.queries(); assert 'fastest_segments' in q and not any(k.startswith('op') for k in q)"
+    root = os.path.dirname(os.path.abspath(driver.__file__))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

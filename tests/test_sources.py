@@ -76,3 +76,12 @@ def test_clusters_of_variables():
     assert [m[:2] for m in merges] == [(0, 2), (1, 3), (4, 5)]
     order = factors.leaf_order(merges, r)
     assert abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+
+
+@pytest.mark.parametrize(("rate", "grid_rate"), [(3.0, 1.0), (2.0, 1.0), (2.5, 2.0), (0.7, 1.0), (4.0, 0.5)])
+def test_rates_are_counts_of_words(spark, rate, grid_rate):
+    """Counted from a bin's number, and word by word; with ties of rounding."""
+    docs = spark.createDataFrame([(i, " ".join(["a"] * i) + "\t ") for i in range(0, 40, 3)] + [(99, None), (98, "  ")], "stim_id long, text string")
+    got = {(r.stim_id, r.bin): r.n for r in sources.text_rates(docs, rate, grid_rate).collect()}
+    want = {(i, b): sum(round(k / rate * grid_rate) == b for k in range(i)) for i in range(0, 40, 3) for b in range(int(np.floor(i / rate * grid_rate + 1e-9)))}
+    assert got == want
