@@ -55,3 +55,37 @@ def test_short_repeats_of_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(df, short_repeats=True).collect()}
     assert got == {1: ("yes\n\nno", 1), 2: ("  \n\nNo\n-", 1), 3: ("a line that is long enough\n  ", 1)}
+
+
+def in_order(df, plan):
+    got = df.select(plan.part.alias("part"), F.coalesce("doc_id", F.lit(1 << 40)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("w")).cache()
+    ends = got.groupBy("part").agg(F.min(F.struct("id", "text")).alias("a"), F.max(F.struct("id", "text")).alias("z"), F.sum("w").alias("w")).orderBy("part").collect()
+    assert all(x.z <= y.a for x, y in zip(ends, ends[1:], strict=False)) and 0 <= ends[0].part and ends[-1].part < plan.count
+    return [r.w for r in ends]
+
+
+def test_thousands_of_heavy_ids(spark):
+    """5,000 ids of more than a part each: the plan stays as it is, and no part is above twice the size asked."""
+    rows = spark.range(5000 * 6).select((F.col("id") % 5000 * 7).alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(" text " * 20)).alias("text"))
+    light = spark.range(3000).select((F.col("id") * 11 + 3).alias("doc_id"), F.lit("light").alias("text"))
+    df = rows.unionByName(light).repartition(8)
+    plan = parts.plan_parts(df, "doc_id", "text", 600)
+    weights = in_order(df, plan)
+    assert max(weights) <= 1200 and len(weights) > 5000
+
+
+def test_texts_that_begin_alike(spark):
+    """10,000 different texts of no id that share 1,000 characters, behind others that share more: no part is above twice the size asked."""
+    head, other = "the same heading " * 60, "another page " * 300
+    rows = [(None, f"{head}{i * 7919 % 10007}") for i in range(10_000)] + [(None, f"{other}{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert max(in_order(df, parts.plan_parts(df, "doc_id", "text", 1 << 18))) <= 1 << 19
+
+
+def test_operators_on_many_heavy_ids(spark):
+    """600 ids of three rows and more than a part each, which alike begin."""
+    rng = random.Random(3)
+    phrase = [" ".join(f"w{rng.randrange(50)}" for _ in range(25)) for _ in range(300)]
+    rows = [(i % 600, f"{'the same heading of a site ' * 4}{rng.choice(phrase)}\n{rng.choice(phrase)} tail {i % 7}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(remove_repeats(df, part_bytes=1000).collect(), brute.repeats(rows))
