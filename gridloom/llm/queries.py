@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import chat, licenses, mixing, quality
-from gridloom.llm import sharding
+from gridloom.llm import sharding, tokenfiles
 from gridloom.llm.lines import dedup_lines
 from gridloom.llm.sentencepieces import encode_documents
 from gridloom.llm.simhash import near_duplicates
@@ -74,6 +75,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written as token files and read back. A null text is an empty one (the end id alone), rows of one doc_id are documents of their own, a null doc_id comes last; other columns are not read."""
+    path = tokenfiles.write_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.digests(spark, path)
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_chat": op2_chat,
@@ -85,6 +92,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_files": op11_token_files,
     "pipeline": corpus_pipeline.run,
 }
 
