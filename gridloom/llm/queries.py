@@ -7,11 +7,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import chat, licenses, mixing, quality
-from gridloom.llm import sharding, tokenfiles
+from gridloom.llm import chat, infill, licenses, mixing, quality, sharding, tokenfiles, vectorcodes
 from gridloom.llm.lines import dedup_lines
 from gridloom.llm.sentencepieces import encode_documents
 from gridloom.llm.simhash import near_duplicates
+from gridloom.llm.storage import stage
 from gridloom.llm.substrings import remove_repeats
 from gridloom.llm.topk import top_k
 
@@ -81,6 +81,22 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(spark, path)
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-middle form, and the texts rebuilt from it, as digests. A null text is an empty one and stays plain, equal rows come out alike, a null doc_id hashes as no digits; other columns are not read."""
+    made = infill.fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, with the error of each label's vectors together. Null or non-finite vectors are left out; null labels are one label; rows of one vec_id, or of none, are vectors of their own."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = vectorcodes.fit(vectors)
+    coded = stage(vectorcodes.encode(vectors, books), "codes")
+    per_label = coded.groupBy(F.col("label").alias("of_label")).agg(F.sum("error").alias("label_error"))
+    return coded.join(per_label, F.col("label").eqNullSafe(F.col("of_label"))).select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_chat": op2_chat,
@@ -93,9 +109,32 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_line_dedup": op10_line_dedup,
     "op11_token_files": op11_token_files,
+    "op12_infill": op12_infill,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds of op13 one after the other: distances to all entries, the first of the nearest, means rounded down."""
+    part = lambda e: f"list_slice({e}, k * len({e}) // 8 + 1, (k + 1) * len({e}) // 8)"
+    steps = [
+        "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT row, k::INTEGER AS k, {part('e')} AS x FROM v, range(8) r(k))",
+        "b0 AS MATERIALIZED (SELECT k, (row - 1)::INTEGER AS i, x AS c FROM p WHERE row <= 16)",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS MATERIALIZED (SELECT row, k, i, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p JOIN b{r} USING (k))")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT row, k, min(d) AS d, arg_min(i, d::HUGEINT * 16 + i) AS i FROM d{r} GROUP BY 1, 2)")
+        if r < rounds:
+            steps.append(f"m{r} AS (SELECT k, i, j, floor(sum(x[j]) / count(*)::DOUBLE)::BIGINT AS m FROM (SELECT k, i, x, unnest(range(1, len(x) + 1)) AS j FROM a{r} JOIN p USING (row, k)) GROUP BY 1, 2, 3)")
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT k, i, coalesce(n.c, b{r}.c) AS c FROM b{r} LEFT JOIN (SELECT k, i, list(m ORDER BY j) AS c FROM m{r} GROUP BY 1, 2) n USING (k, i))")
+    steps.append(f"o AS (SELECT row, string_agg(format('{{:02x}}', i), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY 1)")
+    steps.append(f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, i)) AS codebooks_sha256 FROM b{rounds})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o USING (row), h"
+
+
 _SPLIT = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLES: dict[str, str] = {
@@ -113,4 +152,11 @@ f AS (SELECT row, i, row_number() OVER (PARTITION BY sequence ORDER BY row, i) >
 g AS (SELECT w.row, w.i, w.word, coalesce(max(again::INTEGER) OVER (PARTITION BY w.row ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) AS gone FROM w LEFT JOIN f ON f.row = w.row AND f.i = w.i),
 r AS (SELECT row, sum(gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM g GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (row)""",
+    "op12_infill": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+s AS (SELECT *, array_to_string(w[1:low], '') AS p, array_to_string(w[low + 1:high], '') AS m, array_to_string(w[high + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM s""",
+    "op13_vector_codes": _codes_sql(),
 }
