@@ -134,7 +134,7 @@ def speech(words: DataFrame, segments: DataFrame, stimuli: DataFrame, bins: Data
 
 def lexical(words: DataFrame, norms: DataFrame, names: list[str], bins: DataFrame) -> DataFrame:
     """(stim_id, path, bin, num): means of word length and of each norm of the words (stim_id, start, text) that begin in a bin. A stimulus without words has nulls."""
-    rows = words.withColumn("word", scalars.clean_word(F.col("text"))).join(F.broadcast(norms), "word", "left").select("stim_id", F.col("start").alias("t"), F.length("word").cast("double").alias("word_length"), *names)
+    rows = words.withColumn("word", scalars.clean_word(F.col("text"))).join(norms, "word", "left").select("stim_id", F.col("start").alias("t"), F.length("word").cast("double").alias("word_length"), *names)
     return spread(rows, "language/lexical", bins)
 
 

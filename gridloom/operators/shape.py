@@ -46,6 +46,17 @@ def feature_info(template: DataFrame) -> DataFrame:
     )
 
 
+def template_of(channels: DataFrame) -> DataFrame:
+    """Channels (path, dtype, dim, components and any other columns) with class, subclass and leaf."""
+    parts = F.split("path", "/")
+    return channels.select("*", parts[0].alias("class"), F.when(F.size(parts) > 2, parts[1]).otherwise("(direct)").alias("subclass"), F.element_at(parts, -1).alias("leaf"))
+
+
+def with_info(values: DataFrame, info: DataFrame) -> DataFrame:
+    """Values (path, comp_index, ...) with what ``feature_info`` says of their variable; those of no known variable are left out."""
+    return values.join(info, ["path", "comp_index"])
+
+
 def skeleton_fill(stimuli: DataFrame, template: DataFrame, present: DataFrame, grid: DataFrame) -> DataFrame:
     """(stim_id, path, dtype, bin): null rows for each channel of the template that a stimulus lacks in ``present`` (stim_id, path).
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import dot, wide
+from gridloom.operators import products
 
 
 def in_order(*order: str) -> Window:
@@ -121,23 +122,14 @@ def _streamed(vectors: DataFrame, name: str, fold: Callable[[np.ndarray, list[np
     return rows.mapInArrow(run, f"{kinds}, {name} double").unionByName(vectors.where("vec is null").select("stim_id", "i", F.lit(None).cast("double").alias(name)))
 
 
-def novelty(vectors: DataFrame, block: int = 1024) -> DataFrame:
-    """(stim_id, i, novelty): 1 less the largest product with an earlier vector of the stimulus; null for the first.
+def novelty(vectors: DataFrame, block: int = 4096) -> DataFrame:
+    """(stim_id, i, novelty): 1 less the largest product with an earlier vector of the stimulus; null for the first, and for a null vector, which counts as none.
 
-    Vectors of a stimulus have one length. Products are made block by block, and only their largest is kept.
+    Vectors of a stimulus have one length. Pairs of blocks of them are tasks of their own, and only largest products leave them.
     """
-
-    def fold(x: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
-        best = np.full(len(x), -np.inf)
-        for at in range(0, len(x), block):
-            part = x[at : at + block]
-            for earlier in [*before, *(x[k : k + block] for k in range(0, at, block))]:
-                best[at : at + block] = np.maximum(best[at : at + block], (part @ earlier.T).max(1))
-            own = np.tril(np.ones((len(part), len(part)), bool), -1)
-            best[at : at + block] = np.maximum(best[at : at + block], np.where(own, part @ part.T, -np.inf).max(1))
-        return np.where(np.isfinite(best), 1 - best, np.nan)
-
-    return _streamed(vectors, "novelty", fold, lambda x: x)
+    found = products.most_alike_before(vectors.where("vec is not null").select("stim_id", "i", wide(F.col("vec")).alias("e")), block)
+    none = vectors.where("vec is null").select("stim_id", "i", F.lit(None).cast("double").alias("novelty"))
+    return found.select("stim_id", "i", (1 - F.col("alike")).alias("novelty")).unionByName(none)
 
 
 def drift(vectors: DataFrame) -> DataFrame:

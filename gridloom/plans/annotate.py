@@ -1,13 +1,15 @@
 """From stimuli and their native data to channels of one constant shape.
 
-An extractor turns a table of native data (frames, sound, words ...) into samples (stim_id, path, t, v), row by row or
-stimulus by stimulus, as it says. One that fails on a row or a stimulus gives a row in ``failed`` and nothing else is
-lost. Samples are reduced onto the grid; what the template has and a stimulus has not is filled with nulls.
-Post-extractors read the channels that the others made.
+Extractors that read pixels or sound turn each native row into samples (stim_id, path, t, v); what such a one needs to
+have at hand is loaded once in each Python worker. One that fails on a row gives a row in ``failed`` and nothing else is
+lost. They are nodes of the graph of ``graph``, beside those of ``extractors``, which read what models gave. Samples are
+reduced onto the grid; what the template has and a stimulus has not is filled with nulls. Post-extractors read the
+channels that the others made.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,26 +20,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import media
-from gridloom.operators import events, grid, shape
+from gridloom.operators import events, shape, typed
+from gridloom.plans import graph, loading
+from gridloom.plans.extractors import NODES
 from gridloom.shared import staged
 
-SAMPLES = "stim_id string, path string, t double, v double, error string"
-OTHERS = (("vec", "array<float>"), ("code", "int"), ("label", "string"))
-KINDS = pa.schema([("stim_id", pa.string()), ("path", pa.string()), ("t", pa.float64()), ("v", pa.float64()), ("error", pa.string())])
+SAMPLES = "stim_id string, path string, t double, until double, v double, vec array<double>, error string"
+KINDS = pa.schema([("stim_id", pa.string()), ("path", pa.string()), ("t", pa.float64()), ("until", pa.float64()), ("v", pa.float64()), ("vec", pa.list_(pa.float64())), ("error", pa.string())])
 
 
-Numbers = dict[str, tuple[np.ndarray, np.ndarray]]  # by path: times and values
+Numbers = dict[str, tuple[np.ndarray, ...]]  # by path: times, values (a row a time where they are vectors), and until when each holds, if not for a moment
 
 
 @dataclass(frozen=True)
 class Extractor:
-    """``read`` makes the numbers of one native row; ``table`` names the native table it reads."""
+    """``read`` makes the numbers of one native row; ``table`` names the native table it reads.
+
+    With ``load``, ``read`` gets what it gave as well: weights or tables that each worker loads once, for all its tasks.
+    """
 
     name: str
     modalities: tuple[str, ...]
     table: str
-    read: Callable[[dict], Numbers]
+    read: Callable[..., Numbers]
     group: str = "core"
+    load: Callable[[], object] | None = None
 
 
 def frame(row: dict) -> np.ndarray:
@@ -56,15 +63,19 @@ def _saliency(row: dict) -> Numbers:
     return _one("visual/saliency_aesthetics_depth", row["t"], media.saliency(frame(row)))
 
 
-def _sound(row: dict) -> Numbers:
-    times, numbers = media.sound(np.asarray(row["samples"], float), row["rate"])
-    return {f"audio/low_level/{name}": (row["start"] + times, values) for name, values in numbers.items()}
+def _sound(row: dict, bands: Callable[[float, int], np.ndarray]) -> Numbers:
+    """Numbers and vectors of each frame of sound; the tempo holds for the whole stretch."""
+    y, rate, start = np.asarray(row["samples"], float), row["rate"], row["start"]
+    times, numbers = media.sound(y, rate)
+    numbers |= {"mfcc": media.cepstrum(y, rate, filters=bands(rate, 128)), "chroma": media.chroma(y, rate)}
+    found = {f"audio/low_level/{name}": (start + times, values) for name, values in numbers.items()}
+    return found | {"audio/low_level/tempo": (np.array([start], float), np.array([media.tempo(numbers["onset_strength"], rate)]), np.array([start + len(y) / rate]))}
 
 
 EXTRACTORS = (
     Extractor("VisualLowLevel", ("audiovisual", "video-only"), "frames", _picture),
     Extractor("VisualSaliency", ("audiovisual", "video-only"), "frames", _saliency, "vision"),
-    Extractor("AudioLowLevel", ("audiovisual", "audio-only"), "sound", _sound),
+    Extractor("AudioLowLevel", ("audiovisual", "audio-only"), "sound", _sound, load=lambda: functools.cache(media.mel_bands)),
 )
 
 
@@ -73,46 +84,61 @@ def chosen(groups: tuple[str, ...] = ("core",), extractors: tuple[Extractor, ...
     return [e for e in extractors if e.group == "core" or e.group in groups]
 
 
+def _samples(stim_id: str, path: str, t: np.ndarray, v: np.ndarray, until: np.ndarray | None = None) -> pa.Table:
+    n, v = len(t), np.asarray(v, float)
+    values = [pa.nulls(n, pa.float64()), pa.array(list(v), KINDS.field("vec").type)] if v.ndim == 2 else [pa.array(v), pa.nulls(n, KINDS.field("vec").type)]
+    ends = pa.nulls(n, pa.float64()) if until is None else pa.array(until, pa.float64())
+    return pa.table([pa.repeat(pa.scalar(stim_id, pa.string()), n), pa.repeat(path, n), pa.array(t, pa.float64()), ends, *values, pa.nulls(n, pa.string())], schema=KINDS)
+
+
 def extract(extractor: Extractor, stimuli: DataFrame, native: DataFrame) -> DataFrame:
     """Samples of the stimuli (stim_id, modality) that the extractor takes; an exception makes a row with its message."""
     taken = stimuli.where(F.col("modality").isin(*extractor.modalities)).select("stim_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (loading.state(extractor.name, extractor.load),) if extractor.load else ()
         for batch in batches:
-            parts = [pa.table({"stim_id": [], "path": [], "t": [], "v": [], "error": []}, schema=KINDS)]
+            parts = [KINDS.empty_table()]
             for k in range(batch.num_rows):  # one native row, a picture or a stretch of sound, is a stretch of columns
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 try:
-                    for path, (t, v) in extractor.read(row).items():
-                        parts.append(pa.table([pa.repeat(row["stim_id"], len(t)).cast(pa.string()), pa.repeat(path, len(t)), pa.array(t, pa.float64()), pa.array(v, pa.float64()), pa.nulls(len(t), pa.string())], schema=KINDS))
+                    parts += [_samples(row["stim_id"], path, *found) for path, found in extractor.read(row, *held).items()]
                 except Exception as problem:  # one stimulus's broken data must not end the others'
-                    parts.append(pa.table([[row["stim_id"]], [None], [None], [None], [f"{extractor.name}: {problem!r}"]], schema=KINDS))
+                    parts.append(pa.table({"stim_id": [row["stim_id"]], **{c: [None] for c in KINDS.names[1:-1]}, "error": [f"{extractor.name}: {problem!r}"]}, schema=KINDS))
             yield from pa.concat_tables(parts).combine_chunks().to_batches()
 
     return native.join(taken, "stim_id", "left_semi").mapInArrow(run, SAMPLES)
 
 
+def node(extractor: Extractor) -> graph.Node:
+    """An extractor of native rows as a node: what it read is staged once, for its samples and its failures."""
+
+    def make(stimuli: DataFrame, bins: DataFrame, tables: dict[str, DataFrame]) -> graph.Made:
+        found = staged(extract(extractor, stimuli, tables[extractor.table]), extractor.name)
+        good = found.where("error is null").select("stim_id", "path", F.col("t").alias("start"), F.col("until").alias("end"), "v", "vec", *(F.lit(None).cast(typed.FIELDS[c]).alias(c) for c in ("code", "label")))
+        return graph.Made(good, failed=found.where("error is not null").select("stim_id", "error"))
+
+    return graph.Node(extractor.name, (extractor.table,), make, (), extractor.modalities, extractor.group)
+
+
 def annotate(stimuli: DataFrame, native: dict[str, DataFrame], template: DataFrame, groups: tuple[str, ...] = ("core",), rate: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(stim_id, path, bin, num) of the template's scalar-like channels for every stimulus, and failed (stim_id, error).
+    """(stim_id, path, bin, num, vec, code, label) of every channel of the template for every stimulus, and failed (stim_id, error).
 
-    Stimuli have stim_id, modality and duration_sec; one without a bin is an error.
+    Stimuli have stim_id, modality and duration_sec; one without a bin is an error. Every extractor runs, of the core and
+    of ``groups``, whose native tables are there.
     """
     short = stimuli.where(F.floor(F.col("duration_sec") * rate + 1e-9) < 1).limit(1).collect()
     if short:
         raise ValueError(f"{short[0].stim_id}: no bin in {short[0].duration_sec} s")
-    bins = grid.time_grid(stimuli, rate)
-    parts = [extract(e, stimuli, native[e.table]) for e in chosen(groups) if e.table in native]
-    if not parts:
-        raise ValueError("no extractor has a table to read")
-    samples = parts[0]
-    for part in parts[1:]:
-        samples = samples.union(part)
-    good = samples.where("error is null").withColumn("bin", grid.bin_index(F.col("t"), rate))
-    found = good.groupBy("stim_id", "path", "bin").agg(F.avg(F.nanvl("v", F.lit(None).cast("double"))).alias("num"))
-    present = good.select("stim_id", "path").distinct()
-    measured = present.join(bins, "stim_id").join(found, ["stim_id", "path", "bin"], "left").select("stim_id", "path", "bin", "num")
-    filled = shape.skeleton_fill(stimuli, template, present, bins).select("stim_id", "path", "bin", F.lit(None).cast("double").alias("num"))
-    return measured.union(filled), samples.where("error is not null").select("stim_id", "error")
+    nodes = [*(node(e) for e in chosen(groups)), *(n for n in NODES if n.group == "core" or n.group in groups)]
+    done = graph.run(nodes, stimuli, native, template, rate)
+    if "ok" not in done.status.values():
+        raise ValueError(f"no extractor has a table to read: {done.status}")
+    broken = [(n, s) for n, s in done.status.items() if s.startswith("failed")]
+    failed = done.failed
+    for name, said in broken:  # one that failed as a whole failed on each stimulus that it takes
+        failed = failed.unionByName(stimuli.where(F.col("modality").isin(*next(n for n in nodes if n.name == name).modalities)).select("stim_id", F.lit(f"{name}: {said}").alias("error")))
+    return done.values.select("stim_id", "path", "bin", "num", "vec", "code", "label"), failed
 
 
 def shots(frames: DataFrame, bins: DataFrame, threshold: float = 0.6, gap: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +173,7 @@ def run_batch(manifest: DataFrame, done: DataFrame, annotate_one: Callable[[Data
 
 def batch_status(stimuli: DataFrame, values: DataFrame, failed: DataFrame) -> DataFrame:
     """(id, status, n_channels, n_measured, n_skeleton, n_failed, error) of what ``annotate`` gave: ok, partial where some extractor failed, error where no channel was measured and some failed."""
-    per_path = values.groupBy("stim_id", "path").agg(F.max(F.col("num").isNotNull()).alias("measured"))
+    per_path = values.groupBy("stim_id", "path").agg(F.max(F.coalesce(*(F.when(F.col(c).isNotNull(), True) for c in ("num", "vec", "code", "label") if c in values.columns), F.lit(False))).alias("measured"))
     counted = per_path.groupBy("stim_id").agg(F.count("*").alias("n_channels"), F.count_if("measured").alias("n_measured"), F.count_if(~F.col("measured")).alias("n_skeleton"))
     broken = failed.groupBy("stim_id").agg(F.count_distinct(F.split("error", ":")[0]).alias("n_failed"), F.array_join(F.array_sort(F.collect_set(F.split("error", ":")[0])), ",").alias("names"))
     rows = stimuli.select("stim_id").join(counted, "stim_id", "left").join(broken, "stim_id", "left").na.fill(0, ["n_channels", "n_measured", "n_skeleton", "n_failed"])
@@ -172,7 +198,7 @@ def refresh(manifest: DataFrame, native: dict[str, DataFrame], template: DataFra
     good = waiting.where(long)
     news = waiting.where(~F.coalesce(long, F.lit(False))).select(F.col("stim_id").alias("id"), F.lit("error").alias("status"), *(F.lit(0).cast("long").alias(c) for c in ("n_channels", "n_measured", "n_skeleton", "n_failed")), F.lit("no bin").alias("error"))
     values, failed = annotate(good, native, template, groups)
-    whole = values.select("stim_id", "path", "bin", F.col("bin").cast("double").alias("time_sec"), "num", *(F.lit(None).cast(k).alias(c) for c, k in OTHERS))
+    whole = values.select("stim_id", "path", "bin", F.col("bin").cast("double").alias("time_sec"), "num", F.col("vec").cast("array<float>").alias("vec"), "code", "label")
     annotations.write_annotations(whole, f"{folder}/values")
     written = annotations.read_annotations(spark, f"{folder}/values").join(good.select("stim_id"), "stim_id", "left_semi")
     merged = staged(shape.merge_index(index, batch_status(good, written, failed).unionByName(news)).select(*index.columns), "index")

@@ -33,6 +33,13 @@ def case(table: dict, key: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
+def ran(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template's channels that a run has: those whose number some event above 20 names."""
+    named = read(spark, sf_dir, "events").where("value > 20").select((F.col("event_id") % 103).alias("k")).distinct()
+    paths = F.lit([r[0] for r in schemas.template_rows()])
+    return sources.template(spark).join(named.select(F.element_at(paths, (F.col("k") + 1).cast("int")).alias("path")), "path", "left_semi")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return docs.select(F.col("doc_id").alias("id"), "source", "lang", (F.col("n_chars") / 100).alias("duration_sec"))
@@ -43,12 +50,22 @@ def _literal(v) -> str:
 
 
 _ROWS = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in schemas.template_rows())
-TEMPLATE = f"""template AS (SELECT path, dtype, dim::INTEGER AS dim, units, resample, native_rate, components, split_part(path, '/', 1) AS class,
-CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE '(direct)' END AS subclass, string_split(path, '/')[-1] AS leaf FROM (VALUES {_ROWS}) t(path, dtype, dim, units, resample, native_rate, components)),
-leveled AS (SELECT *, CASE
+_LEVELED = """leveled AS (SELECT *, CASE
 WHEN (class = 'visual' AND subclass IN ('low_level_static', 'dynamic_motion')) OR (class = 'audio' AND subclass = 'low_level') OR (class = 'language' AND leaf IN ('freq_zipf', 'word_length')) THEN 'low'
 WHEN (class = 'visual' AND subclass IN ('saliency_aesthetics_depth', 'faces_bodies_gaze')) OR (class = 'audio' AND leaf IN ('speech_present', 'word_rate')) OR (class = 'language' AND (subclass = 'syntax' OR leaf IN ('valence', 'arousal', 'dominance', 'concreteness', 'aoa'))) OR (class = 'social' AND leaf IN ('n_agents', 'min_pair_distance')) OR (class = 'affect' AND leaf IN ('face_emotion', 'face_valence', 'face_arousal')) THEN 'mid'
 ELSE 'high' END AS level, coalesce(CASE WHEN dtype = 'vector' THEN dim ELSE 1 END, 1) AS n FROM template)"""
+
+
+def _template(rows: str) -> str:
+    """CTEs of the template, with class, subclass, leaf and level, from rows of its fixed values."""
+    parts = "split_part(path, '/', 1) AS class, CASE WHEN len(string_split(path, '/')) > 2 THEN split_part(path, '/', 2) ELSE '(direct)' END AS subclass, string_split(path, '/')[-1] AS leaf"
+    return f"template AS (SELECT path, dtype, dim::INTEGER AS dim, units, resample, native_rate, components, {parts} FROM {rows}),\n{_LEVELED}"
+
+
+_VALUES = f"(VALUES {_ROWS}) t(path, dtype, dim, units, resample, native_rate, components)"
+TEMPLATE = _template(_VALUES)
+#: The template's channels that a run has: those whose number some event above 20 names.
+RAN = _template(f"(SELECT *, row_number() OVER () - 1 AS k FROM {_VALUES}) WHERE k IN (SELECT event_id % 103 FROM events WHERE value > 20)")
 DOCS = "manifest AS (SELECT doc_id AS id, source, lang, n_chars / 100.0::DOUBLE AS duration_sec FROM documents)"
 
 
@@ -134,9 +151,9 @@ def channel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(n > 1000).alias("n_measured"), F.count_if((n <= 1000) & (n > 100)).alias("n_skeleton"), F.count_if(n <= 100).alias("n_failed"))
 
 
-@query(f"WITH {TEMPLATE} SELECT path, dtype, dim, units, resample, native_rate, class, subclass, leaf FROM template")
+@query(f"WITH {RAN} SELECT path, dtype, dim, units, resample, native_rate, class, subclass, leaf FROM template")
 def template_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.template(spark).drop("components")
+    return ran(spark, sf_dir).drop("components")
 
 
 @query("SELECT DISTINCT event_type || '/' || (user_id % 7) AS path, 'scalar' AS dtype, 1 AS dim FROM events")
@@ -146,24 +163,24 @@ def template_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.infer_template(meta.union(onsets))
 
 
-@query(rf"""WITH {TEMPLATE}, x AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS comp_index FROM leveled), c AS (SELECT *, CASE WHEN dtype = 'vector' THEN coalesce(components[comp_index], 'd' || (comp_index - 1)) END AS component FROM x)
+@query(rf"""WITH {RAN}, x AS (SELECT *, unnest(range(1, n + 1))::INTEGER AS comp_index FROM leveled), c AS (SELECT *, CASE WHEN dtype = 'vector' THEN coalesce(components[comp_index], 'd' || (comp_index - 1)) END AS component FROM x)
 SELECT replace(path, '/', '__') || CASE WHEN component IS NOT NULL THEN '__' || regexp_replace(component, '[^A-Za-z0-9]+', '_', 'g') ELSE '' END AS var_name, path, class, level, component, comp_index, dtype IN ('scalar', 'bool', 'event', 'vector') AS "numeric", leaf IN ('siglip_embedding', 'dino_embedding', 'clap_embedding', 'qwen3', 'llama_ar') AS is_embedding FROM c""")
 def feature_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.feature_info(sources.template(spark))
+    return shape.feature_info(ran(spark, sf_dir))
 
 
-@query(f"WITH {TEMPLATE} SELECT path, level FROM leveled")
+@query(f"WITH {RAN} SELECT path, level FROM leveled")
 def feature_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.template(spark).select("path", shape.level(F.col("class"), F.col("subclass"), F.col("leaf")).alias("level"))
+    return ran(spark, sf_dir).select("path", shape.level(F.col("class"), F.col("subclass"), F.col("leaf")).alias("level"))
 
 
-@query(f"WITH {TEMPLATE} SELECT class, subclass, count(*) AS n, list(leaf ORDER BY path) AS leaves FROM template GROUP BY ALL")
+@query(f"WITH {RAN} SELECT class, subclass, count(*) AS n, list(leaf ORDER BY path) AS leaves FROM template GROUP BY ALL")
 def feature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = sources.template(spark).groupBy("class", "subclass").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "leaf"))).alias("x"))
+    tree = ran(spark, sf_dir).groupBy("class", "subclass").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "leaf"))).alias("x"))
     return tree.select("class", "subclass", "n", F.transform("x", lambda e: e["leaf"]).alias("leaves"))
 
 
-@query(f"WITH {TEMPLATE} SELECT path, row_number() OVER (ORDER BY list_position(['visual', 'audio', 'language', 'social', 'situation', 'affect'], class), list_position(['low', 'mid', 'high'], level), path)::INTEGER AS place FROM leveled")
+@query(f"WITH {RAN} SELECT path, row_number() OVER (ORDER BY list_position(['visual', 'audio', 'language', 'social', 'situation', 'affect'], class), list_position(['low', 'mid', 'high'], level), path)::INTEGER AS place FROM leveled")
 def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -172,10 +189,10 @@ def feature_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.row_number().over(Window.orderBy(rank(schemas.CLASSES, "class"), rank(schemas.LEVELS, "level"), "path")).alias("place"))  # 103 rows
 
 
-@query(f"""WITH {TEMPLATE} SELECT class, coalesce(sum(n) FILTER (level = 'low'), 0)::BIGINT AS low, coalesce(sum(n) FILTER (level = 'mid'), 0)::BIGINT AS mid, coalesce(sum(n) FILTER (level = 'high'), 0)::BIGINT AS high FROM leveled GROUP BY 1""")
+@query(f"""WITH {RAN} SELECT class, coalesce(sum(n) FILTER (level = 'low'), 0)::BIGINT AS low, coalesce(sum(n) FILTER (level = 'mid'), 0)::BIGINT AS mid, coalesce(sum(n) FILTER (level = 'high'), 0)::BIGINT AS high FROM leveled GROUP BY 1""")
 def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.coalesce(shape.n_variables(F.col("dtype"), F.col("dim")), F.lit(1))
-    rows = sources.template(spark).select("class", shape.level(F.col("class"), F.col("subclass"), F.col("leaf")).alias("level"), n.alias("n"))
+    rows = ran(spark, sf_dir).select("class", shape.level(F.col("class"), F.col("subclass"), F.col("leaf")).alias("level"), n.alias("n"))
     return rows.groupBy("class").pivot("level", list(schemas.LEVELS)).agg(F.sum("n")).na.fill(0)
 
 
@@ -211,14 +228,14 @@ def renull_inapplicable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select("doc_id", shape.renull(F.col("quality").cast("double"), F.col("toxic") == 0).alias("quality"))
 
 
-@query(f"WITH {TEMPLATE} SELECT path FROM template WHERE dtype IN ('scalar', 'bool', 'event')")
+@query(f"WITH {RAN} SELECT path FROM template WHERE dtype IN ('scalar', 'bool', 'event')")
 def scalar_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.template(spark).where(F.col("dtype").isin(*schemas.SCALAR_LIKE)).select("path")
+    return ran(spark, sf_dir).where(F.col("dtype").isin(*schemas.SCALAR_LIKE)).select("path")
 
 
-@query(f"WITH {TEMPLATE} SELECT path FROM template WHERE class = 'audio'")
+@query(f"WITH {RAN} SELECT path FROM template WHERE class = 'audio'")
 def class_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.template(spark).where("class = 'audio'").select("path")
+    return ran(spark, sf_dir).where("class = 'audio'").select("path")
 
 
 @query("SELECT event_id, value FROM events WHERE event_type = 'purchase'")
@@ -229,9 +246,9 @@ def get_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query(f"WITH {TEMPLATE} SELECT path FROM template WHERE contains(lower(path), 'face')")
+@query(f"WITH {RAN} SELECT path FROM template WHERE contains(lower(path), 'face')")
 def channel_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.template(spark).where(F.contains(F.lower("path"), F.lit("face"))).select("path")
+    return ran(spark, sf_dir).where(F.contains(F.lower("path"), F.lit("face"))).select("path")
 
 
 _PREFERRED = "[" + ", ".join(f"'{p}'" for p in schemas.PREFERRED) + "]"
@@ -266,7 +283,7 @@ def onset_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.attach_onsets(rows.select("stim_id", "path").distinct(), rows.where("path = 'error'"))
 
 
-@query(rf"""WITH {TEMPLATE} SELECT path || '[' || unnest(components) || ']' AS name FROM template WHERE components IS NOT NULL AND len(components) <= 30""")
+@query(rf"""WITH {RAN} SELECT path || '[' || unnest(components) || ']' AS name FROM template WHERE components IS NOT NULL AND len(components) <= 30""")
 def interp_vector_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.template(spark).where(shape.interpretable(F.col("components")))
+    rows = ran(spark, sf_dir).where(shape.interpretable(F.col("components")))
     return rows.select("path", F.explode("components").alias("c")).select(F.concat("path", F.lit("["), "c", F.lit("]")).alias("name"))

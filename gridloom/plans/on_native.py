@@ -9,7 +9,7 @@ from gridloom.functions import scalars
 from gridloom.operators import grid as G
 from gridloom.operators import native, shape
 from gridloom.operators import signals as S
-from gridloom.plans.on_catalog import TEMPLATE
+from gridloom.plans.on_catalog import RAN, ran
 from gridloom.plans.on_events import BINS, NATIVE, grid, rounded, samples, stimuli
 from gridloom.plans.on_text import NORMS, STORY, TALK, lexicon, segments, stories, transcripts
 from gridloom.plans.registry import query, read
@@ -171,10 +171,10 @@ def segment_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.with_sources(found, media)
 
 
-@query(f"""WITH {TEMPLATE} SELECT path, replace(leaf, '_', ' ') || CASE WHEN dtype IN ('vector', 'categorical') AND coalesce(dim, 0) > 0 THEN ' (' || dim || ')' ELSE '' END AS label FROM template""")
+@query(f"""WITH {RAN} SELECT path, replace(leaf, '_', ' ') || CASE WHEN dtype IN ('vector', 'categorical') AND coalesce(dim, 0) > 0 THEN ' (' || dim || ')' ELSE '' END AS label FROM template""")
 def channel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = F.when(F.col("dtype").isin("vector", "categorical"), F.col("dim"))
-    return sources.template(spark).select("path", scalars.label_text(F.col("path"), levels).alias("label"))
+    return ran(spark, sf_dir).select("path", scalars.label_text(F.col("path"), levels).alias("label"))
 
 
 @query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events""")
@@ -190,10 +190,10 @@ def blended_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", color.alias("color"), scalars.blend(color, 255, 0.5).alias("light"))
 
 
-@query(rf"""WITH {TEMPLATE}, x AS (SELECT *, unnest(range(1, CASE WHEN dtype = 'vector' THEN coalesce(dim, 1) ELSE 1 END + 1)) AS k FROM template)
+@query(rf"""WITH {RAN}, x AS (SELECT *, unnest(range(1, CASE WHEN dtype = 'vector' THEN coalesce(dim, 1) ELSE 1 END + 1)) AS k FROM template)
 SELECT class, count(*)::BIGINT AS n FROM x WHERE dtype IN ('scalar', 'bool', 'event', 'vector') AND leaf NOT IN ('siglip_embedding', 'dino_embedding', 'clap_embedding', 'qwen3', 'llama_ar', 'audioset_tags', 'action_posteriors') GROUP BY 1""")
 def factor_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shape.factor_variables(shape.feature_info(sources.template(spark))).groupBy("class").agg(F.count("*").alias("n"))
+    return shape.factor_variables(shape.feature_info(ran(spark, sf_dir))).groupBy("class").agg(F.count("*").alias("n"))
 
 
 @query("""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) - 1 AS k FROM n) SELECT p_partkey, name || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS name FROM r""")

@@ -78,9 +78,14 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return sources.clean_norms(spark.createDataFrame(LEXICON, "line int, word string, value string"))
 
 
-@query(f"WITH {NORMS} SELECT word, value FROM norms")
+@query("""WITH lines AS (SELECT p_partkey AS line, CASE WHEN p_partkey % 3 = 0 THEN ' ' || upper(split_part(p_name, ' ', 1)) || ' ' ELSE split_part(p_name, ' ', 2) END AS word, CASE WHEN p_partkey % 4 = 0 THEN 'n/a' ELSE p_retailprice::VARCHAR END AS value FROM part)
+SELECT word, round(arg_max(value, line), 6) AS value FROM (SELECT line, lower(trim(word)) AS word, try_cast(value AS DOUBLE) AS value FROM lines) WHERE value IS NOT NULL GROUP BY 1""")
 def norms_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon(spark)
+    """A lexicon whose lines are parts: words in any letters, some without a number, most more than once."""
+    words = F.split("p_name", " ")
+    word = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.upper(words[0]), F.lit(" "))).otherwise(F.get(words, F.lit(1)))
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), word.alias("word"), F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("value"))
+    return sources.clean_norms(lines).select("word", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {NORMS}, w AS (SELECT doc_id AS stim_id, nullif(regexp_replace(lower(unnest({WORDS})), '[^a-z'']+', '', 'g'), '') AS word FROM documents)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import grid as G
-from gridloom.operators import shape
+from gridloom.operators import products, shape
 from gridloom.operators import signals as S
 from gridloom.plans.registry import query, read
 
@@ -68,12 +68,12 @@ c AS (SELECT vec_id, p.label AS prompt, 10 * list_cosine_similarity(embedding::D
 SELECT vec_id, prompt, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM d""")
 def prompt_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Softmax over ten times the cosine with each prompt; prompts are the labels' mean vectors, a fixed vocabulary."""
-    rows = read(spark, sf_dir, "embeddings")
-    parts = rows.select("label", F.posexplode(scalars.wide(F.col("embedding"))).alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
-    prompts = parts.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("p")).orderBy("label").collect()
-    cosines = F.array(*[10 * scalars.cosine(scalars.wide(F.col("embedding")), F.lit([x.v for x in p.p])) for p in prompts])
-    probed = rows.select("vec_id", F.posexplode(scalars.softmax(cosines)).alias("n", "p"))
-    return probed.select("vec_id", F.element_at(F.lit([p.label for p in prompts]), F.col("n") + 1).alias("prompt"), F.round("p", 6).alias("p"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", scalars.wide(F.col("embedding")).alias("e"))
+    parts = rows.select("label", F.posexplode("e").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda p: p["v"]).alias("vec"))
+    prompts = means.select(F.col("label").cast("long").alias("k"), F.col("label").alias("prompt"), "vec")
+    probed = products.prompt_cosines(rows.select("vec_id", "e"), "e", prompts).withColumn("p", scalars.softmax(F.transform("cosines", lambda c: 10 * c["cosine"])))
+    return probed.select("vec_id", F.explode(F.arrays_zip(F.transform("cosines", lambda c: c["prompt"]).alias("prompt"), "p")).alias("x")).select("vec_id", "x.prompt", F.round("x.p", 6).alias("p"))
 
 
 @query("SELECT vec_id, generate_subscripts(embedding, 1)::INTEGER AS comp_index, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings")
