@@ -14,7 +14,7 @@ from gridloom.llm import mixing, quality
 from gridloom.llm.lines import dedup_lines
 from gridloom.llm.sentencepieces import encode_documents
 from gridloom.llm.similar import drop_similar
-from gridloom.llm.storage import discard, new_path, stage
+from gridloom.llm.storage import discard, new_path, set_aside, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null and empty ones empty. Earlier is by doc_id, null last, then by text; of equal rows one counts as
     the earlier, so the others lose their lines. n_chars changes where lines went, and stays as it was, null too, elsewhere.
     """
-    kept = dedup_lines(docs)
     changed = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.withColumn("n_chars", changed).select(*docs.columns)
+    aside = set_aside(docs, "n_lines", "n_removed").columns  # columns of these names, which the operator's own would hide
+    return dedup_lines(docs).select(*(changed.alias(c) if c == "n_chars" else F.col(f"`{held}`").alias(c) for c, held in zip(docs.columns, aside, strict=True)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
