@@ -251,13 +251,29 @@ def similar_sets(reps: DataFrame, docs: DataFrame, words: int, percent: int, sma
     return components(grouped.mapInArrow(compare, "a long, b long"), "similar")
 
 
-def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 16, block: int = 256) -> DataFrame:
+def _representatives(marked: DataFrame, path: str) -> DataFrame:
+    """A row for each distinct set, with the least document that has it. Sets are one if both of their 64-bit hashes agree.
+
+    Where sets of one set_id differ in their second hash, all but those of the least are named anew, and grouped again.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")
+    grouped = marked.groupBy("set_id").agg(least, *(F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch")), F.min("set_check").alias("low"), F.max("set_check").alias("high"))
+    return stage(grouped.select("set_id", "n", "fp", "keys", "sketch", "b.doc_id", "b.text_key", "low", "high"), path)
+
+
+def _told_apart(marked: DataFrame, reps: DataFrame) -> DataFrame:
+    clash = reps.where("low <> high").select("set_id", "low")
+    return marked.join(clash, "set_id", "left").withColumn("set_id", F.when(F.col("low") != F.col("set_check"), F.xxhash64("set_id", "set_check")).otherwise(F.col("set_id"))).drop("low")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, small: int = 16, block: int = 256, id_bits: int = 64) -> DataFrame:
     """The rows of ``docs`` with one of each class: that of the smallest doc_id, or of rows of one doc_id any one.
 
     Rows link if the Jaccard similarity of their sets of ``words``-word shingles is ``percent`` in a hundred or more;
     classes are what links reach. ASCII letters count as small. A text of fewer words than a shingle is one shingle;
     texts without words, and null ones, are alike. All columns are kept. Rows whose doc_id is null stay only where their
-    class has no other. An empty table gives an empty table.
+    class has no other. An empty table gives an empty table. Two sets are taken for one where 128 bits of hashes agree;
+    ``id_bits`` says how many of them name a set, fewer only to see names clash.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
@@ -267,13 +283,17 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, small: int
             keys = band_keys(sets)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"),
-                pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()),
+                pa.array((np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64) >> np.uint64(64 - id_bits)).view(np.int64)),
+                pa.array(np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), pa.array([fingerprint(x) for x in sets], pa.int64()),
                 pa.array([k.tobytes() if len(x) else b"" for x, k in zip(sets, keys, strict=True)], pa.binary()), pa.array([sketch(x) for x in sets], pa.binary()),
-            ], names=["doc_id", "text_key", "set_id", "n", "fp", "keys", "sketch"])
+            ], names=["doc_id", "text_key", "set_id", "set_check", "n", "fp", "keys", "sketch"])
 
-    marked = stage(chosen.mapInArrow(mark, "doc_id long, text_key long, set_id long, n int, fp long, keys binary, sketch binary"), "shingles")
+    marked = stage(chosen.mapInArrow(mark, "doc_id long, text_key long, set_id long, set_check long, n int, fp long, keys binary, sketch binary"), "shingles")
+    reps = _representatives(marked, "sets")
+    if reps.where("low <> high").limit(1).count():
+        reps = _representatives(_told_apart(marked, reps), "sets")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("b")
-    reps = stage(marked.groupBy("set_id").agg(least, *(F.first(c).alias(c) for c in ("n", "fp", "keys", "sketch"))).select("set_id", "n", "fp", "keys", "sketch", "b.doc_id", "b.text_key"), "sets")
+    reps = reps.drop("low", "high")
     linked = similar_sets(reps, docs, words, percent, small, block).withColumnRenamed("node", "set_id")
     placed = reps.join(linked, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     best = stage(placed.groupBy("root").agg(least).select("b.doc_id", "b.text_key"), "kept")

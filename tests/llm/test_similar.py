@@ -89,3 +89,13 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     got = [root[sets.index(shingles(r.text))] for r in kept.collect()]
     assert sorted(got) == sorted(set(root))
     assert similar.drop_similar(nothing).count() == 0
+
+
+def test_sets_whose_names_clash(spark):
+    """With names of three bits nearly all clash, and the same documents stay."""
+    from gridloom.llm.similar import drop_similar
+
+    texts = [f"document {i} speaks of thing {i} and of thing {i + 1} and of nothing else than thing {i + 2}" for i in range(60)]
+    df = spark.createDataFrame([(i, texts[i % 60]) for i in range(90)], "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in drop_similar(df, id_bits=3).collect())
+    assert kept == sorted(r.doc_id for r in drop_similar(df).collect()) and 0 in kept and 60 not in kept

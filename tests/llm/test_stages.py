@@ -44,3 +44,17 @@ def test_run_of_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, docs, str(tmp_path)).count() == 0
+
+
+CLASHING = ["n_lines", "n_removed", "N_words", "fp", "size", "taken", "kept", "part", "bucket", "row", "set_id", "grp", "shard", "slot", "chunk", "ids", "score", "base_failed", "root", "class"]
+
+
+def test_columns_of_any_name_come_through(spark, odd_documents):
+    """Extra columns named like the operators' own keep their values in every stage but the last."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{odd_documents}/documents.parquet").withColumns({c: F.lit(700 + k).cast("long") for k, c in enumerate(CLASHING)})
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        got = function(spark, docs, odd_documents)
+        assert got.columns == docs.columns, name
+        assert got.select(*CLASHING).distinct().collect() == [tuple(700 + k for k in range(len(CLASHING)))], name
