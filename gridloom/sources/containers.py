@@ -146,6 +146,19 @@ def summary(found: dict) -> tuple:
     return duration, video is not None, audio is not None, *((video["fps"], video["width"], video["height"]) if video else (0.0, 0, 0))
 
 
+def _probed(path: str, f: BinaryIO, size: int) -> tuple:
+    try:
+        return (path, *summary(read_headers(f, size)), None)
+    except ValueError as problem:
+        return (path, *[None] * 6, str(problem)[:200])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.string())
+    names = [c.split()[0] for c in PROBED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
 def probe_files(files: DataFrame) -> DataFrame:
     """What the media files (path: of a store that Arrow opens, such as file:// or hdfs://) say of themselves; of one that cannot be read, nulls and what is wrong.
 
@@ -161,11 +174,20 @@ def probe_files(files: DataFrame) -> DataFrame:
                 try:
                     store, name = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
                     with store.open_input_file(name) as f:
-                        rows.append((path, *summary(read_headers(f, f.size())), None))
-                except (ValueError, OSError) as problem:
+                        rows.append(_probed(path, f, f.size()))
+                except OSError as problem:
                     rows.append((path, *[None] * 6, str(problem)[:200]))
-            kinds = (pa.string(), pa.float64(), pa.bool_(), pa.bool_(), pa.float64(), pa.int32(), pa.int32(), pa.string())
-            names = [c.split()[0] for c in PROBED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+            yield _batch(rows)
 
     return files.select("path").mapInArrow(run, PROBED)
+
+
+def probe_contents(files: DataFrame) -> DataFrame:
+    """``probe_files`` of files (path, content) that are at hand, as Spark's own reader of binary files gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = zip(batch.column("path").to_pylist(), batch.column("content"), strict=True)
+            yield _batch([_probed(p, pa.BufferReader(c.as_buffer() or b""), len(c.as_buffer() or b"")) for p, c in held])
+
+    return files.select("path", "content").mapInArrow(run, PROBED)
