@@ -86,8 +86,11 @@ def varimax(loadings: np.ndarray, steps: int = 100) -> np.ndarray:
     return loadings @ turn
 
 
-def factor_analysis(matrix: np.ndarray, m: int, steps: int = 500) -> np.ndarray:
-    """Maximum-likelihood loadings of a correlation matrix by EM, turned by varimax, by variance explained."""
+def factor_analysis(matrix: np.ndarray, m: int, steps: int = 5000, tolerance: float = 1e-10) -> np.ndarray:
+    """Maximum-likelihood loadings of a correlation matrix by EM, turned by varimax, by variance explained.
+
+    Steps go on until no noise variance moves by more than ``tolerance``, ``steps`` at the most.
+    """
     matrix = nearest_positive(matrix)
     values, vectors = principal(matrix, m)
     load, noise = vectors * np.sqrt(values), np.full(len(matrix), 0.5)
@@ -95,7 +98,9 @@ def factor_analysis(matrix: np.ndarray, m: int, steps: int = 500) -> np.ndarray:
         beta = load.T @ np.linalg.inv(load @ load.T + np.diag(noise))
         second = np.eye(m) - beta @ load + beta @ matrix @ beta.T
         load = matrix @ beta.T @ np.linalg.inv(second)
-        noise = np.maximum(np.diag(matrix - load @ beta @ matrix), 0.005)
+        before, noise = noise, np.maximum(np.diag(matrix - load @ beta @ matrix), 0.005)
+        if np.abs(noise - before).max() <= tolerance:
+            break
     load = signed(varimax(load)) if m > 1 else signed(load)
     return load[:, np.argsort(-(load**2).sum(0), kind="stable")]
 

@@ -125,6 +125,20 @@ def spread_spans(rows: DataFrame, prefix: str, stimuli: DataFrame, bins: DataFra
     return bins.join(rows.select("stim_id").distinct(), "stim_id", "left_semi").join(means, ["stim_id", "bin"], "left").unpivot(["stim_id", "bin"], names, "name", "num").select("stim_id", F.concat(F.lit(f"{prefix}/"), "name").alias("path"), "bin", "num")
 
 
+def with_text(segments: DataFrame, text: str = "text") -> DataFrame:
+    """Segments that say something: those whose text is null or white space alone are left out."""
+    return segments.where(F.coalesce(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("")) != "")
+
+
+def speech_gate(stimuli: DataFrame, segments: DataFrame) -> DataFrame:
+    """Stimuli with has_speech, whether any segment says something, and note: why language channels have nothing, where it is so."""
+    spoken = with_text(segments).select("stim_id").distinct().withColumn("said", F.lit(True))
+    tried = segments.select("stim_id").distinct().withColumn("tried", F.lit(True))
+    rows = stimuli.join(spoken, "stim_id", "left").join(tried, "stim_id", "left")
+    note = F.when(F.col("said").isNull(), F.when(F.col("tried").isNull(), "no transcript").otherwise("no speech found"))
+    return rows.select(*stimuli.columns, F.coalesce("said", F.lit(False)).alias("has_speech"), note.alias("note"))
+
+
 def speech(words: DataFrame, segments: DataFrame, stimuli: DataFrame, bins: DataFrame) -> DataFrame:
     """(stim_id, path, bin, num): whether anyone speaks, and how many words begin, in each bin of a stimulus that has a transcript. The words are those that the language channels read."""
     rates = G.event_count(words.select("stim_id", F.col("start").alias("t")), bins).select("stim_id", F.lit("audio/speech/word_rate").alias("path"), "bin", F.col("n").cast("double").alias("num"))

@@ -318,8 +318,11 @@ def category_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MORE = [*ITEMS, "twice", "less_tax"]
 
 
-@query(f"""WITH {SQL_ITEMS}, r AS (SELECT *, quantity * 2 AS twice, 1 - tax AS less_tax FROM items), c AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS r_{i}_{j}' for j, b in enumerate(_MORE) for i, a in enumerate(_MORE[:j]))} FROM r)
-{' UNION ALL '.join(f"SELECT '{b}' AS variable FROM c WHERE {' AND '.join(['true', *(f'r_{i}_{j} <= 0.999' for i in range(j))])}" for j, b in enumerate(_MORE))}""")
+_KEPT = "".join(f", k{j} AS (SELECT *, {' AND '.join(['true', *(f'NOT (kept_{i} AND r_{i}_{j} > 0.999)' for i in range(j))])} AS kept_{j} FROM {f'k{j - 1}' if j else 'c'})" for j in range(len(_MORE)))
+
+
+@query(f"""WITH {SQL_ITEMS}, r AS (SELECT *, quantity * 2 AS twice, 1 - tax AS less_tax FROM items), c AS (SELECT {', '.join(f'abs(corr({a}, {b})) AS r_{i}_{j}' for j, b in enumerate(_MORE) for i, a in enumerate(_MORE[:j]))} FROM r){_KEPT}
+{' UNION ALL '.join(f"SELECT '{b}' AS variable FROM k{len(_MORE) - 1} WHERE kept_{j}" for j, b in enumerate(_MORE))}""")
 def drop_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = items(spark, sf_dir).withColumn("twice", F.col("quantity") * 2).withColumn("less_tax", 1 - F.col("tax"))
     names = [*ITEMS, "twice", "less_tax"]

@@ -103,6 +103,27 @@ def syntax_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "mean_dep_distance", "content_frac", "noun_frac", "verb_frac")
 
 
+_HALF = "CASE WHEN stim_id % 5 = 0 THEN ' ' || chr(10) WHEN i % 3 = 0 THEN NULL ELSE text END"
+
+
+@query(rf"""WITH {TALK} SELECT stim_id, i, said AS text FROM (SELECT stim_id, i, {_HALF} AS said FROM talk) WHERE regexp_replace(coalesce(said, ''), '\s+', '', 'g') <> ''""")
+def said_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that say something, where some have lost their texts."""
+    return native.with_text(half_said(spark, sf_dir)).select("stim_id", "i", "text")
+
+
+def half_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("stim_id") % 5 == 0, F.lit(" \n")).when(F.col("i") % 3 == 0, F.lit(None)).otherwise(F.col("text"))
+    return segments(spark, sf_dir).withColumn("text", text)
+
+
+@query(rf"""WITH {TALK}, h AS (SELECT stim_id, i, {_HALF} AS said FROM talk WHERE stim_id % 7 <> 0), s AS (SELECT stim_id, bool_or(regexp_replace(coalesce(said, ''), '\s+', '', 'g') <> '') AS said FROM h GROUP BY 1)
+SELECT long.stim_id, coalesce(said, false) AS has_speech, CASE WHEN said IS NULL THEN 'no transcript' WHEN NOT said THEN 'no speech found' END AS note FROM long LEFT JOIN s USING (stim_id)""")
+def speech_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of which some were never made, and some came out empty."""
+    return native.speech_gate(transcripts(spark, sf_dir).select("stim_id"), half_said(spark, sf_dir).where("stim_id % 7 <> 0"))
+
+
 @query(f"""WITH {TALK}, w AS (SELECT stim_id, unnest(range(n)) AS k, n, "start", "end" FROM segs), c AS (SELECT stim_id, round_even("start" + (k + 0.5::DOUBLE) / n * greatest("end" - "start", 1e-3::DOUBLE), 0)::INTEGER AS bin, count(*) AS n FROM w GROUP BY ALL), p AS (SELECT DISTINCT stim_id, bin FROM covered)
 SELECT g.stim_id, 'audio/speech/word_rate' AS path, g.bin, coalesce(c.n, 0)::DOUBLE AS num FROM grid g LEFT JOIN c USING (stim_id, bin) UNION ALL SELECT g.stim_id, 'audio/speech/speech_present', g.bin, (p.bin IS NOT NULL)::INTEGER::DOUBLE FROM grid g LEFT JOIN p USING (stim_id, bin)""")
 def speech_channels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,41 +53,14 @@ def index_json(segments: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def read_hdf5(spark: SparkSession, path: str) -> DataFrame:
-    """(stim_id, path, bin, num) of the one-dimensional numeric channels of HDF5 annotations; needs h5py on the workers.
-
-    A boolean's -1 reads as null. A file that cannot be opened is passed over.
-    """
+    """Channels of every kind in HDF5 annotations, with their onsets, and a row for each file that cannot be read; needs h5py on the workers."""
     import importlib.util
 
+    from gridloom.sources import annotation_source
+
     if importlib.util.find_spec("h5py") is None:
         raise ImportError("h5py is not installed")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.h5").load(path).select("path", "content")
-
-    def run(batches: Iterator) -> Iterator:
-        import io
-
-        import h5py
-        import pandas as pd
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                out: list[tuple] = []
-
-                def visit(name: str, item: h5py.Dataset, out: list[tuple] = out, row=row) -> None:
-                    if isinstance(item, h5py.Dataset) and item.ndim == 1 and item.dtype.kind in "fiub" and "__onsets" not in name:
-                        kind = item.attrs.get("dtype", b"")
-                        kind = kind.decode() if isinstance(kind, bytes) else kind
-                        stem = re.sub(r"\.[^.]*$", "", row.path.rsplit("/", 1)[-1])
-                        out += [(stem, name, i, None if kind == "bool" and v == -1 else float(v)) for i, v in enumerate(item[()])]
-
-                try:
-                    with h5py.File(io.BytesIO(row.content), "r") as f:
-                        f["features"].visititems(visit)
-                except (OSError, KeyError):
-                    continue
-                yield pd.DataFrame(out, columns=["stim_id", "path", "bin", "num"])
-
-    return files.mapInPandas(run, "stim_id string, path string, bin int, num double")
+    return annotation_source.read_files(spark, path, suffix=".h5", decoder=f"{annotation_source.__name__}:hdf5")
 
 
 def write_human(spark: SparkSession, path: str, classes: list[str]) -> None:
