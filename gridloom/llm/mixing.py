@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, f
     blocks = F.ceil(F.col("n") / F.lit(fan_in))
     rows = rows.select(
         "doc_id", "source", "size", "source_size", "target", F.least(F.floor(wanted), F.lit(most)).cast("int").alias("base"), (wanted - F.floor(wanted)).alias("p"), "n",
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "alike"), F.greatest(blocks, F.lit(1))).alias("block"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "alike"), F.greatest(blocks, F.lit(1))).alias("block"),
     )
     rows = stage(rows, "wanted")
     keep = ["source", "source_size", "target", "base"]

@@ -21,33 +21,40 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each 20th vector among all others. Null vectors, empty ones and those with a null or non-finite component take no part; rows that share a vec_id count each, a null vec_id is no query; an empty table gives no rows."""
     return top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, once=False)
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, read back and digested. Null roles and texts are empty; rows of one turn come in the order of their texts, a null turn first; repeated rows are turns of their own."""
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.format_conversations(turns.unionByName(chat.probe_conversation(spark))))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents. Null and empty texts have no words and fail; each of repeated rows is judged alone; without labels the base rules decide."""
     docs = _read(spark, sf_dir, "documents")
     forest = quality.fit(docs, _read(spark, sf_dir, "labels"))
     return quality.judge(docs, forest)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents and their round trip. A null text is an empty one; each of repeated rows has a row."""
     return encode_documents(_read(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null and empty texts have no words and are not taken; a null source is a source, the last; equal rows are taken each on its own."""
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases in all documents. A null text is an empty one, with score 0; each of repeated rows has a row."""
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight written shards, read back. A null text is no bytes; null doc_ids and equal rows are records of their own."""
     text = F.coalesce("text", F.lit(""))
     return sharding.shard_documents(_read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -61,16 +68,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stay of all documents. Null texts have none; rows of one doc_id come in the order of their texts, null doc_ids last; of equal rows the first keeps its words."""
     kept = remove_repeats(_read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and classes of all documents. Texts without words, null ones too, have fingerprint zero and are one class; each of repeated rows has a row; a null doc_id is no class's least where there is another."""
     found = near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stay of all documents, short exact repeats removed as well. Null texts have no lines; rows of one doc_id come in the order of their texts, null doc_ids last; of equal rows the first keeps its lines."""
     kept = dedup_lines(_read(spark, sf_dir, "documents"), short_repeats=True)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
