@@ -5,7 +5,8 @@ tokens (stim_id, i, k, logits, target), sentiment_logits and emotion_logits (sti
 vec), guesses (stim_id, i, reply), frames_seen (stim_id, t), faces and people (stim_id, t and boxes), face_logits (stim_id,
 t, logits, valence, arousal), scene_logits (stim_id, t, logits), frame_vectors (stim_id, t, vec), flow (stim_id, t, u, v),
 depth_maps (stim_id, t, d), clips, sound_windows (stim_id, start, end, logits), voice (stim_id, start, end, arousal,
-dominance, valence), replies (stim_id, k, start, end, reply), colors (stim_id, t, h).
+dominance, valence), replies (stim_id, k, start, end, reply), colors (stim_id, t, h), frame_features (stim_id, t, vec),
+sound_vectors (stim_id, start, end, vec); vocabularies prompts (k, vec, scale, bias) and sound_prompts (k, vec, scale).
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
-from gridloom.operators import native, products, signals
+from gridloom.operators import events, native, products, shape, signals
 from gridloom.operators.typed import sample, scalars_of, together
 from gridloom.plans.graph import Made, Node
+from gridloom.schemas import MODALITIES
 
 Tables = dict[str, DataFrame]
 SEEN = ("audiovisual", "video-only")
@@ -166,6 +168,39 @@ def shots(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
     return Made(together(sample(cuts, "visual/dynamic_motion/cut", "t", v=F.lit(1.0)), none, sample(index, "visual/dynamic_motion/shot_index", "time_sec", v=F.col("shot"))))
 
 
+def visual_dino(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
+    return Made(sample(t["frame_features"].withColumn("start", F.col("t")), "visual/high_level_static/dino_embedding", vec=F.col("vec")))
+
+
+def audio_clap(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
+    """Vectors of stretches of sound, and their chances against all prompts (k, vec, scale) of a vocabulary together."""
+    rows = _centres(t["sound_vectors"]).select("stim_id", "start", scalars.wide(F.col("vec")).alias("e"))
+    scores = products.prompt_cosines(rows, "e", t["sound_prompts"].select("k", "vec", "scale"))
+    probed = scores.withColumn("p", scalars.softmax(F.transform("cosines", lambda q: q["scale"] * F.coalesce(q["cosine"], F.lit(0.0)))))
+    return Made(together(sample(rows, "audio/high_level/clap_embedding", vec=F.col("e")), sample(probed, "audio/high_level/clap_probe", vec=F.col("p"))))
+
+
+def language_embedding(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
+    return Made(sample(_timed(t, "embeddings"), "language/embedding/qwen3", end=F.col("end"), vec=F.col("vec")))
+
+
+#: Channels whose course says where one event ends and another begins: what changes slowly, of each class.
+EVENT_PATHS = (
+    "visual/low_level_static/luminance", "visual/low_level_static/colorfulness", "visual/dynamic_motion/flow_magnitude", "visual/faces_bodies_gaze/n_faces", "audio/low_level/rms", "audio/low_level/spectral_centroid",
+    "audio/speech/speech_present", "audio/speech/word_rate", "language/hl/semantic_coherence", "affect/depicted/text_sentiment_polarity", "affect/depicted/face_valence",
+)
+
+
+def event_segmentation(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
+    """States and boundaries from the scalar channels that all other extractors made."""
+    known = t["channels"].where(F.col("path").isin(*EVENT_PATHS) & F.col("applicable"))
+    wide = shape.to_wide(known, list(EVENT_PATHS))
+    found = events.event_segments(wide, [p.replace("/", "__") for p in EVENT_PATHS]).join(bins, ["stim_id", "bin"])
+    looked = found.where("event_id is not null")
+    none = sample(looked, "situation/event_boundary", "time_sec")  # every bin was looked at, so none is a zero
+    return Made(together(sample(looked, "situation/event_id", "time_sec", v=F.col("event_id")), none, sample(looked.where("boundary <> 0"), "situation/event_boundary", "time_sec", v=F.lit(1.0))))
+
+
 #: Which field of a reply is which channel.
 REPLY_CHANNELS = {
     "interaction_type": "social/interaction_type", "dominance": "social/dominance", "scene_description": "situation/scene_description", "setting": "situation/setting", "indoor_outdoor": "situation/indoor_outdoor",
@@ -196,8 +231,12 @@ NODES = [
     Node("VisualMotion", ("flow",), motion, (), SEEN, "vision"),
     Node("VisualDepth", ("depth_maps",), depth, (), SEEN, "vision"),
     Node("VisualSemantic", ("frame_vectors", "prompts"), visual_semantic, (), SEEN, "vision"),
+    Node("VisualDino", ("frame_features",), visual_dino, (), SEEN, "vision"),
+    Node("LanguageEmbedding", ("words", "segments", "embeddings"), language_embedding, (), SPOKEN),
     Node("VisualShots", ("colors",), shots, (), SEEN),
     Node("AudioEvents", ("sound_windows",), audio_events, (), HEARD, "audio_hl"),
+    Node("AudioClap", ("sound_vectors", "sound_prompts"), audio_clap, (), HEARD, "audio_hl"),
     Node("VocalAffect", ("voice",), vocal_affect, (), HEARD, "audio_hl"),
     Node("Reasoning", ("replies",), reasoning, (), SEEN, "vlm"),
+    Node("EventSegmentation", ("channels",), event_segmentation, (), MODALITIES, "events"),
 ]

@@ -1,7 +1,8 @@
 """Extractors as a graph: each reads native tables and tables that others make, and gives samples, tables or both.
 
 What an extractor gives is written before the next one reads it, so a table made once (the words of a transcript, say)
-serves all that read it, and one that fails takes with it those that need it and no other.
+serves all that read it, and one that fails takes with it those that need it and no other. Extractors that read
+``channels``, the values that all others made, run in a second phase.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ from gridloom.schemas import MODALITIES
 from gridloom.shared import staged
 
 
+CHANNELS = "channels"
+
+
 @dataclass
 class Made:
     """Samples for the grid, tables for other extractors, and stimuli on which the extractor failed (stim_id, error)."""
@@ -71,6 +75,28 @@ def run(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], tem
     The status of an extractor is ok, absent (a native table is not there), failed with its error, or skipped with the
     extractor it needs. Native tables have a stim_id, or are vocabularies without one.
     """
+    late = [n for n in nodes if CHANNELS in n.reads]
+    first = _phase([n for n in nodes if n not in late], stimuli, native, rate)
+    values = typed.channels(first.samples, template, stimuli, rate)
+    if not late:
+        return Run(values, first.made, first.failed, first.status)
+    held = staged(values, CHANNELS)
+    second = _phase(late, stimuli, {**native, **first.made, CHANNELS: held}, rate)
+    again = second.samples.select("path").distinct()  # channels, of which there are a few
+    others = template.join(again, "path", "left_semi")
+    whole = held.join(again, "path", "left_anti").unionByName(typed.channels(second.samples, others, stimuli, rate))
+    return Run(whole, {**first.made, **second.made}, first.failed.unionByName(second.failed), first.status | second.status)
+
+
+@dataclass
+class _Phase:
+    samples: DataFrame
+    made: dict[str, DataFrame]
+    failed: DataFrame
+    status: dict[str, str]
+
+
+def _phase(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], rate: float) -> _Phase:
     tables, status, parts, failed = dict(native), {}, [], []
     maker = {t: n.name for n in nodes for t in n.gives}
     bins = G.time_grid(stimuli, rate)
@@ -98,4 +124,4 @@ def run(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], tem
     kind = stimuli.schema["stim_id"].dataType.simpleString()
     samples = typed.together(*parts) if parts else spark.createDataFrame([], f"stim_id {kind}, path string, " + ", ".join(f"{c} {k}" for c, k in typed.FIELDS.items()))
     errors = typed.together(*failed) if failed else spark.createDataFrame([], f"stim_id {kind}, error string")
-    return Run(typed.channels(samples, template, stimuli, rate), {t: tables[t] for t in maker if t in tables}, errors, status)
+    return _Phase(samples, {t: tables[t] for t in maker if t in tables}, errors, status)

@@ -199,6 +199,18 @@ def graph_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(channels(spark, vector_stimuli(spark, sf_dir), {"frame_vectors": rows.select("stim_id", "t", F.col("e").alias("vec")), "prompts": prompts}, "VisualSemantic"))
 
 
+@query(f"""WITH {SEEN}, q AS (SELECT i AS k, e AS v FROM e WHERE i < 12), u AS (SELECT stim_id, i, round_even(t + 2, 0)::INTEGER AS bin, e FROM e), z AS (SELECT stim_id, i, bin, k, exp(10 * list_cosine_similarity(e, v)) AS x FROM u, q), p AS (SELECT stim_id, bin, k + 1 AS k, x / sum(x) OVER (PARTITION BY i) AS x FROM z),
+v AS (SELECT stim_id, bin, unnest(e) AS x, generate_subscripts(e, 1) AS k FROM u), f AS (SELECT stim_id, round_even(t, 0)::INTEGER AS bin, unnest(e[1:16]) AS x, generate_subscripts(e[1:16], 1) AS k FROM e)
+{_vector('audio/high_level/clap_embedding', 'v')} UNION ALL {_vector('audio/high_level/clap_probe', 'p')} UNION ALL {_vector('visual/high_level_static/dino_embedding', 'f')}""")
+def graph_sound_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of four seconds against twelve prompts, a fixed vocabulary; and features of frames."""
+    rows = vectors(spark, sf_dir)
+    prompts = rows.where("i < 12").select(F.col("i").alias("k"), F.col("e").alias("vec"), F.lit(10.0).alias("scale"))
+    sound = rows.select("stim_id", F.col("t").alias("start"), (F.col("t") + 4).alias("end"), F.col("e").alias("vec"))
+    native = {"sound_vectors": sound, "sound_prompts": prompts, "frame_features": rows.select("stim_id", "t", F.slice("e", 1, 16).alias("vec"))}
+    return flat(channels(spark, vector_stimuli(spark, sf_dir), native, "AudioClap", "VisualDino"))
+
+
 @query(f"""WITH {NATIVE}, {BOXES}, f AS (SELECT stim_id, t, count(*) AS n, max((x2 - x1) * (y2 - y1) / (width * height)) AS area, avg(score) AS prob FROM boxes WHERE score >= 0.9 GROUP BY ALL),
 k AS (SELECT stim_id, t, event_id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, (event_id % 7) / 7.0::DOUBLE AS kp FROM boxes WHERE score >= 0.7), n AS (SELECT stim_id, t, count(*) AS n, avg(kp) AS kp FROM k GROUP BY ALL),
 d AS (SELECT a.stim_id, a.t, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / sqrt(640.0::DOUBLE ** 2 + 360.0::DOUBLE ** 2) AS d FROM k a JOIN k b ON a.stim_id = b.stim_id AND a.t = b.t AND a.event_id < b.event_id GROUP BY ALL),

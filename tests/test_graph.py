@@ -155,3 +155,31 @@ def test_prompts_in_packs(spark, monkeypatch):
 def test_frequencies(spark):
     words = spark.createDataFrame([("The",), ("the,",), ("cat",), ("...",)], "text string")
     assert {r.word: r.freq_zipf for r in extractors.frequencies(words).collect()} == {"the": pytest.approx(np.log10(2e9 / 3)), "cat": pytest.approx(np.log10(1e9 / 3))}
+
+
+def test_events_from_what_the_others_made(spark):
+    """The second phase reads the channels of the first; too short a stimulus has no events, and others' channels stay."""
+    rng = np.random.default_rng(5)
+    paths = list(extractors.EVENT_PATHS[:8])
+    level = np.repeat(rng.normal(size=(4, 8)), 8, 0) + 0.05 * rng.normal(size=(32, 8))
+    stimuli = spark.createDataFrame([("m", "audio-only", 32.0), ("s", "audio-only", 3.0)], STIMULI)
+    names = {f"c{k}": p for k, p in enumerate(paths)}
+    rows = spark.createDataFrame([("m", float(k), *map(float, x)) for k, x in enumerate(level)] + [("s", 0.0, *[1.0] * 8)], "stim_id string, t double, " + ", ".join(f"{c} double" for c in names))
+    first = graph.Node("First", ("rows",), lambda s, b, t: graph.Made(typed.scalars_of(t["rows"], "", names, "t")))
+    last = next(n for n in extractors.NODES if n.name == "EventSegmentation")
+    done = graph.run([last, first], stimuli, {"rows": rows}, sources.template(spark))
+    assert done.status == {"First": "ok", "EventSegmentation": "ok"}
+    rows = done.values.collect()
+    assert len(rows) == len({(r.stim_id, r.path, r.bin) for r in rows}) == 35 * 103
+    got = {(r.stim_id, r.path.split("/")[-1], r.bin): r.num for r in rows if r.path.startswith("situation/") or r.path in paths}
+    assert [got["m", "event_id", b] for b in range(32)] == np.repeat(np.arange(4.0), 8).tolist()
+    assert [b for b in range(32) if got["m", "event_boundary", b] == 1] == [8, 16, 24] and got["m", "event_boundary", 3] == 0
+    assert got["s", "event_id", 0] is None and got["s", "event_boundary", 0] is None and got["s", "rms", 0] == 1 and got["m", "luminance", 3] == pytest.approx(level[3, 0])
+
+
+def test_embeddings_of_segments(spark):
+    said = spark.createDataFrame([("m", 0, "a", 0.0, 1.0), ("m", 1, "b", 1.0, 2.0)], "stim_id string, i int, text string, start double, end double")
+    vectors = spark.createDataFrame([("m", 0, [1.0, 0.0]), ("m", 1, [0.0, 1.0])], "stim_id string, i int, vec array<double>")
+    nodes = [n for n in extractors.NODES if n.name in ("ASR", "LanguageEmbedding")]
+    done = graph.run(nodes, spark.createDataFrame([("m", "text-only", 3.0)], STIMULI), {"segments": said, "embeddings": vectors}, sources.template(spark))
+    assert {r.bin: r.vec for r in done.values.where("path = 'language/embedding/qwen3'").collect()} == {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.0, 1.0]}
