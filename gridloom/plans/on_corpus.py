@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import corpus as C
-from gridloom.operators import design, factors, search, shape
+from gridloom.operators import design, factors, layout, search, shape
 from gridloom.operators import events as segmentation
 from gridloom.plans.on_events import BINS, NATIVE, grid, samples
 from gridloom.operators import grid as G
 from gridloom.plans.registry import query, read
+from gridloom.shared import staged
 
 ITEMS = ["quantity", "extendedprice", "discount", "tax"]
 ITEM_CLASS = {"quantity": "visual", "extendedprice": "visual", "discount": "audio", "tax": "affect"}
@@ -114,6 +115,13 @@ def complete_row_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.moments(rows, ITEMS).withColumn("r", F.round("r", 6))
 
 
+@query(f"""WITH {SQL_GAPS}, e AS ({sql_corr('gaps', KINDS)}), b AS (SELECT a, b, r FROM e WHERE a <> b AND r IS NOT NULL UNION SELECT b, a, r FROM e WHERE a <> b AND r IS NOT NULL), k AS (SELECT DISTINCT ON (a, b) a, b, r FROM b)
+SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY abs(r) DESC, b)::INTEGER AS rank, round(r, 6) AS r FROM k QUALIFY rank <= 2""")
+def variable_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest variables of each by correlation."""
+    return layout.neighbours(C.moments(gaps(spark, sf_dir), KINDS), 2).withColumn("r", F.round("r", 6))
+
+
 @query(f"WITH {SQL_GAPS}, e AS ({sql_corr('gaps', KINDS)}) SELECT {class_sql(KIND_CLASS, 'a')} AS class_a, {class_sql(KIND_CLASS, 'b')} AS class_b, round(avg(abs(r)), 6) AS coupling FROM e WHERE a <> b GROUP BY ALL")
 def class_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.coupling(C.moments(gaps(spark, sf_dir), KINDS), KIND_CLASS).withColumn("coupling", F.round("coupling", 6))
@@ -204,7 +212,7 @@ def segment_channel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SQL_SEGMENTS}, s AS (SELECT stim_id, seg::INTEGER AS seg, avg(CASE path WHEN 'value' THEN 1 ELSE -1 END * (v - mean) / std) AS score, count(*) AS k FROM segments JOIN stats USING (path) WHERE v IS NOT NULL GROUP BY ALL)
 SELECT row_number() OVER (ORDER BY score DESC, stim_id, seg)::INTEGER AS rank, stim_id, seg, round(score, 6) AS score, k FROM s QUALIFY rank <= 20""")
 def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segments(spark, sf_dir)
+    found = staged(segments(spark, sf_dir), "segments")
     return search.ranked(search.search(found, search.channel_stats(found), {"value": 1, "count": -1}, 20)).select("rank", "stim_id", "seg", F.round("score", 6).alias("score"), "k")
 
 

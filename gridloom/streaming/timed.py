@@ -97,6 +97,20 @@ def cuts_in_order(stream: DataFrame, threshold: float, gap: float, late: str, id
     return in_order(stream, fold, "us long", late, idle_seconds)
 
 
+def kept_in_order(stream: DataFrame, rate: float, late: str, idle_seconds: int) -> DataFrame:
+    """(stim_id, us): samples (stim_id, ts and others) kept at ``rate`` a second, each 1 / rate or more after the one kept before it; the first is kept."""
+
+    def fold(state: State, rows: pd.DataFrame) -> tuple[State, list[tuple]]:
+        due, out = (state or [None])[0], []
+        for us in rows["us"].sort_values():
+            if due is None or us + 1 >= due:
+                out.append((int(us),))
+                due = int(us) + 1e6 / rate
+        return [due], out
+
+    return in_order(stream, fold, "us long", late, idle_seconds)
+
+
 def drift_in_order(stream: DataFrame, late: str, idle_seconds: int) -> DataFrame:
     """(stim_id, us, drift): the product of each vector (stim_id, ts, vec) with the direction of the sum of all before it."""
 

@@ -53,6 +53,24 @@ def test_rows_of_an_ended_stimulus_are_gone(rocks, tmp_path):
         assert "a" not in {r[0] for r in options.load(str(tmp_path / "run" / "state")).select("key.stim_id").collect()}
 
 
+def test_frames_and_drift_out_of_order(rocks, tmp_path):
+    """Thinned samples and the drift of vectors, whose rows come in two interleaved batches."""
+    spark, rng = rocks, np.random.default_rng(4)
+    rows = [("a", 50 + k * 0.25, float(k)) for k in range(40)]
+    stream = batches(spark, tmp_path / "kept", [rows[1::2], rows[::2], [("z", 5000.0, 0.0)], [("z", 9000.0, 0.0)]])
+    found = live.run_available(spark, timed.kept_in_order(stream, 1.0, "60 seconds", 60), "append", "kept").where("stim_id = 'a'")
+    assert sorted(r.us / 1e6 for r in found.collect()) == [50 + k for k in range(10)]
+    x = rng.normal(size=(12, 3))
+    table = spark.createDataFrame([("a", 100.0 + k, v.tolist()) for k, v in enumerate(x)] + [("z", 9000.0, [1.0, 0.0, 0.0]), ("z", 9900.0, [1.0, 0.0, 0.0])], "stim_id string, t double, vec array<double>").select("stim_id", F.timestamp_seconds("t").alias("ts"), "vec", "t")
+    for k in (table.where("t < 200 and t % 2 = 1"), table.where("t < 200 and t % 2 = 0"), table.where("t = 9000"), table.where("t = 9900")):
+        k.drop("t").coalesce(1).write.mode("append").parquet(f"{tmp_path}/vec")
+    stream = spark.readStream.schema("stim_id string, ts timestamp, vec array<double>").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/vec")
+    got = {r.us / 1e6 - 100: r.drift for r in live.run_available(spark, timed.drift_in_order(stream, "60 seconds", 600), "append", "drift").where("stim_id = 'a'").collect()}
+    for k in range(12):
+        total = x[:k].sum(0)
+        assert got[k] == (pytest.approx(float(x[k] @ total / np.sqrt(total @ total) + 1e-9 * x[k].sum())) if k else None)
+
+
 @pytest.mark.parametrize("correlation", [False, True])
 def test_ten_pairs_of_4096_components(spark, correlation):
     """Within 1e-8 of the full decomposition, which for few rows follows from their products."""
