@@ -10,6 +10,8 @@ components are each a mean.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from gridloom.operators import grid as G
 
 FIELDS = {"start": "double", "end": "double", "v": "double", "vec": "array<double>", "code": "int", "label": "string"}
 COLUMNS = ["stim_id", "path", *FIELDS]
+MOST_CHANNELS = 20_000
 
 
 def sample(rows: DataFrame, path: str, start: Column | str = "start", **fields: Column) -> DataFrame:
@@ -41,14 +44,24 @@ def together(*parts: DataFrame) -> DataFrame:
     return whole
 
 
-def reduce_samples(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate: float = 1.0) -> DataFrame:
+def _kinds(template: DataFrame) -> list[tuple[str, str, str]]:
+    """Path, dtype and resample of each channel; a template is a short list, of some hundred channels."""
+    kinds = [tuple(r) for r in template.select("path", "dtype", "resample").limit(MOST_CHANNELS + 1).collect()]
+    if len(kinds) > MOST_CHANNELS:
+        raise ValueError(f"a template of more than {MOST_CHANNELS} channels")
+    return kinds
+
+
+def reduce_samples(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate: float = 1.0, kinds: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(stim_id, path, bin, num, vec, code, label) of the bins that have samples, of channels in the template.
 
     Samples are reduced by bin and, where they are vectors, by component before they meet, so a bin with many samples is
     no heavier than others; only labels that are laid together are gathered as they are.
     """
     last = stimuli.select("stim_id", (F.floor(F.col("duration_sec") * rate + 1e-9).cast("int") - 1).alias("last_bin"))
-    rows = samples.where("start is not null and not isnan(start)").join(template.select("path", "dtype", "resample"), "path").join(last, "stim_id")
+    listed = samples.sparkSession.createDataFrame(_kinds(template) if kinds is None else kinds, "path string, dtype string, resample string")
+    # MOST_CHANNELS rows at the most; a join by path would put a channel's samples into one task
+    rows = samples.where("start is not null and not isnan(start)").join(F.broadcast(listed), "path").join(last, "stim_id")
     low = F.greatest(G.bin_index(F.col("start"), rate), F.lit(0))
     high = F.least(G.bin_index(F.coalesce("end", "start"), rate), F.col("last_bin"))
     placed = rows.where(low <= high).withColumn("bin", F.explode(F.sequence(low, high)))
@@ -81,11 +94,12 @@ def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate:
     empty text, where a bin has nothing; other bins without samples are null, as not measured. The template is a fixed
     short list, so the product with it is a fan-out of each stimulus.
     """
-    kinds = [tuple(r) for r in template.select("path", "dtype", "resample").collect()]
-    wanted = stimuli.select("stim_id", F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(d).alias("dtype"), F.lit(r).alias("resample")) for p, d, r in kinds))).alias("c")).select("stim_id", "c.*")
+    kinds = _kinds(template)
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("path", "dtype", "resample"), k, strict=True)) for k in kinds])), "array<struct<path:string,dtype:string,resample:string>>")
+    wanted = stimuli.select("stim_id", F.explode(listed).alias("c")).select("stim_id", "c.*")
     present = samples.select("stim_id", "path").distinct().withColumn("has", F.lit(True))
     bins = G.time_grid(stimuli, rate).select("stim_id", "bin")
-    rows = wanted.join(present, ["stim_id", "path"], "left").join(bins, "stim_id").join(reduce_samples(samples, template, stimuli, rate), ["stim_id", "path", "bin"], "left")
+    rows = wanted.join(present, ["stim_id", "path"], "left").join(bins, "stim_id").join(reduce_samples(samples, template, stimuli, rate, kinds), ["stim_id", "path", "bin"], "left")
     applies = F.coalesce("has", F.lit(False))
     return rows.select(
         "stim_id", "path", "dtype", "bin", F.when(applies & (F.col("resample") == "count"), F.coalesce("num", F.lit(0.0))).otherwise(F.col("num")).alias("num"), "vec", "code",
