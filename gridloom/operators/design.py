@@ -100,3 +100,19 @@ def random_trace(stats: DataFrame, q: int, k: int = 20, draws: int = 20, seed: i
             trace.append(log_det(n, s, ss, ridge))
         traces.append(trace)
     return [(i + 1, float(np.mean([t[i] for t in traces if len(t) > i]))) for i in range(max(map(len, traces), default=0))]
+
+
+def segment_log_dets(stats: DataFrame, q: int, ridge: float = 1e-3, keys: tuple[str, ...] = ("stim_id", "seg")) -> DataFrame:
+    """(keys, n, log_det) of each segment by itself, from its sums; minus infinity where the covariance is not positive definite."""
+    triu = np.triu_indices(q)
+
+    def each(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ss = np.zeros((len(pdf), q, q))
+            ss[:, triu[0], triu[1]] = ss[:, triu[1], triu[0]] = np.stack(pdf["ss"])
+            value = log_dets(pdf["n"].to_numpy(float), np.stack(pdf["s"]), ss, ridge)
+            yield pdf[[*keys, "n"]].assign(log_det=value)
+
+    return stats.mapInPandas(each, ", ".join([*(f"{c} {stats.schema[c].dataType.simpleString()}" for c in keys), "n long, log_det double"]))

@@ -123,6 +123,13 @@ def use_components(d: int, m: int) -> bool:
     return d < 3 or m > most_factors(d) or d > 120
 
 
+def block_rule(d: Column, most: int = 10) -> Column:
+    """For blocks of d variables, a struct of the most factors there can be (``most_factors``, whose inequality is a square in m), of how many a block is reduced to, and of whether by components."""
+    factors_at_most = F.floor((2 * d + 1 - F.sqrt(8 * d + 1)) / 2).cast("int")
+    m = F.least(F.lit(most), F.greatest(F.lit(1), d - 1)).cast("int")
+    return F.struct(factors_at_most.alias("most_factors"), m.alias("m"), ((d < 3) | (m > factors_at_most) | (d > 120)).alias("components"))
+
+
 def average_linkage(matrix: np.ndarray) -> list[tuple[int, int, float]]:
     """Merges (a, b, distance) of variables by 1 - |r|, clusters at the mean distance of their members; a new cluster is numbered after all before."""
     d = 1 - np.abs(matrix).astype(float)

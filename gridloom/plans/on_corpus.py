@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars
 from gridloom.operators import corpus as C
-from gridloom.operators import design, factors, layout, search, shape
+from gridloom.operators import design, eigen, factors, layout, search, shape
 from gridloom.operators import events as segmentation
 from gridloom.plans.on_events import BINS, NATIVE, grid, samples
 from gridloom.operators import grid as G
@@ -241,6 +241,17 @@ def segment_suffstats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("stim_id", "seg", "n", *sums, *[(F.col("ss")[k] / 1e8).alias(f"p_{a}_{b}") for k, (a, b) in enumerate(_PAIRS)])
 
 
+_THREE = ["quantity", "discount", "tax"]
+
+
+@query(f"""WITH {SQL_ITEMS}, c AS (SELECT stim_id, bin // 10 AS seg, count(*) AS n, {', '.join(f'var_samp({c}) + 1e-3::DOUBLE AS v_{c}' for c in _THREE)}, covar_samp(quantity, discount) AS d, covar_samp(quantity, tax) AS e, covar_samp(discount, tax) AS f FROM items GROUP BY ALL HAVING count(*) = 10)
+SELECT stim_id, seg::INTEGER AS seg, n::BIGINT AS n, round(ln(v_quantity * (v_discount * v_tax - f * f) - d * (d * v_tax - e * f) + e * (d * f - e * v_discount)), 6) AS log_det FROM c""")
+def segment_log_det(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How varied each segment's quantities, discounts and taxes are together."""
+    stats = design.sufficient_stats(design.design_segments(items(spark, sf_dir), 10), _THREE)
+    return design.segment_log_dets(stats, len(_THREE)).withColumn("log_det", F.round("log_det", 6))
+
+
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as z-scores of the whole table."""
     rows = items(spark, sf_dir)
@@ -303,6 +314,51 @@ def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardized(spark, sf_dir).select("stim_id", "bin", F.round(scored[0], 6).alias("f1"))
 
 
+@query("""WITH b AS (SELECT user_id, count(*)::INTEGER AS d FROM events GROUP BY 1), r AS (SELECT d, max(k)::INTEGER AS most_factors FROM (SELECT DISTINCT d FROM b), range((SELECT max(d) + 1 FROM b)) r(k) WHERE k <= d AND (d - k) * (d - k) >= d + k GROUP BY d), m AS (SELECT *, least(10, greatest(1, d - 1))::INTEGER AS m FROM b JOIN r USING (d))
+SELECT user_id, d, most_factors, m, d < 3 OR m > most_factors OR d > 120 AS components FROM m""")
+def block_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks as wide as users have events: how many numbers each would be reduced to, and whether by components or factors."""
+    blocks = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("int").alias("d"))
+    return blocks.select("user_id", "d", factors.block_rule(F.col("d")).alias("r")).select("user_id", "d", "r.*")
+
+
+def _merged(n: int) -> str:
+    """Average linkage in SQL: step by step the nearest two clusters, whose variables get the next number."""
+    out = f"c0 AS MATERIALIZED (SELECT i AS v, i AS c FROM range({n}) r(i))"
+    for k in range(n - 1):
+        out += f", p{k} AS MATERIALIZED (SELECT x.c AS a, y.c AS b, avg(d) AS distance FROM c{k} x JOIN c{k} y ON x.c < y.c JOIN apart ON i = x.v AND j = y.v GROUP BY ALL ORDER BY distance, a, b LIMIT 1)"
+        out += f", c{k + 1} AS MATERIALIZED (SELECT v, CASE WHEN c IN (a, b) THEN {n + k} ELSE c END AS c FROM c{k}, p{k})"
+    return out + " " + " UNION ALL ".join(f"SELECT {k + 1} AS step, a::INTEGER AS a, b::INTEGER AS b, round(distance, 6) AS distance FROM p{k}" for k in range(n - 1))
+
+
+@query(f"""WITH {SQL_GAPS}, e AS ({sql_corr('gaps', KINDS)}), apart AS MATERIALIZED (SELECT list_position({KINDS}, a) - 1 AS i, list_position({KINDS}, b) - 1 AS j, 1 - abs(r) AS d FROM e), {_merged(len(KINDS))}""")
+def variable_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the variables by average linkage: which clusters merge at each step, and how far they are apart."""
+    merges = factors.average_linkage(factors.correlation_matrix(C.moments(gaps(spark, sf_dir), KINDS), KINDS))
+    return spark.createDataFrame([(k + 1, a, b, round(d, 6)) for k, (a, b, d) in enumerate(merges)], "step int, a int, b int, distance double")
+
+
+_WIDE = ["quantity", "extendedprice / 1000", "discount", "tax"]
+
+
+def _power(name: str, matrix: str) -> str:
+    """The leading pair of a matrix of four in SQL, by a hundred steps of the power method, the largest entry positive."""
+    step = "[" + ", ".join("+".join(f"s[{i}][{j}] * v[{j}]" for j in range(1, 5)) for i in range(1, 5)) + "]"
+    return f"""{name}_steps AS (SELECT 0 AS k, [0.5, 0.5, 0.5, 0.5]::DOUBLE[] AS v, 0.0::DOUBLE AS value UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), sqrt(list_dot_product(w, w)) FROM (SELECT k, {step} AS w FROM {name}_steps, {matrix} WHERE k < 100)),
+{name} AS (SELECT list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v, value FROM {name}_steps WHERE k = 100)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_ITEMS}, whole AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f'covar_samp({a}, {b})' for b in _WIDE) + ']' for a in _WIDE)}] AS s FROM items), {_power("first", "whole")},
+rest AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f's[{i}][{j}] - value * v[{i}] * v[{j}]' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS s FROM whole, first), {_power("second", "rest")}
+SELECT k, i::INTEGER AS i, round(value, 6) AS value, round(x, 6) AS x FROM (SELECT 1 AS k, value, unnest(v) AS x, unnest(range(1, 5)) AS i FROM first UNION ALL SELECT 2, value, unnest(v), unnest(range(1, 5)) FROM second)""")
+def leading_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two leading eigenpairs of the covariance of line items (prices in thousands), without that matrix; a row an entry of the vector."""
+    rows = items(spark, sf_dir).select(F.array(*(F.expr(c) for c in _WIDE)).alias("vec"))
+    values, vectors = eigen.top_eigenpairs(rows, "vec", len(_WIDE), 2)
+    found = [(k + 1, i + 1, round(float(values[k]), 6), round(float(vectors[i, k]), 6)) for k in range(2) for i in range(len(_WIDE))]
+    return spark.createDataFrame(found, "k int, i int, value double, x double")
+
+
 @query()
 def category_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class of line-item channels, and the embedding, reduced to a few numbers: category, method, d, m and percent explained."""
