@@ -259,10 +259,30 @@ def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stim_id", "bin", *[((F.col(c) - F.lit(m[f"m_{c}"])) / F.lit(m[f"d_{c}"] or 1.0)).alias(c) for c in ITEMS])
 
 
-@query()
+SQL_Z = f"""{SQL_ITEMS}, size AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS m_{c}, CASE WHEN stddev_samp({c}) > 0 THEN stddev_samp({c}) ELSE 1 END AS d_{c}' for c in ITEMS)} FROM items),
+z AS (SELECT stim_id, bin, {', '.join(f'({c} - m_{c}) / d_{c} AS {c}' for c in ITEMS)} FROM items, size)"""
+_SUMS = ["n", *(f"s_{c}" for c in ITEMS), *(f"p_{a}_{b}" for a, b in _PAIRS)]
+
+
+def _chosen(steps: int, ridge: float = 1e-3) -> str:
+    """The greedy choice in SQL, a table a step: of the segments not yet taken, the one with which the covariance's pivots have the largest product."""
+    out = f"stats AS MATERIALIZED (SELECT stim_id, bin // 10 AS seg, count(*)::DOUBLE AS n, {', '.join(f'sum({c}) AS s_{c}' for c in ITEMS)}, {', '.join(f'sum({a} * {b}) AS p_{a}_{b}' for a, b in _PAIRS)} FROM z GROUP BY ALL HAVING count(*) = 10)"
+    out += f", t0 AS (SELECT NULL::BIGINT AS stim_id, NULL::BIGINT AS seg, {', '.join(f'0.0::DOUBLE AS {c}' for c in _SUMS)})"
+    for k in range(1, steps + 1):
+        taken = " UNION ALL ".join(f"SELECT stim_id, seg FROM t{i}" for i in range(k))
+        rows = f"SELECT s.stim_id, s.seg, {', '.join(f's.{c} + t.{c} AS {c}' for c in _SUMS)} FROM (SELECT * FROM stats ANTI JOIN ({taken}) USING (stim_id, seg)) s, t{k - 1} t"
+        of = lambda i, j: f"(p_{ITEMS[i]}_{ITEMS[j]} - s_{ITEMS[i]} * s_{ITEMS[j]} / n) / (n - 1){f' + {ridge}::DOUBLE' if i == j else ''} AS c0_{i}_{j}"
+        rows = f"SELECT *, {', '.join(of(i, j) for i in range(4) for j in range(i, 4))} FROM ({rows})"
+        for q in range(3):  # what a pivot leaves of the rows below it
+            rows = f"SELECT *, {', '.join(f'c{q}_{i}_{j} - c{q}_{q}_{i} * c{q}_{q}_{j} / c{q}_{q}_{q} AS c{q + 1}_{i}_{j}' for i in range(q + 1, 4) for j in range(i, 4))} FROM ({rows})"
+        out += f", t{k} AS MATERIALIZED (SELECT stim_id, seg, {', '.join(_SUMS)}, {' + '.join(f'ln(c{q}_{q}_{q})' for q in range(4))} AS objective FROM ({rows}) ORDER BY objective DESC, stim_id, seg LIMIT 1)"
+    return out + " " + " UNION ALL ".join(f"SELECT {k} AS step, stim_id, seg::INTEGER AS seg, round(objective, 6) AS objective FROM t{k}" for k in range(1, steps + 1))
+
+
+@query(f"WITH {SQL_Z}, {_chosen(20)}")
 def d_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = design.sufficient_stats(design.design_segments(standardized(spark, sf_dir), 10), ITEMS)
-    return spark.createDataFrame(design.greedy(stats, len(ITEMS), 20), "step int, stim_id long, seg int, objective double")
+    return spark.createDataFrame(design.greedy(stats, len(ITEMS), 20), "step int, stim_id long, seg int, objective double").withColumn("objective", F.round("objective", 6))
 
 
 @query()
@@ -301,13 +321,41 @@ def item_factors(spark: SparkSession, sf_dir: str, m: int = 1) -> tuple[np.ndarr
     return matrix, factors.factor_analysis(matrix, m)
 
 
-@query()
+def _power(name: str, matrix: str) -> str:
+    """The leading pair of a matrix of four in SQL: the matrix, squared forty times over, is the product of the vector with itself; the largest entry is positive."""
+    square = "[" + ", ".join("[" + ", ".join("(" + " + ".join(f"m[{i}][{h}] * m[{h}][{j}]" for h in range(1, 5)) + ") / f" for j in range(1, 5)) + "]" for i in range(1, 5)) + "]"
+    size = " + ".join(f"list_dot_product(m[{i}], m[{i}])" for i in range(1, 5))
+    value = " + ".join(f"v[{i}] * list_dot_product(s[{i}], v)" for i in range(1, 5))
+    return f"""{name}_steps AS (SELECT 0 AS k, s AS m FROM {matrix} UNION ALL SELECT k + 1, {square} FROM (SELECT k, m, {size} AS f FROM {name}_steps WHERE k < 40)),
+{name}_row AS (SELECT m[list_position(d, list_max(d))] AS r FROM (SELECT m, [{', '.join(f'm[{i}][{i}]' for i in range(1, 5))}] AS d FROM {name}_steps WHERE k = 40)),
+{name} AS MATERIALIZED (SELECT v, {value} AS value FROM (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * CASE WHEN list_max(r) >= -list_min(r) THEN 1 ELSE -1 END) AS v FROM {name}_row), {matrix})"""
+
+
+_AT = range(1, len(ITEMS) + 1)
+_STEP = f"""SELECT k + 1 AS k, load, noise_now AS noise, list_max(list_transform(list_zip(noise_now, noise), lambda x: abs(x[1] - x[2]))) AS moved FROM (SELECT *, [{', '.join(f'greatest(1 - load[{i}] * through[{i}], 0.005::DOUBLE)' for i in _AT)}] AS noise_now FROM (
+SELECT k, noise, through, list_transform(through, lambda x: x / (1 - list_dot_product(beta, l) + list_dot_product(beta, through))) AS load FROM (SELECT *, [{', '.join('list_dot_product(s[%d], beta)' % i for i in _AT)}] AS through FROM (
+SELECT k, s, load AS l, noise, list_transform(list_zip(load, noise), lambda x: x[1] / x[2] / (1 + {' + '.join(f'load[{i}] ** 2 / noise[{i}]' for i in _AT)})) AS beta FROM em, whole WHERE k < 5000 AND moved > 1e-10))))"""
+SQL_LOADINGS = f"""{SQL_Z}, whole AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join('1' if a == b else f'corr({a}, {b})' for b in ITEMS) + ']' for a in ITEMS)}]::DOUBLE[][] AS s FROM items), {_power("top", "whole")},
+em AS (SELECT 0 AS k, list_transform(v, lambda x: x * sqrt(value)) AS load, list_transform(v, lambda x: 0.5::DOUBLE) AS noise, 1.0::DOUBLE AS moved FROM top UNION ALL {_STEP}),
+loadings AS MATERIALIZED (SELECT list_transform(load, lambda x: x * CASE WHEN list_max(load) >= -list_min(load) THEN 1 ELSE -1 END) AS load FROM em ORDER BY k DESC LIMIT 1)"""
+
+
+def _solved(n: int) -> str:
+    """The weights of scores in SQL: the correlations' equations for the loadings, an unknown after the other eliminated."""
+    out = f"g0 AS (SELECT {', '.join(f'list_append(s[{i}], load[{i}]) AS r{i}' for i in range(1, n + 1))} FROM whole, loadings)"
+    for j in range(1, n + 1):
+        rows = [f"[{', '.join(f'r{i}[{c}] / r{i}[{i}]' if i == j else f'r{i}[{c}] - r{i}[{j}] / r{j}[{j}] * r{j}[{c}]' for c in range(1, n + 2))}] AS r{i}" for i in range(1, n + 1)]
+        out += f", g{j} AS MATERIALIZED (SELECT {', '.join(rows)} FROM g{j - 1})"
+    return out
+
+
+@query(f"WITH RECURSIVE {SQL_LOADINGS} SELECT unnest({ITEMS}) AS variable, 1 AS factor, round(unnest(load), 6) AS loading FROM loadings")
 def factor_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, loadings = item_factors(spark, sf_dir)
     return spark.createDataFrame([(v, f + 1, round(float(loadings[i, f]), 6)) for i, v in enumerate(ITEMS) for f in range(loadings.shape[1])], "variable string, factor int, loading double")
 
 
-@query()
+@query(f"WITH RECURSIVE {SQL_LOADINGS}, {_solved(len(ITEMS))} SELECT stim_id, bin, round({' + '.join(f'{c} * r{i}[{len(ITEMS) + 1}]' for i, c in zip(_AT, ITEMS, strict=True))}, 6) AS f1 FROM z, g{len(ITEMS)}")
 def factor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix, loadings = item_factors(spark, sf_dir)
     scored = factors.scores([F.col(c) for c in ITEMS], factors.score_weights(matrix, loadings))
@@ -341,13 +389,6 @@ def variable_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WIDE = ["quantity", "extendedprice / 1000", "discount", "tax"]
 
 
-def _power(name: str, matrix: str) -> str:
-    """The leading pair of a matrix of four in SQL, by a hundred steps of the power method, the largest entry positive."""
-    step = "[" + ", ".join("+".join(f"s[{i}][{j}] * v[{j}]" for j in range(1, 5)) for i in range(1, 5)) + "]"
-    return f"""{name}_steps AS (SELECT 0 AS k, [0.5, 0.5, 0.5, 0.5]::DOUBLE[] AS v, 0.0::DOUBLE AS value UNION ALL SELECT k + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), sqrt(list_dot_product(w, w)) FROM (SELECT k, {step} AS w FROM {name}_steps, {matrix} WHERE k < 100)),
-{name} AS (SELECT list_transform(v, lambda x: x * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END) AS v, value FROM {name}_steps WHERE k = 100)"""
-
-
 @query(f"""WITH RECURSIVE {SQL_ITEMS}, whole AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f'covar_samp({a}, {b})' for b in _WIDE) + ']' for a in _WIDE)}] AS s FROM items), {_power("first", "whole")},
 rest AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f's[{i}][{j}] - value * v[{i}] * v[{j}]' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS s FROM whole, first), {_power("second", "rest")}
 SELECT k, i::INTEGER AS i, round(value, 6) AS value, round(x, 6) AS x FROM (SELECT 1 AS k, value, unnest(v) AS x, unnest(range(1, 5)) AS i FROM first UNION ALL SELECT 2, value, unnest(v), unnest(range(1, 5)) FROM second)""")
