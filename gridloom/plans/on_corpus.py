@@ -391,12 +391,12 @@ _WIDE = ["quantity", "extendedprice / 1000", "discount", "tax"]
 
 @query(f"""WITH RECURSIVE {SQL_ITEMS}, whole AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f'covar_samp({a}, {b})' for b in _WIDE) + ']' for a in _WIDE)}] AS s FROM items), {_power("first", "whole")},
 rest AS MATERIALIZED (SELECT [{', '.join('[' + ', '.join(f's[{i}][{j}] - value * v[{i}] * v[{j}]' for j in range(1, 5)) + ']' for i in range(1, 5))}] AS s FROM whole, first), {_power("second", "rest")}
-SELECT k, i::INTEGER AS i, round(value, 6) AS value, round(x, 6) AS x FROM (SELECT 1 AS k, value, unnest(v) AS x, unnest(range(1, 5)) AS i FROM first UNION ALL SELECT 2, value, unnest(v), unnest(range(1, 5)) FROM second)""")
+SELECT k, i::INTEGER AS i, round(value, 6) AS value, round(x, 6) + 0 AS x FROM (SELECT 1 AS k, value, unnest(v) AS x, unnest(range(1, 5)) AS i FROM first UNION ALL SELECT 2, value, unnest(v), unnest(range(1, 5)) FROM second)""")
 def leading_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two leading eigenpairs of the covariance of line items (prices in thousands), without that matrix; a row an entry of the vector."""
     rows = items(spark, sf_dir).select(F.array(*(F.expr(c) for c in _WIDE)).alias("vec"))
     values, vectors = eigen.top_eigenpairs(rows, "vec", len(_WIDE), 2)
-    found = [(k + 1, i + 1, round(float(values[k]), 6), round(float(vectors[i, k]), 6)) for k in range(2) for i in range(len(_WIDE))]
+    found = [(k + 1, i + 1, round(float(values[k]), 6), round(float(vectors[i, k]), 6) + 0.0) for k in range(2) for i in range(len(_WIDE))]
     return spark.createDataFrame(found, "k int, i int, value double, x double")
 
 
