@@ -33,7 +33,7 @@ def word_count(text: Column, word: str = r"\S") -> Column:
 
 
 def sentences_of(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.trim(text), SENTENCE_END), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(text), SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")  # F.trim by itself would take the place for the letters to trim
 
 
 def tweet_text(text: Column) -> Column:

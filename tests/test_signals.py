@@ -128,3 +128,9 @@ def test_states_of_a_step():
     x = np.concatenate([rng.normal(0, 0.1, (12, 4)) + [1, 0, 0, 2], rng.normal(0, 0.1, (12, 4)) + [0, 1, 2, 0]])
     assert segmentation.state_ids(x).tolist() == [0] * 12 + [1] * 12
     assert segmentation.state_ids(x[:5]) is None
+
+
+def test_a_sentence_keeps_the_digits_that_are_its_number(spark):
+    """Sentence 1 begins with a 1 and sentence 2 ends with a 2: neither is trimmed off; spaces are."""
+    docs = spark.createDataFrame([("s", "  One. 1 and 10.2.1 fits.  22 of 2  ")], "stim_id string, text string")
+    assert [(r.seg_idx, r.text) for r in sorted(sources.text_timeline(docs).collect(), key=lambda r: r.i)] == [(0, "One."), (1, "1"), (1, "and"), (1, "10.2.1"), (1, "fits."), (2, "22"), (2, "of"), (2, "2")]
