@@ -11,12 +11,13 @@ from gridloom.operators.grid import bin_index
 def span_bins(spans: DataFrame, stimuli: DataFrame, rate: float = 1.0) -> DataFrame:
     """One row for each bin that a span covers: the columns of spans (stim_id, start, end) and bin.
 
-    Rows are made by counting from bin to bin, so there is no range join; spans outside the grid give none.
+    Rows are made by counting from bin to bin, so there is no range join; spans outside the grid give none. Of the two
+    sides only the stimuli, a row each, may be sent to all.
     """
     last = stimuli.select("stim_id", (F.floor(F.col("duration_sec") * rate + 1e-9).cast("int") - 1).alias("last_bin"))
     low = F.greatest(bin_index(F.col("start"), rate), F.lit(0))
-    high = F.least(bin_index(F.col("end"), rate), F.col("last_bin"))
-    return spans.join(last, "stim_id").where(low <= high).withColumn("bin", F.explode(F.sequence(low, high))).drop("last_bin")
+    high = F.least(bin_index(F.col("end"), rate), F.coalesce("last_bin", F.lit(-1)))
+    return spans.join(last, "stim_id", "left").where(low <= high).withColumn("bin", F.explode(F.sequence(low, high))).drop("last_bin")
 
 
 def span_mean(spans: DataFrame, stimuli: DataFrame, grid: DataFrame, rate: float = 1.0) -> DataFrame:

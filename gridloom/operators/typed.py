@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import clean_nan
 from gridloom.operators import grid as G
+from gridloom.shared import staged
 
 FIELDS = {"start": "double", "end": "double", "v": "double", "vec": "array<double>", "code": "int", "label": "string"}
 COLUMNS = ["stim_id", "path", *FIELDS]
@@ -52,39 +53,54 @@ def _kinds(template: DataFrame) -> list[tuple[str, str, str]]:
     return kinds
 
 
-def reduce_samples(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate: float = 1.0, kinds: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(stim_id, path, bin, num, vec, code, label) of the bins that have samples, of channels in the template.
+def _way(dtype: str, how: str) -> str:
+    """How the samples of such a channel become one; empty where nothing is made of them."""
+    if dtype in ("vector", "categorical"):
+        return dtype
+    if dtype in ("scalar", "bool", "event"):
+        return how if how in ("nearest", "mode") else "last" if how in ("step", "vlm") else "number"
+    if dtype == "label":
+        return how if how in ("concat", "mode") else "last"
+    return ""
 
-    Samples are reduced by bin and, where they are vectors, by component before they meet, so a bin with many samples is
-    no heavier than others; only labels that are laid together are gathered as they are.
+
+def _reduced(samples: DataFrame, kinds: list[tuple[int, str, str, str]], way: str, stimuli: DataFrame, rate: float) -> DataFrame:
+    """(stim_id, channel, bin, num, vec, code, label) of the bins that have samples, of the channels (channel, path, dtype, resample), all of one way.
+
+    The stimuli are the side of the join that may be sent to all, never the samples, which files hold in far fewer bytes
+    than memory does. Components of vectors are means before they meet, so a bin with many samples is no heavier than others.
     """
     last = stimuli.select("stim_id", (F.floor(F.col("duration_sec") * rate + 1e-9).cast("int") - 1).alias("last_bin"))
-    listed = samples.sparkSession.createDataFrame(_kinds(template) if kinds is None else kinds, "path string, dtype string, resample string")
+    listed = samples.sparkSession.createDataFrame(kinds, "channel int, path string, dtype string, resample string")
     # MOST_CHANNELS rows at the most; a join by path would put a channel's samples into one task
-    rows = samples.where("start is not null and not isnan(start)").join(F.broadcast(listed), "path").join(last, "stim_id")
+    rows = samples.where("start is not null and not isnan(start)").join(F.broadcast(listed), "path").join(last, "stim_id", "left")
     low = F.greatest(G.bin_index(F.col("start"), rate), F.lit(0))
-    high = F.least(G.bin_index(F.coalesce("end", "start"), rate), F.col("last_bin"))
+    high = F.least(G.bin_index(F.coalesce("end", "start"), rate), F.coalesce("last_bin", F.lit(-1)))
     placed = rows.where(low <= high).withColumn("bin", F.explode(F.sequence(low, high)))
-    parts = placed.select("stim_id", "path", "dtype", "resample", "bin", "start", "v", "code", "label", F.posexplode_outer(F.when(F.col("dtype") == "vector", F.col("vec"))).alias("k", "x"))
-    x = clean_nan(F.coalesce("x", "v"))
-    how, away = F.col("resample"), F.abs(F.col("start") * rate - F.col("bin"))
-    keys = ["stim_id", "path", "dtype", "resample", "bin"]
-    reduced = parts.groupBy(*keys, "k").agg(
-        F.avg(x).alias("mean"), F.max(x).alias("most"), F.count(x).cast("double").alias("n"), F.min_by(x, F.struct(away, "start")).alias("near"),
-        F.max_by(F.struct(x.alias("v"), "code", "label"), F.struct("start", "v", "code", "label")).alias("last"), F.mode(F.when(F.col("dtype") == "categorical", F.col("code")), True).alias("code"),
-        F.mode(F.when(how == "mode", x), True).alias("often"), F.mode(F.when((F.col("dtype") == "label") & (how == "mode"), F.col("label")), True).alias("often_label"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when((how == "concat") & F.col("label").isNotNull(), F.struct("start", "label")))), lambda e: e["label"]), " ").alias("joined"),
-    )
-    num = F.when(how == "any", F.col("most")).when(how == "count", F.col("n")).when(how == "nearest", F.col("near")).when(how == "mode", F.col("often")).when(how.isin("step", "vlm"), F.col("last.v")).otherwise(F.col("mean"))
-    label = F.when(how == "concat", F.col("joined")).when(how == "mode", F.col("often_label")).otherwise(F.col("last.label"))
-    scalar = F.col("dtype").isin("scalar", "bool", "event")
-    found = reduced.groupBy(*keys).agg(
-        F.max(F.when(scalar, num)).alias("num"),
-        F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "mean")))).alias("vec"),
-        F.max(F.when(F.col("dtype") == "categorical", F.col("code"))).alias("code"),
-        F.max(F.when(F.col("dtype") == "label", label)).alias("label"),
-    )
-    return found.select("stim_id", "path", "bin", "num", F.when(F.size("vec") > 0, F.transform("vec", lambda e: e["mean"])).alias("vec"), "code", "label")
+    keys, x = ["stim_id", "channel", "bin"], clean_nan(F.col("v"))
+    empty = {"num": F.lit(None).cast("double"), "vec": F.lit(None).cast("array<double>"), "code": F.lit(None).cast("int"), "label": F.lit(None).cast("string")}
+    scalar, text = F.col("dtype").isin("scalar", "bool", "event"), F.col("dtype") == "label"
+    if way == "vector":
+        means = placed.select(*keys, F.posexplode_outer("vec").alias("k", "x")).groupBy(*keys, "k").agg(F.avg(clean_nan(F.col("x"))).alias("x"))
+        found = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "x")))).alias("v"))
+        made = {"vec": F.when(F.size("v") > 0, F.transform("v", lambda e: e["x"]))}
+    elif way == "categorical":
+        found, made = placed.groupBy(*keys).agg(F.mode("code", True).alias("top")), {"code": F.col("top")}
+    elif way == "number":
+        found = placed.groupBy(*keys, "resample").agg(F.avg(x).alias("mean"), F.max(x).alias("most"), F.count(x).cast("double").alias("n"))
+        made = {"num": F.when(F.col("resample") == "any", F.col("most")).when(F.col("resample") == "count", F.col("n")).otherwise(F.col("mean"))}
+    elif way == "nearest":
+        away = F.abs(F.col("start") * rate - F.col("bin"))
+        found, made = placed.groupBy(*keys).agg(F.min_by(x, F.struct(away, "start")).alias("near")), {"num": F.col("near")}
+    elif way == "mode":
+        found, made = placed.groupBy(*keys).agg(F.mode(F.when(scalar, x), True).alias("often"), F.mode(F.when(text, F.col("label")), True).alias("said")), {"num": F.col("often"), "label": F.col("said")}
+    elif way == "last":
+        found = placed.groupBy(*keys, "dtype").agg(F.max_by(F.struct(x.alias("v"), "code", "label"), F.struct("start", "v", "code", "label")).alias("last"))
+        made = {"num": F.when(scalar, F.col("last.v")), "label": F.when(text, F.col("last.label"))}
+    else:
+        laid = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("start", "label"))))
+        found, made = placed.groupBy(*keys).agg(laid.alias("said")), {"label": F.array_join(F.transform("said", lambda e: e["label"]), " ")}
+    return found.select(*keys, *(made[c].alias(c) if c in made else empty[c].alias(c) for c in empty))
 
 
 def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate: float = 1.0) -> DataFrame:
@@ -92,16 +108,38 @@ def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate:
 
     A channel without a sample does not apply to its stimulus and is null. One that applies counts 0, and joins to an
     empty text, where a bin has nothing; other bins without samples are null, as not measured. The template is a fixed
-    short list, so the product with it is a fan-out of each stimulus.
+    short list, so the product with it is a fan-out of each stimulus; bins are counted out where their rows are needed,
+    so only those of channels that apply are shuffled, and none is sent to all.
     """
-    kinds = _kinds(template)
-    listed = F.from_json(F.lit(json.dumps([dict(zip(("path", "dtype", "resample"), k, strict=True)) for k in kinds])), "array<struct<path:string,dtype:string,resample:string>>")
-    wanted = stimuli.select("stim_id", F.explode(listed).alias("c")).select("stim_id", "c.*")
-    present = samples.select("stim_id", "path").distinct().withColumn("has", F.lit(True))
-    bins = G.time_grid(stimuli, rate).select("stim_id", "bin")
-    rows = wanted.join(present, ["stim_id", "path"], "left").join(bins, "stim_id").join(reduce_samples(samples, template, stimuli, rate, kinds), ["stim_id", "path", "bin"], "left")
-    applies = F.coalesce("has", F.lit(False))
-    return rows.select(
-        "stim_id", "path", "dtype", "bin", F.when(applies & (F.col("resample") == "count"), F.coalesce("num", F.lit(0.0))).otherwise(F.col("num")).alias("num"), "vec", "code",
-        F.when(applies & (F.col("resample") == "concat"), F.coalesce("label", F.lit(""))).otherwise(F.col("label")).alias("label"), applies.alias("applicable"),
-    )
+    kinds = [(k, *kind) for k, kind in enumerate(_kinds(template))]
+    spark = samples.sparkSession
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("path", "dtype", "resample"), k[1:], strict=True)) for k in kinds])), "array<struct<path:string,dtype:string,resample:string>>")
+    known = samples.select("stim_id", "path").distinct().join(F.broadcast(spark.createDataFrame([k[:2] for k in kinds], "channel int, path string")), "path")
+    n = F.floor(F.col("duration_sec") * rate + 1e-9).cast("int")
+    has = known.groupBy("stim_id").agg(F.collect_list("channel").alias("has"))
+    none = F.lit([]).cast("array<int>")
+    rows = staged(stimuli.where(n >= 1).select("stim_id", n.alias("n")).join(has, "stim_id", "left").select("stim_id", "n", F.coalesce("has", none).alias("has")), "wanted")
+    found = {r[0] for r in rows.select(F.explode("has")).distinct().collect()}  # channels, MOST_CHANNELS at the most
+    ways: dict[str, list[tuple[int, str, str, str]]] = {}
+    for kind in kinds:
+        if kind[0] in found:
+            ways.setdefault(_way(*kind[2:]), []).append(kind)
+
+    def grid(wanted: Column) -> DataFrame:
+        """A row for each of the channels in an array and each bin of its stimulus."""
+        return rows.select("stim_id", "n", F.explode(wanted).alias("channel")).select("stim_id", "channel", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
+
+    def whole(held: DataFrame, applies: bool) -> DataFrame:
+        kind = listed[F.col("channel")]
+        num, label = F.col("num"), F.col("label")
+        if applies:
+            num, label = F.when(kind["resample"] == "count", F.coalesce(num, F.lit(0.0))).otherwise(num), F.when(kind["resample"] == "concat", F.coalesce(label, F.lit(""))).otherwise(label)
+        return held.select("stim_id", kind["path"].alias("path"), kind["dtype"].alias("dtype"), "bin", num.alias("num"), "vec", "code", label.alias("label"), F.lit(applies).alias("applicable"))
+
+    nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("num", "double"), ("vec", "array<double>"), ("code", "int"), ("label", "string"))]
+    every = F.lit([k[0] for k in kinds]).cast("array<int>")
+    parts = [whole(grid(F.array_except(every, "has")).select("*", *nothing), False)]
+    for way, of in ways.items():
+        own = grid(F.array_intersect(F.col("has"), F.lit([k[0] for k in of]).cast("array<int>")))
+        parts.append(whole(own.join(_reduced(samples, of, way, stimuli, rate), ["stim_id", "channel", "bin"], "left") if way else own.select("*", *nothing), True))
+    return together(*parts)

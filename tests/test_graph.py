@@ -183,3 +183,29 @@ def test_embeddings_of_segments(spark):
     nodes = [n for n in extractors.NODES if n.name in ("ASR", "LanguageEmbedding")]
     done = graph.run(nodes, spark.createDataFrame([("m", "text-only", 3.0)], STIMULI), {"segments": said, "embeddings": vectors}, sources.template(spark))
     assert {r.bin: r.vec for r in done.values.where("path = 'language/embedding/qwen3'").collect()} == {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [0.0, 1.0]}
+
+
+def sent_to_all(df):
+    """The plans of what a query sends to all tasks, before it runs."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    found = []
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(k + 1, len(lines)) if depth(lines[j]) <= depth(line)), len(lines))
+            found.append("\n".join(lines[k:below]))
+    return found
+
+
+def test_no_bins_and_no_samples_are_sent_to_all(spark, tmp_path):
+    """Files of samples, and stimuli before their bins are counted out, are small; in memory they are not."""
+    spark.range(300).select(F.col("id").cast("string").alias("stim_id"), F.lit(50.0).alias("duration_sec")).write.parquet(f"{tmp_path}/stimuli")
+    stimuli = spark.read.parquet(f"{tmp_path}/stimuli")
+    bins = stimuli.select("stim_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("start"))
+    typed.together(typed.sample(bins, "audio/speech/word_rate", v=F.lit(1.0)), typed.sample(bins, "audio/speech/asr_text", label=F.lit("a"))).write.parquet(f"{tmp_path}/samples")
+    samples = spark.read.parquet(f"{tmp_path}/samples")
+    got = typed.channels(samples, sources.template(spark), stimuli)
+    for plan in sent_to_all(got):
+        assert "Generate" not in plan and "/samples" not in plan, plan
+    assert got.where("applicable").count() == 300 * 50 * 2 and got.count() == 300 * 50 * 103
+    assert {r[0] for r in got.where("path = 'audio/speech/word_rate'").select("num").distinct().collect()} == {1.0}
