@@ -84,30 +84,61 @@ def chosen(groups: tuple[str, ...] = ("core",), extractors: tuple[Extractor, ...
     return [e for e in extractors if e.group == "core" or e.group in groups]
 
 
-def _samples(stim_id: str, path: str, t: np.ndarray, v: np.ndarray, until: np.ndarray | None = None) -> pa.Table:
-    n, v = len(t), np.asarray(v, float)
-    values = [pa.nulls(n, pa.float64()), pa.array(list(v), KINDS.field("vec").type)] if v.ndim == 2 else [pa.array(v), pa.nulls(n, KINDS.field("vec").type)]
-    ends = pa.nulls(n, pa.float64()) if until is None else pa.array(until, pa.float64())
-    return pa.table([pa.repeat(pa.scalar(stim_id, pa.string()), n), pa.repeat(path, n), pa.array(t, pa.float64()), ends, *values, pa.nulls(n, pa.string())], schema=KINDS)
+FLUSH = 4096  # samples, and numbers of them, that a task holds before it hands them on
+
+
+class _Samples:
+    """Samples as columns, handed on whenever there are enough of them."""
+
+    def __init__(self) -> None:
+        self.columns: dict[str, list] = {c: [] for c in KINDS.names}
+        self.held = 0
+
+    def add(self, stim_id: str, path: str, t: np.ndarray, v: np.ndarray, until: np.ndarray | None = None) -> None:
+        n, v = len(t), np.asarray(v, float)
+        flat = v.ndim == 1
+        for c, values in (("stim_id", [stim_id] * n), ("path", [path] * n), ("t", t), ("until", [None] * n if until is None else until), ("v", v if flat else [None] * n), ("vec", [None] * n if flat else list(v)), ("error", [None] * n)):
+            self.columns[c].extend(values.tolist() if isinstance(values, np.ndarray) else values)
+        self.held += max(n, v.size)
+
+    def fail(self, stim_id: str, said: str) -> None:
+        for c in KINDS.names:
+            self.columns[c].append({"stim_id": stim_id, "error": said}.get(c))
+        self.held += 1
+
+    def taken(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict(self.columns, schema=KINDS)
+        self.__init__()
+        return out
 
 
 def extract(extractor: Extractor, stimuli: DataFrame, native: DataFrame) -> DataFrame:
-    """Samples of the stimuli (stim_id, modality) that the extractor takes; an exception makes a row with its message."""
+    """Samples of the stimuli (stim_id, modality) that the extractor takes; an exception makes a row with its message.
+
+    A task holds the native rows of one Arrow batch and FLUSH samples, or those of one native row. Native rows are dealt
+    out evenly: they are few bytes in their files, but much to compute.
+    """
     taken = stimuli.where(F.col("modality").isin(*extractor.modalities)).select("stim_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (loading.state(extractor.name, extractor.load),) if extractor.load else ()
+        held, made = (loading.state(extractor.name, extractor.load),) if extractor.load else (), _Samples()
         for batch in batches:
-            parts = [KINDS.empty_table()]
             for k in range(batch.num_rows):  # one native row, a picture or a stretch of sound, is a stretch of columns
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 try:
-                    parts += [_samples(row["stim_id"], path, *found) for path, found in extractor.read(row, *held).items()]
+                    found = [(row["stim_id"], path, *numbers) for path, numbers in extractor.read(row, *held).items()]
                 except Exception as problem:  # one stimulus's broken data must not end the others'
-                    parts.append(pa.table({"stim_id": [row["stim_id"]], **{c: [None] for c in KINDS.names[1:-1]}, "error": [f"{extractor.name}: {problem!r}"]}, schema=KINDS))
-            yield from pa.concat_tables(parts).combine_chunks().to_batches()
-
-    return native.join(taken, "stim_id", "left_semi").mapInArrow(run, SAMPLES)
+                    made.fail(row["stim_id"], f"{extractor.name}: {problem!r}")
+                    continue
+                for numbers in found:
+                    made.add(*numbers)
+                    if made.held >= FLUSH:
+                        yield made.taken()
+        if made.held:
+            yield made.taken()
+
+    tasks = int(native.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return native.join(taken, "stim_id", "left_semi").repartition(tasks).mapInArrow(run, SAMPLES)
 
 
 def node(extractor: Extractor) -> graph.Node:

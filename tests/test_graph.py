@@ -209,3 +209,22 @@ def test_no_bins_and_no_samples_are_sent_to_all(spark, tmp_path):
         assert "Generate" not in plan and "/samples" not in plan, plan
     assert got.where("applicable").count() == 300 * 50 * 2 and got.count() == 300 * 50 * 103
     assert {r[0] for r in got.where("path = 'audio/speech/word_rate'").select("num").distinct().collect()} == {1.0}
+
+
+def test_native_rows_are_dealt_to_all_tasks(spark):
+    """Rows of one small file are much work: each task gets its share, and what fails in between loses nothing."""
+
+    def read(row):
+        if row["k"] == 7:
+            raise ValueError("broken")
+        t = np.arange(3000.0)
+        return {"a/v": (t, t + row["k"]), "a/w": (t[:2], np.ones((2, 2)) * row["k"])}
+
+    extractor = annotate.Extractor("Dealt", ("audiovisual",), "rows", read)
+    stimuli = spark.createDataFrame([("m", "audiovisual", 3.0)], STIMULI)
+    native = spark.range(40, numPartitions=1).select(F.lit("m").alias("stim_id"), F.col("id").alias("k"))
+    found = annotate.extract(extractor, stimuli, native)
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {r.path: r for r in found.groupBy("path").agg(F.count("*").alias("n"), F.sum("v").alias("v"), F.sum(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)).alias("w"), F.max("error").alias("error")).collect()}
+    ks = sum(range(40)) - 7
+    assert got["a/v"].n == 39 * 3000 and got["a/v"].v == 39 * 2999 * 1500 + 3000 * ks and got["a/w"].n == 78 and got["a/w"].w == 4 * ks and "broken" in got[None].error and got[None].n == 1
