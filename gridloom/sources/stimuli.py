@@ -77,10 +77,14 @@ def text_timeline(documents: DataFrame, rate: float = READING_RATE) -> DataFrame
 def text_rates(documents: DataFrame, rate: float = READING_RATE, grid_rate: float = 1.0) -> DataFrame:
     """(stim_id, bin, n): how many words of a text read at ``rate`` begin in each bin of its grid.
 
-    Word i begins at i / rate, so a bin's words follow from its number: one scan, and no row for a word.
+    Word i begins at i / rate, so a bin's words follow from its number: one scan, and no row for a word. Texts' lengths are
+    dealt out by stim_id before their bins are counted out, so a file's bins are not one task's, and what groups by stim_id
+    next has them in place.
     """
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_bins = F.floor(F.col("duration_sec") * grid_rate + 1e-9).cast("int")
-    rows = text_stimuli(documents, rate).where(n_bins >= 1).select("stim_id", "n_words", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))
+    dealt = text_stimuli(documents, rate).where(n_bins >= 1).repartition(tasks, "stim_id")
+    rows = dealt.select("stim_id", "n_words", F.explode(F.sequence(F.lit(0), n_bins - 1)).alias("bin"))
     clock = lambda i: F.rint(i / F.lit(rate) * F.lit(float(grid_rate)))
 
     def first(b: Column) -> Column:

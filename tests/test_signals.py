@@ -156,3 +156,10 @@ def test_interpolation_of_many_samples_takes_time_in_proportion(spark):
     assert len(got) == len(at) + 5 and np.allclose([found["s", x] for x in at], want)
     assert [found["one", x] for x in (1.0, 3.0, 9.0)] == [7.0] * 3 and found["nan", 1.0] == 4.0 and found["none", 1.0] is None
     assert took < 60
+
+
+def test_bins_of_texts_in_one_file_are_dealt_out(spark, tmp_path):
+    spark.range(64, numPartitions=1).select(F.col("id").alias("stim_id"), F.lit("a b c d e f g").alias("text")).write.parquet(f"{tmp_path}/texts")
+    rates = sources.text_rates(spark.read.parquet(f"{tmp_path}/texts"))
+    assert rates.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert rates.groupBy().agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()[:] == (64 * 5, 64 * 2)  # bins 0 and 1: words 0 and 1, then 2 to 4
