@@ -8,7 +8,9 @@ is pushed down, so a decoder reads only the channels asked for. Options: ``suffi
 from __future__ import annotations
 
 import importlib
+import io
 import json
+import tempfile
 from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
@@ -22,23 +24,33 @@ ROW = pa.schema([
     ("stim_id", pa.string()), ("path", pa.string()), ("dtype", pa.string()), ("applicable", pa.bool_()), ("bin", pa.int32()), ("num", pa.float64()), ("vec", pa.list_(pa.float64())),
     ("code", pa.int32()), ("label", pa.string()), ("onsets", pa.list_(pa.float64())), ("file", pa.string()), ("problem", pa.string()),
 ])
+TOGETHER = 256  # channels whose rows a task holds before it writes them
 Channel = tuple[str, str, str, bool, list, list | None]  # stim_id, path, dtype, applicable, values by bin, onsets
 Decoder = Callable[[BinaryIO, Callable[[str], bool]], Iterator[Channel]]
 
 
 def json_profile(f: BinaryIO, wanted: Callable[[str], bool]) -> Iterator[Channel]:
     """Profiles {stimulus: {id}, features: {class: {subclass: {leaf: {dtype, applicable, value, onsets}}}}}, one object a line or one in the file."""
-    text = f.read().decode("utf-8")
+    lines = io.TextIOWrapper(f, encoding="utf-8", newline="\n")
+    if not (first := next((line for line in lines if line.strip()), "")):
+        return
     try:
-        profiles = [json.loads(text)]
-    except json.JSONDecodeError:
-        profiles = [json.loads(line) for line in text.splitlines() if line.strip()]
-    for profile in profiles:
-        for a, subclasses in profile["features"].items():
-            for b, leaves in subclasses.items():
-                for leaf, held in leaves.items():
-                    if wanted(path := f"{a}/{b}/{leaf}"):
-                        yield str(profile["stimulus"]["id"]), path, held.get("dtype", "scalar"), bool(held.get("applicable", True)), held.get("value") or [], held.get("onsets")
+        profile = json.loads(first)
+    except json.JSONDecodeError:  # an object of several lines
+        yield from _channels(json.loads(first + lines.read()), wanted)
+        return
+    yield from _channels(profile, wanted)
+    for line in lines:
+        if line.strip():
+            yield from _channels(json.loads(line), wanted)
+
+
+def _channels(profile: dict, wanted: Callable[[str], bool]) -> Iterator[Channel]:
+    for a, subclasses in profile["features"].items():
+        for b, leaves in subclasses.items():
+            for leaf, held in leaves.items():
+                if wanted(path := f"{a}/{b}/{leaf}"):
+                    yield str(profile["stimulus"]["id"]), path, held.get("dtype", "scalar"), bool(held.get("applicable", True)), held.get("value") or [], held.get("onsets")
 
 
 def hdf5(f: BinaryIO, wanted: Callable[[str], bool]) -> Iterator[Channel]:
@@ -114,17 +126,29 @@ class AnnotationReader(DataSourceReader):
         return [FilePart(scheme + i.path) for i in sorted(found, key=lambda i: i.path) if i.type == fs.FileType.File and i.path.endswith(self.suffix)]
 
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
-        """The channels of one file; one that cannot be read is a row that says why, and nothing else of it."""
+        """The channels of one file; one that cannot be read is a row that says why, and nothing else of it.
+
+        Rows go to a temporary file of the task as they are made, and from there to Spark once the whole file has been read.
+        """
         module, function = self.decoder.split(":")
         decode: Decoder = getattr(importlib.import_module(module), function)
         try:
             store, name = _store(part.file)
-            with store.open_input_file(name) as f:
-                batches = [_rows(c, part.file) for c in decode(f, self.wanted)]
+            with tempfile.TemporaryFile() as spool:
+                with store.open_input_file(name) as f, pa.ipc.new_stream(spool, ROW) as out:
+                    held: list[pa.RecordBatch] = []
+                    for channel in decode(f, self.wanted):
+                        held.append(_rows(channel, part.file))
+                        if len(held) >= TOGETHER:
+                            out.write_table(pa.Table.from_batches(held, ROW).combine_chunks())
+                            held = []
+                    out.write_table(pa.Table.from_batches(held, ROW).combine_chunks())
+                spool.seek(0)
+                read = pa.ipc.open_stream(spool)
+                yield from (b for b in read if b.num_rows)
         except (OSError, ValueError, KeyError, TypeError, AttributeError) as problem:
             none = {c: [None] for c in ROW.names} | {"file": [part.file], "problem": [f"{type(problem).__name__}: {problem}"[:200]]}
-            batches = [pa.RecordBatch.from_arrays([pa.array(none[f.name], f.type) for f in ROW], schema=ROW)]
-        yield from batches
+            yield pa.RecordBatch.from_arrays([pa.array(none[f.name], f.type) for f in ROW], schema=ROW)
 
 
 class AnnotationSource(DataSource):

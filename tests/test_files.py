@@ -196,3 +196,21 @@ def test_a_patch_cut_short_changes_nothing(spark, tmp_path, where):
     assert held(spark, folder) == [("a", "x", 0, 7.0), ("b", "x", 0, 3.0)]
     gone = versions.clean(spark, folder)
     assert len(gone) == 1 and held(spark, folder) == [("a", "x", 0, 7.0), ("b", "x", 0, 3.0)]
+
+
+def test_a_long_file_of_profiles_is_not_held_whole(tmp_path):
+    """Thirty thousand profiles, a line each: what a task holds does not grow with them; a line that is torn still takes its file with it."""
+    import tracemalloc
+
+    line = json.dumps({"stimulus": {"id": "s"}, "features": {"a": {"b": {"c": {"dtype": "scalar", "applicable": True, "value": [1.0, None, 2.0]}}}}}) + "\n"
+    (tmp_path / "long.json").write_text(line * 30_000)
+    (tmp_path / "torn.json").write_text(line * 600 + line[:40] + "\n")
+    reader = annotation_source.AnnotationReader({"path": str(tmp_path)})
+    long, torn = reader.partitions()
+    tracemalloc.start()
+    n = sum(b.num_rows for b in reader.read(long))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 90_000 and most < 4_000_000
+    rows = [r for b in reader.read(torn) for r in b.to_pylist()]
+    assert len(rows) == 1 and "JSONDecodeError" in rows[0]["problem"]
