@@ -99,3 +99,67 @@ def test_small_and_odd_tables(spark):
     assert values == pytest.approx([1 + abs(r), 1 - abs(r), 0], abs=1e-12)
     with pytest.raises(ValueError):
         eigen.top_eigenpairs(df.limit(0), "v", 3, 2)
+
+
+class Held:
+    """A map or value state in a dict."""
+
+    def __init__(self):
+        self.d = {}
+
+    exists = lambda self: bool(self.d)
+    get = lambda self: self.d[()]
+    update = lambda self, v: self.d.update({(): v})
+    clear = lambda self: self.d.clear()
+    getValue = lambda self, k: self.d[k]
+    updateValue = lambda self, k, v: self.d.update({k: v})
+    removeKey = lambda self, k: self.d.pop(k)
+    iterator = lambda self: iter(list(self.d.items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, set()
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.states.setdefault(name, Held())
+
+    getValueState = getMapState
+    listTimers = lambda self: iter(self.timers)
+    deleteTimer = lambda self, ms: self.timers.discard(ms)
+    registerTimer = lambda self, ms: self.timers.add(ms)
+
+
+def test_a_fold_sees_a_bounded_piece_of_a_stimulus(monkeypatch):
+    """However many rows are due at once, entries and pieces are bounded, and all rows come once, in order."""
+    import json
+    import types
+
+    import pandas as pd
+
+    for name, n in (("RUN", 40), ("CHUNK", 7), ("RUNS", 3), ("PIECE", 10)):
+        monkeypatch.setattr(timed, name, n, raising=False)
+    seen, sizes, rng = [], [], random.Random(1)
+
+    def fold(state, rows):
+        sizes.append(len(rows))
+        seen.extend(rows["us"])
+        return [len(seen)], [(int(rows["us"].iloc[0]),)]
+
+    handle = Handle()
+    one = timed.InOrder(fold, ["us"], 10**9)
+    one.init(handle)
+    times = rng.sample(range(100_000), 1000) + [500] * 30  # thirty rows of one time stay together
+    rng.shuffle(times)
+    at = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    for k in range(0, len(times), 100):
+        some = times[k : k + 100]
+        parts = [pd.DataFrame({"ms": some[i : i + 30], "row": [json.dumps({"us": t}) for t in some[i : i + 30]]}) for i in range(0, len(some), 30)]
+        list(one.handleInputRows(("a",), iter(parts), at))
+    assert not seen and max(v[0].count("\n") for v in handle.states["waiting"].d.values()) < 7
+    assert len(handle.states["runs"].d) < 12
+    for watermark in (50_000, 10**6):
+        at.getCurrentWatermarkInMs = lambda w=watermark: w
+        list(one.handleExpiredTimer(("a",), at, None))
+        assert seen == sorted(t for t in times if t < watermark)
+    assert sorted(sizes)[-2] <= 11 and max(sizes) < 45 and not handle.states["waiting"].d and not handle.states["runs"].d
