@@ -110,12 +110,15 @@ def sentiment(segments: DataFrame, stimuli: DataFrame, bins: DataFrame) -> DataF
     return rows.select("stim_id", "bin", "vec", (F.element_at("vec", -1) - F.element_at("vec", 1)).alias("polarity"), scalars.argmax(F.col("vec")).alias("top"))
 
 
-def spread(samples: DataFrame, prefix: str, bins: DataFrame, rate: float = 1.0) -> DataFrame:
-    """(stim_id, path, bin, num): every number of samples (stim_id, t, ...) as a channel under ``prefix``, by means on the grid."""
+def spread(samples: DataFrame, prefix: str, bins: DataFrame, rate: float = 1.0, every: bool = False) -> DataFrame:
+    """(stim_id, path, bin, num): every number of samples (stim_id, t, ...) as a channel under ``prefix``, by means on the grid.
+
+    ``every``: the bins are of stimuli with samples only, so the samples need not be made once more to find those.
+    """
     names = [c for c in samples.columns if c not in ("stim_id", "t")]
     long = samples.withColumn("bin", G.bin_index(F.col("t"), rate)).groupBy("stim_id", "bin").agg(*(F.avg(scalars.clean_nan(F.col(c))).alias(c) for c in names))
-    present = samples.select("stim_id").distinct()
-    return bins.join(present, "stim_id", "left_semi").join(long, ["stim_id", "bin"], "left").unpivot(["stim_id", "bin"], names, "name", "num").select("stim_id", F.concat(F.lit(f"{prefix}/"), "name").alias("path"), "bin", "num")
+    bins = bins if every else bins.join(samples.select("stim_id").distinct(), "stim_id", "left_semi")
+    return bins.join(long, ["stim_id", "bin"], "left").unpivot(["stim_id", "bin"], names, "name", "num").select("stim_id", F.concat(F.lit(f"{prefix}/"), "name").alias("path"), "bin", "num")
 
 
 def spread_spans(rows: DataFrame, prefix: str, stimuli: DataFrame, bins: DataFrame, rate: float = 1.0) -> DataFrame:
@@ -146,10 +149,10 @@ def speech(words: DataFrame, segments: DataFrame, stimuli: DataFrame, bins: Data
     return rates.union(heard).join(segments.select("stim_id").distinct(), "stim_id", "left_semi")
 
 
-def lexical(words: DataFrame, norms: DataFrame, names: list[str], bins: DataFrame) -> DataFrame:
-    """(stim_id, path, bin, num): means of word length and of each norm of the words (stim_id, start, text) that begin in a bin. A stimulus without words has nulls."""
+def lexical(words: DataFrame, norms: DataFrame, names: list[str], bins: DataFrame, every: bool = False) -> DataFrame:
+    """(stim_id, path, bin, num): means of word length and of each norm of the words (stim_id, start, text) that begin in a bin. ``every`` as in ``spread``."""
     rows = words.withColumn("word", scalars.clean_word(F.col("text"))).join(norms, "word", "left").select("stim_id", F.col("start").alias("t"), F.length("word").cast("double").alias("word_length"), *names)
-    return spread(rows, "language/lexical", bins)
+    return spread(rows, "language/lexical", bins, every=every)
 
 
 def probe(streams: DataFrame, containers: DataFrame) -> DataFrame:

@@ -136,8 +136,10 @@ def speech_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT g.stim_id, g.bin, m.word_length, m.valence FROM grid g LEFT JOIN m USING (stim_id, bin))
 SELECT stim_id, 'language/lexical/' || name AS path, bin, round(num, 6) AS num FROM a UNPIVOT INCLUDE NULLS (num FOR name IN (word_length, valence))""")
 def lexical_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stories(spark, sf_dir)
-    found = native.lexical(sources.text_timeline(docs), lexicon(spark).withColumnRenamed("value", "valence"), ["valence"], G.time_grid(sources.text_stimuli(docs)))
+    """Texts' lengths are dealt out by stim_id before their bins are counted out, so a few files' bins are not one task's."""
+    docs, tasks = stories(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spoken = sources.text_stimuli(docs).where("n_words > 0").repartition(tasks, "stim_id")
+    found = native.lexical(sources.text_timeline(docs), lexicon(spark).withColumnRenamed("value", "valence"), ["valence"], G.time_grid(spoken), every=True)
     return rounded(found, "num")
 
 

@@ -85,3 +85,12 @@ def test_rates_are_counts_of_words(spark, rate, grid_rate):
     got = {(r.stim_id, r.bin): r.n for r in sources.text_rates(docs, rate, grid_rate).collect()}
     want = {(i, b): sum(round(k / rate * grid_rate) == b for k in range(i)) for i in range(0, 40, 3) for b in range(int(np.floor(i / rate * grid_rate + 1e-9)))}
     assert got == want
+
+
+def test_words_meet_a_small_lexicon_where_they_are(spark, sf):
+    """Words are made once and shuffled by stimulus and bin only."""
+    from gridloom.plans.all import QUERIES
+
+    plan = QUERIES["lexical_channels"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word" in plan and "SortMergeJoin [word" not in plan
+    assert plan.count("Scan parquet") == 2 and plan.count("posexplode") == 1
