@@ -57,6 +57,12 @@ def load(path: str, special_as_text: bool = False) -> Spans:
     return spans
 
 
+def forget() -> None:
+    """Lets go of the tokenizers and spans that this worker has from an earlier stage, and of memory that Arrow holds unused."""
+    load.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where spans begin: at every text, at white space after a character that is surely none, and at a digit or sign after a letter."""
     begins = np.zeros(len(data) + 1, bool)

@@ -46,6 +46,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame, s
                 held = pa.Array.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 sizes = pa.array(np.diff(offsets) // ids.itemsize)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("row"), sizes, held.cast(pa.binary())], names=["doc_id", "row", "n_ids", "ids"])
+            pa.default_memory_pool().release_unused()
 
     found = chosen.mapInArrow(run, "doc_id long, row long, n_ids long, ids binary")
     return found.withColumn("print", F.xxhash64("ids")), width
@@ -55,6 +56,7 @@ def count_ids(encoded: DataFrame, width: str) -> np.ndarray:
     """How often each id occurs. Tasks count; the driver sees one row an id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # workers live on from stage to stage
         total = np.zeros(1, np.int64)
         for batch in batches:
             data, _ = tokens.column_bytes(batch.column("ids"))
@@ -73,6 +75,7 @@ def count_ids(encoded: DataFrame, width: str) -> np.ndarray:
 
 def _coded(lengths: np.ndarray, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         code = huffman.Code.of(lengths)
         for batch in batches:
             rows: dict[str, list] = {"of": [], "before": [], "size": [], "starts": [], "bits": []}
@@ -187,6 +190,7 @@ def read_pieces(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     placed = blocks.join(spark.read.schema("file int, first long").parquet(f"{path}/files"), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         code = huffman.Code.of(lengths)
         for batch in batches:
             for piece in tokens.slices(batch, "bits", 1 << 20):

@@ -112,3 +112,18 @@ def test_query(spark, sf, library):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     got = sorted(queries.QUERIES["op11_token_files"](spark, sf).collect(), key=lambda r: r.start)
     assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == plain(library, rows) and got[0].start == 0
+
+
+def test_workers_keep_no_spans_after_the_texts_are_encoded(spark):
+    """A worker lives on, and what it kept for encoding would stand beside all that later stages need."""
+    from gridloom.llm import bpe
+
+    docs = spark.createDataFrame([(k, f"one two three {k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    path = tokenfiles.write_tokens(docs, PATH)
+    tokenfiles.digests(spark, path).collect()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.load.cache_info().currsize] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(64).repartition(4).mapInArrow(held, "n long").collect()} == {0}
