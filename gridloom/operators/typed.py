@@ -22,6 +22,8 @@ from gridloom.shared import staged
 FIELDS = {"start": "double", "end": "double", "v": "double", "vec": "array<double>", "code": "int", "label": "string"}
 COLUMNS = ["stim_id", "path", *FIELDS]
 MOST_CHANNELS = 20_000
+#: Bins that are cut into pieces together; a piece knows the ends of its stretch's samples, so they are few.
+STRETCH = 128
 
 
 def sample(rows: DataFrame, path: str, start: Column | str = "start", **fields: Column) -> DataFrame:
@@ -64,22 +66,47 @@ def _way(dtype: str, how: str) -> str:
     return ""
 
 
-def _reduced(samples: DataFrame, kinds: list[tuple[int, str, str, str]], way: str, stimuli: DataFrame, rate: float) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of which much will come, over as many tasks as a shuffle has; by their own bytes Spark would put them into a few."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows (stim_id, channel, low, high, ...) in pieces (bin, till): runs of bins in which the same rows hold, so what is made of a run holds for each of its bins.
+
+    A stretch of STRETCH bins is cut by itself, at the first bins of rows and those behind their last ones, of which it has
+    STRETCH + 1 at the most, however many rows; where a row is alone its bins are one piece.
+    """
+    chunk = F.explode(F.sequence(F.expr(f"low div {STRETCH}"), F.expr(f"high div {STRETCH}")))
+    parts = rows.withColumn("chunk", chunk).withColumn("low", F.greatest("low", F.col("chunk") * STRETCH).cast("int")).withColumn("high", F.least("high", F.col("chunk") * STRETCH + (STRETCH - 1)).cast("int"))
+    keys = ["stim_id", "channel", "chunk"]
+    ends = parts.groupBy(*keys).agg(F.array_sort(F.array_union(F.collect_set("low"), F.collect_set(F.col("high") + 1))).alias("ends"))
+    runs = F.transform(F.slice("ends", F.lit(1), F.size("ends") - 1), lambda b, i: F.struct(b.alias("bin"), (F.get("ends", i + 1) - 1).alias("till")))
+    held = parts.join(ends.select(*keys, runs.alias("runs")), keys)
+    run = F.explode(F.filter("runs", lambda r: (r["bin"] >= F.col("low")) & (r["bin"] <= F.col("high"))))
+    return held.withColumn("run", run).select(*[c for c in rows.columns if c not in ("low", "high")], "run.bin", "run.till")
+
+
+def _reduced(samples: DataFrame, kinds: list[tuple[int, str, str, str]], way: str, stimuli: DataFrame, rate: float, every: DataFrame | None = None) -> DataFrame:
     """(stim_id, channel, bin, num, vec, code, label) of the bins that have samples, of the channels (channel, path, dtype, resample), all of one way.
 
     The stimuli are the side of the join that may be sent to all, never the samples, which files hold in far fewer bytes
     than memory does. Components of vectors are means before they meet, so a bin with many samples is no heavier than others.
+    With ``every`` (stim_id, channel, low, high), the bins there are, samples are not counted out to bins before they are
+    one, and what comes of it has a row for each of those bins.
     """
     last = stimuli.select("stim_id", (F.floor(F.col("duration_sec") * rate + 1e-9).cast("int") - 1).alias("last_bin"))
-    listed = samples.sparkSession.createDataFrame(kinds, "channel int, path string, dtype string, resample string")
+    listed = samples.sparkSession.createDataFrame([k[:2] for k in kinds], "channel int, path string")
+    of = lambda at, *names: F.col("channel").isin([k[0] for k in kinds if k[at] in names])
     # MOST_CHANNELS rows at the most; a join by path would put a channel's samples into one task
-    rows = samples.where("start is not null and not isnan(start)").join(F.broadcast(listed), "path").join(last, "stim_id", "left")
+    rows = samples.where(F.col("path").isin([k[1] for k in kinds]) & F.expr("start is not null and not isnan(start)")).join(F.broadcast(listed), "path").join(last, "stim_id", "left")
     low = F.greatest(G.bin_index(F.col("start"), rate), F.lit(0))
     high = F.least(G.bin_index(F.coalesce("end", "start"), rate), F.coalesce("last_bin", F.lit(-1)))
-    placed = rows.where(low <= high).withColumn("bin", F.explode(F.sequence(low, high)))
-    keys, x = ["stim_id", "channel", "bin"], clean_nan(F.col("v"))
+    rows = rows.where(low <= high).select("stim_id", "channel", *FIELDS, low.alias("low"), high.alias("high"))
+    placed = rows.withColumn("bin", F.explode(F.sequence("low", "high"))) if every is None else _cut(rows.unionByName(every, allowMissingColumns=True))
+    keys, x = ["stim_id", "channel", "bin", *(["till"] if every is not None else [])], clean_nan(F.col("v"))
     empty = {"num": F.lit(None).cast("double"), "vec": F.lit(None).cast("array<double>"), "code": F.lit(None).cast("int"), "label": F.lit(None).cast("string")}
-    scalar, text = F.col("dtype").isin("scalar", "bool", "event"), F.col("dtype") == "label"
+    scalar, text = of(2, "scalar", "bool", "event"), of(2, "label")
     if way == "vector":
         means = placed.select(*keys, F.posexplode_outer("vec").alias("k", "x")).groupBy(*keys, "k").agg(F.avg(clean_nan(F.col("x"))).alias("x"))
         found = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "x")))).alias("v"))
@@ -87,20 +114,21 @@ def _reduced(samples: DataFrame, kinds: list[tuple[int, str, str, str]], way: st
     elif way == "categorical":
         found, made = placed.groupBy(*keys).agg(F.mode("code", True).alias("top")), {"code": F.col("top")}
     elif way == "number":
-        found = placed.groupBy(*keys, "resample").agg(F.avg(x).alias("mean"), F.max(x).alias("most"), F.count(x).cast("double").alias("n"))
-        made = {"num": F.when(F.col("resample") == "any", F.col("most")).when(F.col("resample") == "count", F.col("n")).otherwise(F.col("mean"))}
+        found = placed.groupBy(*keys).agg(F.avg(x).alias("mean"), F.max(x).alias("most"), F.count(x).cast("double").alias("n"))
+        made = {"num": F.when(of(3, "any"), F.col("most")).when(of(3, "count"), F.col("n")).otherwise(F.col("mean"))}
     elif way == "nearest":
         away = F.abs(F.col("start") * rate - F.col("bin"))
         found, made = placed.groupBy(*keys).agg(F.min_by(x, F.struct(away, "start")).alias("near")), {"num": F.col("near")}
     elif way == "mode":
         found, made = placed.groupBy(*keys).agg(F.mode(F.when(scalar, x), True).alias("often"), F.mode(F.when(text, F.col("label")), True).alias("said")), {"num": F.col("often"), "label": F.col("said")}
     elif way == "last":
-        found = placed.groupBy(*keys, "dtype").agg(F.max_by(F.struct(x.alias("v"), "code", "label"), F.struct("start", "v", "code", "label")).alias("last"))
+        found = placed.groupBy(*keys).agg(F.max_by(F.struct(x.alias("v"), "code", "label"), F.struct("start", "v", "code", "label")).alias("last"))
         made = {"num": F.when(scalar, F.col("last.v")), "label": F.when(text, F.col("last.label"))}
     else:
         laid = F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("start", "label"))))
         found, made = placed.groupBy(*keys).agg(laid.alias("said")), {"label": F.array_join(F.transform("said", lambda e: e["label"]), " ")}
-    return found.select(*keys, *(made[c].alias(c) if c in made else empty[c].alias(c) for c in empty))
+    whole = found.select(*keys, *(made[c].alias(c) if c in made else empty[c].alias(c) for c in empty))
+    return whole if every is None else _dealt(whole).withColumn("bin", F.explode(F.sequence("bin", "till"))).drop("till")
 
 
 def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate: float = 1.0) -> DataFrame:
@@ -109,25 +137,29 @@ def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate:
     A channel without a sample does not apply to its stimulus and is null. One that applies counts 0, and joins to an
     empty text, where a bin has nothing; other bins without samples are null, as not measured. The template is a fixed
     short list, so the product with it is a fan-out of each stimulus; bins are counted out where their rows are needed,
-    so only those of channels that apply are shuffled, and none is sent to all.
+    so only those of channels of points are shuffled, and none is sent to all. Channels with a sample that holds over a
+    span are made one by runs of bins.
     """
     kinds = [(k, *kind) for k, kind in enumerate(_kinds(template))]
     spark = samples.sparkSession
     listed = F.from_json(F.lit(json.dumps([dict(zip(("path", "dtype", "resample"), k[1:], strict=True)) for k in kinds])), "array<struct<path:string,dtype:string,resample:string>>")
-    known = samples.select("stim_id", "path").distinct().join(F.broadcast(spark.createDataFrame([k[:2] for k in kinds], "channel int, path string")), "path")
+    held = F.max(F.col("end").isNotNull() & (F.col("end") > F.col("start"))).alias("held")
+    known = samples.groupBy("stim_id", "path").agg(held).join(F.broadcast(spark.createDataFrame([k[:2] for k in kinds], "channel int, path string")), "path")
     n = F.floor(F.col("duration_sec") * rate + 1e-9).cast("int")
-    has = known.groupBy("stim_id").agg(F.collect_list("channel").alias("has"))
+    has = known.groupBy("stim_id").agg(F.collect_list("channel").alias("has"), F.collect_list(F.when(F.col("held"), F.col("channel"))).alias("held"))
     none = F.lit([]).cast("array<int>")
-    rows = staged(stimuli.where(n >= 1).select("stim_id", n.alias("n")).join(has, "stim_id", "left").select("stim_id", "n", F.coalesce("has", none).alias("has")), "wanted")
-    found = {r[0] for r in rows.select(F.explode("has")).distinct().collect()}  # channels, MOST_CHANNELS at the most
-    ways: dict[str, list[tuple[int, str, str, str]]] = {}
+    rows = staged(stimuli.where(n >= 1).select("stim_id", n.alias("n")).join(has, "stim_id", "left").select("stim_id", "n", F.coalesce("has", none).alias("has"), F.coalesce("held", none).alias("held")), "wanted")
+    listing = lambda c: {r[0] for r in rows.select(F.explode(c)).distinct().collect()}  # noqa: E731  # channels, MOST_CHANNELS at the most
+    found, spans = listing("has"), listing("held")
+    ways: dict[tuple[str, bool], list[tuple[int, str, str, str]]] = {}
     for kind in kinds:
         if kind[0] in found:
-            ways.setdefault(_way(*kind[2:]), []).append(kind)
+            way = _way(*kind[2:])
+            ways.setdefault((way, kind[0] in spans and way not in ("", "nearest")), []).append(kind)  # what is nearest changes from bin to bin
 
     def grid(wanted: Column) -> DataFrame:
         """A row for each of the channels in an array and each bin of its stimulus."""
-        return rows.select("stim_id", "n", F.explode(wanted).alias("channel")).select("stim_id", "channel", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
+        return _dealt(rows).select("stim_id", "n", F.explode(wanted).alias("channel")).select("stim_id", "channel", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
 
     def whole(held: DataFrame, applies: bool) -> DataFrame:
         kind = listed[F.col("channel")]
@@ -139,7 +171,12 @@ def channels(samples: DataFrame, template: DataFrame, stimuli: DataFrame, rate:
     nothing = [F.lit(None).cast(kind).alias(c) for c, kind in (("num", "double"), ("vec", "array<double>"), ("code", "int"), ("label", "string"))]
     every = F.lit([k[0] for k in kinds]).cast("array<int>")
     parts = [whole(grid(F.array_except(every, "has")).select("*", *nothing), False)]
-    for way, of in ways.items():
-        own = grid(F.array_intersect(F.col("has"), F.lit([k[0] for k in of]).cast("array<int>")))
-        parts.append(whole(own.join(_reduced(samples, of, way, stimuli, rate), ["stim_id", "channel", "bin"], "left") if way else own.select("*", *nothing), True))
+    for (way, over), of in ways.items():
+        own = F.array_intersect(F.col("has"), F.lit([k[0] for k in of]).cast("array<int>"))
+        if over:
+            bins = rows.select("stim_id", F.explode(own).alias("channel"), F.lit(0).alias("low"), (F.col("n") - 1).alias("high"))
+            made = _reduced(samples, of, way, stimuli, rate, bins)
+        else:
+            made = grid(own).join(_reduced(samples, of, way, stimuli, rate), ["stim_id", "channel", "bin"], "left") if way else grid(own).select("*", *nothing)
+        parts.append(whole(made, True))
     return together(*parts)

@@ -19,6 +19,7 @@ from gridloom.operators import events, native, products, shape, signals
 from gridloom.operators.typed import sample, scalars_of, together
 from gridloom.plans.graph import Made, Node
 from gridloom.schemas import MODALITIES
+from gridloom.shared import staged
 
 Tables = dict[str, DataFrame]
 SEEN = ("audiovisual", "video-only")
@@ -39,20 +40,26 @@ def _classes(rows: DataFrame, vec: str, top: str | None, chances: Column, **when
 
 
 def transcript(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:
-    """The hub of all language: the words of the segments, each at the middle of its share of its segment's time."""
-    spelled = t["segments"].select("stim_id", F.col("i").alias("seg_idx"), "start", "end", F.posexplode(scalars.words_of(F.col("text"))).alias("i", "text"))
-    words = signals.token_times(spelled).select("stim_id", F.col("seg_idx").alias("seg"), "i", "text", F.col("t").alias("start"))
-    known = bins.join(t["segments"].select("stim_id").distinct(), "stim_id", "left_semi")
-    silent = sample(known, "audio/speech/speech_present", F.col("time_sec"), v=F.lit(0.0))
+    """The hub of all language: the words of the segments, each at the middle of its share of its segment's time.
+
+    A segment's words are numbered and timed where they are, so none is shuffled; where nobody speaks is said once for a stimulus.
+    """
+    spelled = t["segments"].select("stim_id", F.col("i").alias("seg"), "start", "end", scalars.words_of(F.col("text")).alias("ws"))
+    spread = spelled.select("stim_id", "seg", "start", F.greatest(F.col("end") - F.col("start"), F.lit(1e-3)).alias("long"), F.size("ws").alias("n"), F.posexplode("ws").alias("i", "text"))
+    words = spread.select("stim_id", "seg", "i", "text", (F.col("start") + (F.col("i") + 0.5) / F.col("n") * F.col("long")).alias("start"))
+    known = stimuli.join(t["segments"].select("stim_id"), "stim_id", "left_semi")
+    silent = sample(known, "audio/speech/speech_present", F.lit(0.0), end=F.col("duration_sec"), v=F.lit(0.0))
     speaking = sample(t["segments"], "audio/speech/speech_present", end=F.col("end"), v=F.lit(1.0))
-    return Made(together(sample(words, "audio/speech/word_rate", v=F.lit(1.0)), silent, speaking, sample(words, "audio/speech/asr_text", label=F.col("text"))), {"words": words})
+    said = lambda made: together(sample(made["words"], "audio/speech/word_rate", v=F.lit(1.0)), silent, speaking, sample(made["words"], "audio/speech/asr_text", label=F.col("text")))
+    return Made(said, {"words": words})
 
 
 def frequencies(words: DataFrame) -> DataFrame:
     """(word, freq_zipf): the decimal logarithm of how often a cleaned word stands in a thousand million words; exact, by sums within tasks first."""
-    cleaned = words.select(scalars.clean_word(F.col("text")).alias("word")).where("word is not null")
-    total = cleaned.count()
-    return cleaned.groupBy("word").agg(F.log10(F.count("*") / F.lit(float(max(total, 1))) * 1e9).alias("freq_zipf"))
+    spelled = words.groupBy("text").agg(F.count("*").alias("n")).select(scalars.clean_word(F.col("text")).alias("word"), "n").where("word is not null")
+    counts = staged(spelled.groupBy("word").agg(F.sum("n").alias("n")), "frequencies")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.select("word", F.log10(F.col("n") / F.lit(float(total)) * 1e9).alias("freq_zipf"))
 
 
 def lexicon(stimuli: DataFrame, bins: DataFrame, t: Tables) -> Made:

@@ -25,9 +25,12 @@ CHANNELS = "channels"
 
 @dataclass
 class Made:
-    """Samples for the grid, tables for other extractors, and stimuli on which the extractor failed (stim_id, error)."""
+    """Samples for the grid, tables for other extractors, and stimuli on which the extractor failed (stim_id, error).
 
-    samples: DataFrame | None = None
+    Samples may be a function of the tables as written, so that what both come from is made once.
+    """
+
+    samples: DataFrame | Callable[[dict[str, DataFrame]], DataFrame] | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     failed: DataFrame | None = None
 
@@ -75,6 +78,7 @@ def run(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], tem
     The status of an extractor is ok, absent (a native table is not there), failed with its error, or skipped with the
     extractor it needs. Native tables have a stim_id, or are vocabularies without one.
     """
+    stimuli = staged(stimuli.select("stim_id", "modality", "duration_sec"), "stimuli")  # read by every step, and often a sum over their texts
     late = [n for n in nodes if CHANNELS in n.reads]
     first = _phase([n for n in nodes if n not in late], stimuli, native, rate)
     values = typed.channels(first.samples, template, stimuli, rate)
@@ -111,7 +115,8 @@ def _phase(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame],
         try:
             made = node.make(taken, bins.join(taken.select("stim_id"), "stim_id", "left_semi"), given)
             found = {name: staged(made.tables[name], name) for name in node.gives}
-            samples = staged(made.samples.select(*typed.COLUMNS), node.name) if made.samples is not None else None
+            rows = made.samples(found) if callable(made.samples) else made.samples
+            samples = staged(rows.select(*typed.COLUMNS), node.name) if rows is not None else None
             broken = staged(made.failed, f"{node.name}-failed") if made.failed is not None else None
         except Exception as problem:  # one extractor's failure must not end the others' work
             status[node.name] = f"failed: {type(problem).__name__}: {str(problem).strip().splitlines()[-1][:200] if str(problem).strip() else ""}"

@@ -240,3 +240,88 @@ def test_numbers_that_round_to_zero_keep_their_sign_as_in_sql(spark):
     got = [r.num for r in flat(rows).orderBy("bin").collect()]
     want = [duckdb.sql(f"SELECT round({x!r}::DOUBLE, 6)").fetchall()[0][0] for x in numbers if x is not None and x != -1e-17]
     assert [repr(x) for x in got] == [*map(repr, want[:4]), "0.0", repr(want[4]), "None"]
+
+
+def test_words_are_made_once_and_where_they_are(spark, tmp_path):
+    """Words are timed within their segment, without a shuffle; samples come from the table as written, and silence is one sample of a stimulus."""
+    spark.createDataFrame([("m", k, "The cat,  the HAT's mat" if k % 2 else "a b", 40.0 * k, 40.0 * k + 30) for k in range(20)], "stim_id string, i int, text string, start double, end double").write.parquet(f"{tmp_path}/segments")
+    stimuli = spark.createDataFrame([("m", "audiovisual", 800.0), ("n", "audiovisual", 5.0)], STIMULI)
+    bins = spark.createDataFrame([("m", k, float(k)) for k in range(800)], "stim_id string, bin int, time_sec double")
+    made = extractors.transcript(stimuli, bins, {"segments": spark.read.parquet(f"{tmp_path}/segments")})
+    plan = made.tables["words"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan, plan
+    words = {(r.seg, r.i): (r.text, r.start) for r in made.tables["words"].collect()}
+    assert len(words) == 70 and words[1, 3] == ("HAT's", 40 + 3.5 / 5 * 30) and words[2, 0] == ("a", 80 + 0.5 / 2 * 30)
+    other = made.tables["words"].where("seg = 1")
+    found = made.samples({"words": other}).collect()
+    assert sorted(r.label for r in found if r.label is not None) == sorted(["The", "cat,", "the", "HAT's", "mat"])
+    assert [(r.stim_id, r.start, r.end) for r in found if r.v == 0] == [("m", 0.0, 800.0)]
+    zipf = {r.word: round(r.freq_zipf, 6) for r in extractors.frequencies(made.tables["words"]).collect()}
+    assert zipf == {w: round(np.log10(n / 70 * 1e9), 6) for w, n in {"the": 20, "cat": 10, "hat's": 10, "mat": 10, "a": 10, "b": 10}.items()}
+
+
+def test_counting_channels_does_not_make_their_values(spark, tmp_path):
+    """What only the shape is asked of needs no samples of points but to know which channels apply."""
+    stimuli = spark.createDataFrame([(str(k), 50.0) for k in range(9)], "stim_id string, duration_sec double")
+    bins = stimuli.select("stim_id", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("start"))
+    typed.together(typed.sample(bins, "audio/speech/word_rate", v=F.lit(1.0)), typed.sample(bins, "audio/speech/asr_text", label=F.lit("a"))).write.parquet(f"{tmp_path}/samples")
+    got = typed.channels(spark.read.parquet(f"{tmp_path}/samples"), sources.template(spark), stimuli).groupBy("path").agg(F.count("*").alias("n"), F.count_if("applicable").alias("applies"))
+    assert "/samples" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.n, r.applies) for r in got.where("applies > 0").collect()} == {("audio/speech/word_rate", 450, 450), ("audio/speech/asr_text", 450, 450)} and got.where("n = 450").count() == 103
+
+
+def shuffled(spark):
+    """How many rows were written to shuffles so far."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+KINDS = [("mean", "scalar", "mean"), ("any", "bool", "any"), ("count", "event", "count"), ("near", "scalar", "nearest"), ("step", "scalar", "step"), ("often", "scalar", "mode"), ("vec", "vector", "mean"), ("top", "categorical", "mode"), ("text", "label", "concat"), ("said", "label", "vlm"), ("usual", "label", "mode")]
+
+
+def test_spans_give_what_their_bins_would(spark):
+    """Spans of all lengths, over the bounds of stretches, some alike, some of nothing, some beyond the grid."""
+    rng = np.random.default_rng(3)
+    n_bins = {"a": 3 * typed.STRETCH + 5, "b": 7, "c": typed.STRETCH}
+    rows = []
+    for stim, n in n_bins.items():
+        for path, *_ in KINDS:
+            for k in range(40):
+                start = float(np.round(rng.uniform(-5, n + 5), 1)) + k / 1000
+                end = [None, start, start + float(rng.integers(0, 6)), start + float(rng.integers(0, 2 * typed.STRETCH))][rng.integers(4)]
+                v, code, label = (float(rng.integers(0, 4)), int(rng.integers(0, 3)), "xyz"[rng.integers(3)]) if rng.random() < 0.9 else (None, None, None)
+                rows.append((stim, path, start, end, v, None if v is None else [v, None, v + 1], code, label))
+    samples = spark.createDataFrame(rows, "stim_id string, path string, start double, end double, v double, vec array<double>, code int, label string")
+    stimuli = spark.createDataFrame([(s, float(n)) for s, n in n_bins.items()], "stim_id string, duration_sec double")
+    got = {(r.stim_id, r.path, r.bin): r for r in typed.channels(samples, spark.createDataFrame(KINDS, "path string, dtype string, resample string"), stimuli).collect()}
+    assert len(got) == sum(n_bins.values()) * len(KINDS)
+    most = lambda xs: min(xs, key=lambda x: (-xs.count(x), x)) if xs else None
+    held: dict = {}
+    for r in rows:
+        for b in range(max(0, round(r[2])), min(n_bins[r[0]] - 1, round(r[2] if r[3] is None else r[3])) + 1):
+            held.setdefault((r[0], r[1], b), []).append(r)
+    for (stim, path, b), r in got.items():
+        of = sorted(held.get((stim, path, b), []), key=lambda s: s[2])
+        vs, labels = [s[4] for s in of if s[4] is not None], [s[7] for s in of if s[7] is not None]
+        if path in ("mean", "any", "count", "often", "near", "step"):
+            near = min(of, key=lambda s: (abs(s[2] - b), s[2]), default=None)
+            want = {"mean": sum(vs) / len(vs) if vs else None, "any": max(vs, default=None), "count": len(vs), "often": most(vs), "near": near and near[4], "step": of[-1][4] if of else None}[path]
+            assert r.num == (want if want is None else pytest.approx(want)), (stim, path, b)
+        elif path == "vec":
+            assert r.vec == (None if not vs else pytest.approx([sum(vs) / len(vs), None, sum(vs) / len(vs) + 1])), (stim, path, b)
+        elif path == "top":
+            assert r.code == most([s[6] for s in of if s[6] is not None])
+        else:
+            assert r.label == {"text": " ".join(labels), "said": of[-1][7] if of else None, "usual": most(labels)}[path], (stim, path, b)
+
+
+def test_bins_of_spans_are_not_shuffled_and_dealt_to_all_tasks(spark):
+    """A span is a few rows to the last, however many bins it has; what comes of few rows is made by all tasks."""
+    stimuli = spark.createDataFrame([(str(k), 20_000.0) for k in range(8)], "stim_id string, duration_sec double")
+    spans = stimuli.select("stim_id", F.explode(F.sequence(F.lit(0), F.lit(19_900), F.lit(100))).alias("start"))
+    parts = [typed.sample(spans, path, end=F.col("start") + 99, **value) for path, value in (("language/syntax/tree_depth", {"v": F.lit(1.0)}), ("affect/depicted/text_sentiment", {"vec": F.lit([1.0, 2.0, 3.0])}), ("affect/depicted/text_sentiment_top", {"code": F.lit(1)}))]
+    got = typed.channels(typed.together(*parts), sources.template(spark), stimuli).where("applicable")
+    before = shuffled(spark)
+    assert got.agg(F.count("num") + F.count("vec") + F.count("code")).first()[0] == 3 * 8 * 20_000
+    assert shuffled(spark) - before < 80_000  # 4,800 spans; their bins are 480,000
+    assert got.where("vec is not null").select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
