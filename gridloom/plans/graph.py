@@ -80,12 +80,13 @@ def run(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], tem
     """
     stimuli = staged(stimuli.select("stim_id", "modality", "duration_sec"), "stimuli")  # read by every step, and often a sum over their texts
     late = [n for n in nodes if CHANNELS in n.reads]
-    first = _phase([n for n in nodes if n not in late], stimuli, native, rate)
+    paths = [r[0] for r in template.select("path").collect()]  # a short list
+    first = _phase([n for n in nodes if n not in late], stimuli, native, rate, paths)
     values = typed.channels(first.samples, template, stimuli, rate)
     if not late:
         return Run(values, first.made, first.failed, first.status)
     held = staged(values, CHANNELS)
-    second = _phase(late, stimuli, {**native, **first.made, CHANNELS: held}, rate)
+    second = _phase(late, stimuli, {**native, **first.made, CHANNELS: held}, rate, paths)
     again = second.samples.select("path").distinct()  # channels, of which there are a few
     others = template.join(again, "path", "left_semi")
     whole = held.join(again, "path", "left_anti").unionByName(typed.channels(second.samples, others, stimuli, rate))
@@ -100,7 +101,8 @@ class _Phase:
     status: dict[str, str]
 
 
-def _phase(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], rate: float) -> _Phase:
+def _phase(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame], rate: float, paths: list[str]) -> _Phase:
+    """Samples of channels that are not among ``paths`` are not made."""
     tables, status, parts, failed = dict(native), {}, [], []
     maker = {t: n.name for n in nodes for t in n.gives}
     bins = G.time_grid(stimuli, rate)
@@ -116,7 +118,7 @@ def _phase(nodes: list[Node], stimuli: DataFrame, native: dict[str, DataFrame],
             made = node.make(taken, bins.join(taken.select("stim_id"), "stim_id", "left_semi"), given)
             found = {name: staged(made.tables[name], name) for name in node.gives}
             rows = made.samples(found) if callable(made.samples) else made.samples
-            samples = staged(rows.select(*typed.COLUMNS), node.name) if rows is not None else None
+            samples = staged(rows.select(*typed.COLUMNS).where(F.col("path").isin(paths)), node.name) if rows is not None else None
             broken = staged(made.failed, f"{node.name}-failed") if made.failed is not None else None
         except Exception as problem:  # one extractor's failure must not end the others' work
             status[node.name] = f"failed: {type(problem).__name__}: {str(problem).strip().splitlines()[-1][:200] if str(problem).strip() else ""}"

@@ -34,10 +34,10 @@ def flat(values: DataFrame) -> DataFrame:
     return rows.select("stim_id", "path", "bin", (F.col("k") + 1).alias("comp_index"), rounded(F.coalesce("x", "num")).alias("num"), "code", "label")
 
 
-def channels(spark: SparkSession, stimuli: DataFrame, native: Tables, *names: str) -> DataFrame:
-    """What the named extractors make of their channels."""
+def channels(spark: SparkSession, stimuli: DataFrame, native: Tables, *names: str, like: str = "%") -> DataFrame:
+    """What the named extractors make of their channels whose path is ``like``; of others only the tables that extractors read are made."""
     nodes = [n for n in NODES if n.name in names]
-    done = graph.run(nodes, stimuli.withColumn("modality", F.lit("audiovisual")), native, sources.template(spark))
+    done = graph.run(nodes, stimuli.withColumn("modality", F.lit("audiovisual")), native, sources.template(spark).where(F.col("path").like(like)))
     if set(done.status.values()) != {"ok"}:
         raise RuntimeError(f"extractors: {done.status}")
     return done.values.where("applicable")
@@ -91,7 +91,7 @@ f AS (SELECT word, log10(count(*) / (SELECT count(*) FROM c WHERE word IS NOT NU
 {_scalar('language/lexical/word_length', 'l', 'avg(len)')} UNION ALL {_scalar('language/lexical/freq_zipf', 'l', 'avg(zipf)')} UNION ALL {_scalar('language/lexical/valence', 'l', 'avg(value)')}""")
 def graph_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths, corpus frequencies and norms of the words that the transcript's extractor made."""
-    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "LanguageLexical").where("path like 'language/%'"))
+    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "LanguageLexical", like="language/%"))
 
 
 _POS = ["NOUN", "DET", "VERB", "ADJ", "ADP", "PROPN", "PUNCT"]
@@ -103,21 +103,21 @@ x AS (SELECT stim_id, seg AS i, max(d)::DOUBLE AS tree FROM up GROUP BY ALL), m
 a AS (SELECT c.stim_id, c.bin, tree, far, content, noun, verb FROM covered c LEFT JOIN x USING (stim_id, i) LEFT JOIN m USING (stim_id, i))
 {' UNION ALL '.join(_scalar(f'language/syntax/{leaf}', 'a', f'avg({c})') for leaf, c in (('tree_depth', 'tree'), ('mean_dep_distance', 'far'), ('content_frac', 'content'), ('noun_frac', 'noun'), ('verb_frac', 'verb')))}""")
 def graph_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "LanguageSyntax").where("path like 'language/%'"))
+    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "LanguageSyntax", like="language/%"))
 
 
 @query(f"""WITH {TALK}, e AS (SELECT stim_id, i, [exp(n % 5 / 2.0::DOUBLE), exp(n % 3 / 2.0::DOUBLE), exp(n % 7 / 2.0::DOUBLE)] AS e FROM talk), p AS (SELECT stim_id, i, list_transform(e, lambda x: x / list_sum(e)) AS p FROM e), c AS (SELECT stim_id, bin, p FROM covered JOIN p USING (stim_id, i)),
 v AS (SELECT stim_id, bin, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM c), t AS (SELECT stim_id, bin, list_position(p, list_max(p)) - 1 AS top FROM c)
 {_vector('affect/depicted/text_sentiment', 'v')} UNION ALL {_scalar('affect/depicted/text_sentiment_polarity', 'c', 'avg(p[3] - p[1])')} UNION ALL {_mode('affect/depicted/text_sentiment_top', 't')}""")
 def graph_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "TextSentiment").where("path like 'affect/%'"))
+    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "TextSentiment", like="affect/%"))
 
 
 @query(f"""WITH {TALK}, p AS (SELECT stim_id, i, list_transform(range(28), lambda k: 1 / (1 + exp(-((n * k % 11 - 5) / 2.0::DOUBLE)))) AS p FROM talk), c AS (SELECT stim_id, bin, p FROM covered JOIN p USING (stim_id, i)),
 v AS (SELECT stim_id, bin, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM c), t AS (SELECT stim_id, bin, list_position(p, list_max(p)) - 1 AS top FROM c)
 {_vector('affect/depicted/text_emotion', 'v')} UNION ALL {_mode('affect/depicted/text_emotion_top', 't')}""")
 def graph_text_emotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "TextEmotion").where("path like 'affect/%'"))
+    return flat(channels(spark, *talk(spark, sf_dir), "ASR", "TextEmotion", like="affect/%"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ def graph_language_hl(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = rows.select("stim_id", "i", F.concat(F.lit("word "), F.col("i").cast("string")).alias("text"), F.col("t").alias("start"), ((F.col("i") + 1) / F.lit(50.0)).alias("end"))
     guesses = rows.select("stim_id", "i", F.concat(F.lit("I would say 0."), (F.col("i") % 10).cast("string"), F.lit(", as it goes.")).alias("reply"))
     native = {"segments": said, "embeddings": rows.select("stim_id", "i", F.col("e").alias("vec")), "guesses": guesses}
-    return flat(channels(spark, vector_stimuli(spark, sf_dir), native, "ASR", "LanguageHL").where("path like 'language/%'"))
+    return flat(channels(spark, vector_stimuli(spark, sf_dir), native, "ASR", "LanguageHL", like="language/%"))
 
 
 _SOFTMAX = "list_transform({0}, lambda x: exp(8 * x) / list_sum(list_transform({0}, lambda y: exp(8 * y))))"

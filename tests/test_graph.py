@@ -325,3 +325,18 @@ def test_bins_of_spans_are_not_shuffled_and_dealt_to_all_tasks(spark):
     assert got.agg(F.count("num") + F.count("vec") + F.count("code")).first()[0] == 3 * 8 * 20_000
     assert shuffled(spark) - before < 80_000  # 4,800 spans; their bins are 480,000
     assert got.where("vec is not null").select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_samples_of_no_channel_asked_for_are_not_made(spark):
+    """Of an extractor that others need only its table is written, where none of its channels is in the template."""
+    stimuli = spark.createDataFrame([("m", "audiovisual", 3.0)], STIMULI)
+
+    def make(s, bins, t):
+        never = typed.sample(bins, "audio/speech/word_rate", "time_sec", v=F.raise_error(F.lit("made")).cast("double"))
+        return graph.Made(typed.together(never, typed.sample(bins, "audio/speech/speech_present", "time_sec", v=F.lit(1.0))), {"x": s})
+
+    after = lambda s, bins, t: graph.Made(typed.sample(t["x"], "language/syntax/tree_depth", F.lit(1.0), v=F.lit(2.0)))
+    template = sources.template(spark).where("path like 'language/%' or path = 'audio/speech/speech_present'")
+    done = graph.run([node("first", (), ("x",), make), node("next", ("x",), (), after)], stimuli, {}, template)
+    assert done.status == {"first": "ok", "next": "ok"}
+    assert sorted((r.path, r.bin, r.num) for r in done.values.where("num is not null").collect()) == [*(("audio/speech/speech_present", k, 1.0) for k in range(3)), ("language/syntax/tree_depth", 1, 2.0)]
